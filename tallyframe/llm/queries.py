@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import licenses, mixing, ngram_join, quality, sharding, toxicity
 
-MODULES = (mixing, sharding)
+MODULES = (quality, ngram_join, licenses, mixing, toxicity, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
