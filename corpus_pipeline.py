@@ -1,8 +1,75 @@
-"""The corpus pipeline: STAGES one after another over documents."""
+"""The corpus pipeline: documents go through STAGES one after another, each written and read again.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All stages but
+the last return the columns that docs has; the last returns each row's place in the shards. Empty
+tables go through all stages; null and empty texts stay (they are neither toxic, copies nor
+contaminated, and take no words of a source's target); rows without an id stay, too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tallyframe.llm.common import discard, stored, table
+from tallyframe.llm.decontamination import find_contamination
+from tallyframe.llm.mixing import mix_sources
+from tallyframe.llm.ngram_join import ngram_components
+from tallyframe.llm.sharding import assign_shards
+from tallyframe.llm.toxicity import THRESHOLD, fit_grammar, score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the grammar, learned from docs and labels, doesn't reject."""
+    model = fit_grammar(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model, tuple(docs.columns)).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id; of rows with that same id the one with the least text."""
+    groups = ngram_components(docs)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no window of a benchmark item."""
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("text_key").alias("__key")).distinct()
+    return docs.withColumn("__key", F.xxhash64("text")).join(bad, "__key", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, the row at a source's cut if at least half of it is taken; rows without words once."""
+    taken = mix_sources(docs)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.try_divide("taken", "size"))).cast("int")
+    counted = taken.select(F.col("doc_id").alias("__id"), copies.alias("__copies"), F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "taken")).alias("__nth")).where("__copies > 0")
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    numbered = docs.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(words, "text")))
+    joined = numbered.join(counted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__nth")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's shard and slot."""
+    return assign_shards(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+#: SQL can't express the toxicity stage's learned grammar; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

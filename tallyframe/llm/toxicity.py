@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc_mod, discard, stored, table
 
@@ -286,12 +287,12 @@ def score_toxicity(docs: DataFrame, model: Grammar, keep: tuple[str, ...] = ("do
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = pa.array([model.score(t.as_py()) for t in b.column(len(keep))], pa.float64())
+            scores = pa.array([model.score(t.as_py()) for t in b.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], names=[*keep, "toxicity"])
 
-    rows = docs.select(*keep, F.col("text").alias("scored_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", toxicity double"
-    return rows.mapInArrow(score, schema)
+    at = keep.index("text") if "text" in keep else len(keep)
+    rows = docs.select(*keep, *[F.col("text").alias("scored_text")] * (at == len(keep)))
+    return rows.mapInArrow(score, StructType([*docs.select(*keep).schema, StructField("toxicity", DoubleType())]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
