@@ -74,6 +74,8 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 16
 
 def space_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Lower-cased white-space words of each text: the distinct words, each occurrence's index in them, and each text's number of words."""
+    if texts.offset:  # splitting goes wrong on arrays that begin within their buffers
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     parent, words = pc.list_parent_indices(lists), lists.flatten()
     some = pc.greater(pc.binary_length(words), 0)
