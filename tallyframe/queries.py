@@ -173,7 +173,7 @@ def last_of_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 FILES = "(SELECT 'f' || lpad(item_id::VARCHAR, 5, '0') || '.jpg' AS file, item_id FROM benchmark)"
-KNOWN = f"(SELECT file, 'p' || lpad((item_id + 2)::VARCHAR, greatest(2, length((item_id + 2)::VARCHAR)), '0') AS id, item_id FROM {FILES} WHERE item_id % 3 = 0)"
+KNOWN = f"(SELECT file, 'p' || lpad((item_id + 2)::VARCHAR, greatest(2, length((item_id + 2)::VARCHAR))::INTEGER, '0') AS id, item_id FROM {FILES} WHERE item_id % 3 = 0)"
 
 
 def file_list(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +189,7 @@ def known_items(spark: SparkSession, d: str) -> DataFrame:
 GAPS = f"""
 SELECT f.file, c.id FROM (SELECT file, row_number() OVER (ORDER BY file) AS place FROM {FILES} WHERE item_id % 3 <> 0) f JOIN
   (SELECT id, row_number() OVER (ORDER BY n) AS place FROM
-    (SELECT n, 'p' || lpad(n::VARCHAR, greatest(2, length(n::VARCHAR)), '0') AS id FROM range(1, (SELECT count(*) FROM benchmark)::BIGINT * 2 + 1) r(n)) WHERE id NOT IN (SELECT id FROM {KNOWN})) c USING (place)"""
+    (SELECT n, 'p' || lpad(n::VARCHAR, greatest(2, length(n::VARCHAR))::INTEGER, '0') AS id FROM range(1, (SELECT count(*) FROM benchmark)::BIGINT * 2 + 1) r(n)) WHERE id NOT IN (SELECT id FROM {KNOWN})) c USING (place)"""
 
 
 @query(GAPS)
@@ -288,7 +288,7 @@ def no_json_in_pages(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", extract_json("html").alias("found"))
 
 
-@query("SELECT item_id, substring(sha256(text), 1, 16) AS sha, base64(text::BLOB) AS line, left(text, 15) AS head, text[1:40] AS cut FROM benchmark")
+@query("SELECT item_id, substring(sha256(text), 1, 16) AS sha, base64(encode(text)) AS line, left(text, 15) AS head, text[1:40] AS cut FROM benchmark")
 def hashes_and_cuts(spark: SparkSession, d: str) -> DataFrame:
     """C2, C3, C11."""
     text = F.col("text")
@@ -316,8 +316,8 @@ def flattened_replies(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT item_id, '{"contents":[{"parts":[{"text":"what is it"},{"inline_data":{"mime_type":"image/jpeg","data":"' || base64(text::BLOB) || '"}}]}],"generationConfig":{"temperature":0.0},"tools":[{"google_search":{}}]}' AS grounded,
-  '{"contents":[{"parts":[{"text":"what is it"},{"inline_data":{"mime_type":"image/jpeg","data":"' || base64(text::BLOB) || '"}}]}],"generationConfig":{"temperature":0.0}}' AS plain FROM benchmark""")
+SELECT item_id, '{"contents":[{"parts":[{"text":"what is it"},{"inline_data":{"mime_type":"image/jpeg","data":"' || base64(encode(text)) || '"}}]}],"generationConfig":{"temperature":0.0},"tools":[{"google_search":{}}]}' AS grounded,
+  '{"contents":[{"parts":[{"text":"what is it"},{"inline_data":{"mime_type":"image/jpeg","data":"' || base64(encode(text)) || '"}}]}],"generationConfig":{"temperature":0.0}}' AS plain FROM benchmark""")
 def request_bodies(spark: SparkSession, d: str) -> DataFrame:
     """The tools key is there only in grounded runs."""
     body = lambda g: infer.request_body(F.lit("what is it"), F.col("text").cast("binary"), g)

@@ -98,21 +98,30 @@ def image_size(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def scan_photos(spark: SparkSession, directory: str) -> DataFrame:
-    """file, class, width, height of every file right in the directory, by name. A missing directory raises.
+    """file, class, width, height of every file right in the directory. A missing directory raises.
 
-    Spark's reader leaves out names that start with '_'; they are given through a glob of their own.
-    The class filter runs on the lower-cased name before any content is decoded.
+    The class filter runs on the lower-cased name before any content is decoded. Spark's reader
+    leaves out names that start with '_' even where they are given; the few there are get read
+    one by one through the same file system.
     """
-    files = spark.read.format("binaryFile").load([f"{directory}/*", f"{directory}/[_]*"] if _has_underscored(spark, directory) else directory)
-    named = files.select(base_name(F.col("path")).alias("file"), "content")
-    sized = named.withColumn("size", F.when(extension(F.col("file")).isin(*READABLE), image_size("content")))
+    files = spark.read.format("binaryFile").load(directory).select(base_name(F.col("path")).alias("file"), "content")
+    if odd := _underscored(spark, directory):
+        files = files.unionByName(spark.createDataFrame(odd, "file string, content binary"))
+    sized = files.withColumn("size", F.when(extension(F.col("file")).isin(*READABLE), image_size("content")))
     return sized.select("file", classify(F.col("file"), F.col("size.width").isNotNull()).alias("class"), F.col("size.width").alias("width"), F.col("size.height").alias("height"))
 
 
-def _has_underscored(spark: SparkSession, directory: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/[_]*")
-    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
-    return bool(found) and len(found) > 0
+def _underscored(spark: SparkSession, directory: str) -> list[tuple[str, bytes]]:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{directory}/[_]*")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = []
+    for status in fs.globStatus(path) or []:
+        if status.isFile():
+            stream = fs.open(status.getPath())
+            out.append((status.getPath().getName(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            stream.close()
+    return out
 
 
 def list_names(spark: SparkSession, directory: str) -> DataFrame:
