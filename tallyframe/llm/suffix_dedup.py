@@ -2,12 +2,14 @@
 
 Which suffixes must be compared follows from their content: each 400-byte string has one canonical
 anchor, the leftmost of its 32-byte grams with the least hash. Strings are equal only if their
-anchors are, so the texts around anchors that occur once never meet others. The others are cut out
-and aligned at their anchors, and each shard of them is a row set of one transform: rows start in
+anchors are, so the texts around anchors that occur once never meet others. Of the others, pieces
+of text around an anchor that are equal as a whole are counted by their hash; one of each kind is
+cut out and aligned at the anchor, and each shard's pieces are rows of one transform: rows start in
 the shards' order within an anchor, and at each column the interleave is refined by a stable
 partition on the column's symbols, so that rows are sorted by what stands before the column,
 without sorting any suffix anew. Common lengths of neighbours are derived along with it (range
 maxima of where matches start); a string is repeated if a neighbour's match is 400 bytes long.
+Anchors with more kinds of pieces than one task should hold have their strings counted one by one.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ LENGTH = 400
 GRAM = 32
 #: Starts that are handled at once, and bytes of text around anchors for each task, about.
 AT_ONCE, BYTES_PER_TASK = 1 << 21, 12 << 20
+#: Kinds of pieces around one anchor that one task takes together.
+KINDS = 40_000
 
 #: Odd base and byte values of the rolling hash, made by a rule.
 BASE = 0x9E3779B97F4A7C15
@@ -85,17 +90,20 @@ def anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.nda
         yield which, h[at[first]].view(np.int64), at[first] + shift, starts[first] + shift, starts[last] + shift
 
 
-SPOTS = "h long, key long, at long, first long, last long"
+SPOTS = "h long, key long, at long, first long, last long, content long"
 
 
 def spots_of(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Every anchor's runs of starts, with a hash of the piece of text that the run's strings span."""
     for batch in batches:
         keys, texts, size = [], [], 0
 
         def found() -> Iterator[pa.RecordBatch]:
             for which, *columns in anchors(texts, length, gram):
+                h, at, first, last = columns
+                content = [xxhash.xxh3_64_intdigest(texts[w][f : e + length]) for w, f, e in zip(which.tolist(), first.tolist(), last.tolist(), strict=True)]
                 names = np.array(keys, np.int64)[which]
-                yield pa.RecordBatch.from_pydict({"h": columns[0], "key": names, "at": columns[1], "first": columns[2], "last": columns[3]})
+                yield pa.RecordBatch.from_pydict({"h": h, "key": names, "at": at, "first": first, "last": last, "content": np.array(content, np.uint64).view(np.int64)})
 
         seen = set()
         for key, text in zip(batch["key"].to_pylist(), batch["text"], strict=True):
@@ -111,22 +119,34 @@ def spots_of(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Itera
         yield from found()
 
 
-PIECES = "h long, before int, piece binary, owners array<struct<key: long, first: long>>"
-OWNERS = pa.list_(pa.struct([("key", pa.int64()), ("first", pa.int64())]))
+PIECES = "h long, before int, piece binary, key long, first long, whole boolean"
 
 
 def pieces_of(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """What the strings of each spot span, aligned at the anchor; equal pieces of a batch are one with several owners."""
+    """The text that the strings of each leading spot span, aligned at the anchor."""
+    schema = pa.schema([("h", pa.int64()), ("before", pa.int32()), ("piece", pa.binary()), ("key", pa.int64()), ("first", pa.int64()), ("whole", pa.bool_())])
     for batch in batches:
-        pieces: dict[tuple[int, int, bytes], list[dict]] = {}
+        rows = []
         for key, text, spots in zip(batch["key"].to_pylist(), batch["text"], batch["spots"].to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             for s in spots:
-                piece = raw[s["first"] : s["last"] + length]
-                pieces.setdefault((s["h"], s["at"] - s["first"], piece), []).append({"key": key, "first": s["first"]})
-        rows = [{"h": h, "before": before, "piece": piece, "owners": owners} for (h, before, piece), owners in pieces.items()]
-        for i in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_pylist(rows[i : i + 2000], schema=pa.schema([("h", pa.int64()), ("before", pa.int32()), ("piece", pa.binary()), ("owners", OWNERS)]))
+                if s["lead"] and not s["hot"]:
+                    rows.append({"h": s["h"], "before": s["at"] - s["first"], "piece": raw[s["first"] : s["last"] + length], "key": key, "first": s["first"], "whole": s["whole"]})
+            if len(rows) >= 2000:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def strings_of(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each string of the leading spots of hot anchors by a 128-bit hash."""
+    for batch in batches:
+        for key, text, spots in zip(batch["key"].to_pylist(), batch["text"], batch["spots"].to_pylist(), strict=True):
+            raw = text.as_buffer().to_pybytes()
+            starts = [i for s in spots if s["lead"] and s["hot"] for i in range(s["first"], s["last"] + 1)]
+            if starts:
+                pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in starts), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"a": pair[:, 0], "b": pair[:, 1], "key": np.full(len(starts), key, np.int64), "start": np.array(starts, np.int64)})
 
 
 def repeated_starts(groups: np.ndarray, before: np.ndarray, pieces: list[bytes], length: int) -> np.ndarray:
@@ -184,39 +204,32 @@ def repeated_starts(groups: np.ndarray, before: np.ndarray, pieces: list[bytes],
 
 def repeats_of(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """All pieces of some anchors -> (key, start, end) of strings that are repeated, joined where they follow each other."""
-    hs, before, pieces, owners = [], [], [], []
+    names, rows = [], []
     for b in batches:
-        hs += b["h"].to_pylist()
-        before += b["before"].to_pylist()
-        pieces += b["piece"].to_pylist()
-        owners += b["owners"].to_pylist()
-    names = np.array(hs, np.int64)
-    # An anchor of one piece that one place owns has nothing to be compared with.
-    kinds, which, times = np.unique(names, return_inverse=True, return_counts=True)
-    some = [i for i in np.argsort(which, kind="stable").tolist() if times[which[i]] > 1 or len(owners[i]) > 1]
+        names += b["h"].to_pylist()
+        rows += zip(*(b[k].to_pylist() for k in ("before", "piece", "key", "first", "whole")), strict=True)
+    names = np.array(names, np.int64)
+    order = np.argsort(names, kind="stable").tolist()
     edge = 0
-    while edge < len(some):
+    while edge < len(order):
         # Whole anchors together, so many that the columns fit well into memory.
         stop, size = edge, 0
-        while stop < len(some) and (size < 8 << 20 or names[some[stop]] == names[some[stop - 1]]):
-            size += len(pieces[some[stop]])
+        while stop < len(order) and (size < 8 << 20 or names[order[stop]] == names[order[stop - 1]]):
+            size += len(rows[order[stop]][1])
             stop += 1
-        rows = some[edge:stop]
+        part = order[edge:stop]
         edge = stop
-        at = np.array([before[i] for i in rows], np.int64)
-        found = repeated_starts(names[rows], at, [pieces[i] for i in rows], length)
-        begin = at.max() - at
+        before = np.array([rows[i][0] for i in part], np.int64)
+        found = repeated_starts(names[part], before, [rows[i][1] for i in part], length)
+        begin = before.max() - before
         out: list[tuple[int, int, int]] = []
-        for k, i in enumerate(rows):
-            hits = found[begin[k] : begin[k] + len(pieces[i]) - length + 1, k]
-            if len(owners[i]) > 1:
-                runs = [(0, len(hits) - 1)]
-            elif not hits.any():
+        for k, i in enumerate(part):
+            _, piece, key, first, whole = rows[i]
+            hits = found[begin[k] : begin[k] + len(piece) - length + 1, k]
+            if whole or not hits.any():
                 continue
-            else:
-                turn = np.flatnonzero(np.diff(np.concatenate([[0], hits.view(np.int8), [0]])))
-                runs = list(zip(turn[0::2].tolist(), (turn[1::2] - 1).tolist(), strict=True))
-            out += [(o["key"], o["first"] + a, o["first"] + b + length) for o in owners[i] for a, b in runs]
+            turn = np.flatnonzero(np.diff(np.concatenate([[0], hits.view(np.int8), [0]])))
+            out += [(key, first + a, first + b - 1 + length) for a, b in zip(turn[0::2].tolist(), turn[1::2].tolist(), strict=True)]
         key, start, end = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
         yield pa.RecordBatch.from_pydict({"key": key, "start": start, "end": end})
 
@@ -224,10 +237,10 @@ def repeats_of(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Re
 def cut_out(batches: Iterable[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for key, text, ranges in zip(b["key"].to_pylist(), b["text"], b["ranges"].to_pylist(), strict=True):
+        for key, text, ranges, wholes in zip(b["key"].to_pylist(), b["text"], b["ranges"].to_pylist(), b["wholes"].to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             kept, at, spans = [], 0, 0
-            for r in sorted((r["start"], r["end"]) for r in ranges):
+            for r in sorted((r["start"], r["end"]) for r in [*(ranges or []), *wholes]):
                 if r[0] > at or not spans:
                     kept.append(raw[at : r[0]])
                     spans += 1
@@ -253,18 +266,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     rows = stored(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"), *[F.col("text").cast("string").alias("whole_text")] * with_text), "dedup-rows")
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     spots = stored(keyed.select("key", "text").mapInArrow(lambda it: spots_of(it, length, gram), SPOTS), "spots")
-    place = F.xxhash64("key", "at")
-    often = spots.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    lists = spots.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("h", "at", "first", "last")).alias("spots"))
+    place = F.xxhash64("key", "at", "first")
+    # Equal pieces around an anchor: all of them are repeated as a whole, and one of them leads the others on.
+    kinds = spots.groupBy("h", "content").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    anchors_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("a") != F.col("b")).alias("some"))
+    kinds = kinds.join(anchors_.where("kinds > 1 OR some"), "h")
+    marks = F.struct("h", "at", "first", "last", (F.col("a") != F.col("b")).alias("whole"), ((place == F.col("a")) & (F.col("kinds") > 1)).alias("lead"), (F.col("kinds") > KINDS).alias("hot"))
+    marked = stored(spots.join(kinds, ["h", "content"]).select("key", marks.alias("spot")), "marked")
+    discard(spots)
+    lists = marked.groupBy("key").agg(F.collect_set("spot").alias("spots"))
     distinct = keyed.where(F.octet_length("text") >= length).groupBy("key").agg(F.first("text").alias("text"))
     suspects = stored(distinct.join(lists, "key"), "suspects")
-    discard(spots)
-    tasks = max(12, int((suspects.agg(F.sum(F.size("spots"))).first()[0] or 0) * 1.5 * length // BYTES_PER_TASK))
+    leads = marked.where("spot.lead").agg(F.count_if(~F.col("spot.hot")).alias("cool"), F.count_if("spot.hot").alias("hot")).first()
+    discard(marked)
+    tasks = max(12, int(leads.cool * 1.5 * length // BYTES_PER_TASK))
     pieces = suspects.mapInArrow(lambda it: pieces_of(it, length), PIECES).repartition(tasks, "h")
     repeats = pieces.mapInArrow(lambda it: repeats_of(it, length), "key long, start long, end long")
+    if leads.hot:
+        strings = stored(suspects.mapInArrow(lambda it: strings_of(it, length), "a long, b long, key long, start long"), "strings")
+        place = F.xxhash64("key", "start")
+        often = strings.groupBy("a", "b").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("a", "b")
+        repeats = repeats.unionByName(strings.join(often, ["a", "b"]).select("key", "start", (F.col("start") + length).alias("end")))
     ranges = stored(repeats.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "repeats")
-    cut = suspects.select("key", "text").join(ranges, "key").mapInArrow(lambda it: cut_out(it, with_text), "key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    cut = stored(cut, "cut")
+    wholes = F.transform(F.filter("spots", lambda s: s["whole"]), lambda s: F.struct(s["first"].alias("start"), (s["last"] + length).alias("end")))
+    cut = suspects.select("key", "text", wholes.alias("wholes")).join(ranges, "key", "left").where(F.col("ranges").isNotNull() | (F.size("wholes") > 0))
+    cut = stored(cut.mapInArrow(lambda it: cut_out(it, with_text), "key long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "cut")
     discard(suspects, ranges)
     joined = rows.join(copies, "key").join(cut, "key", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
