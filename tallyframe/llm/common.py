@@ -19,6 +19,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only where the session names no spark.checkpoint.dir, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/tallyframe"
 
+#: Spark's setting by which shuffle files go when the step that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,23 +33,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: later steps don't recompute it, and lost executors take nothing with them."""
+    """Write a DataFrame to the shared folder and read it back: later steps don't recompute it, and lost executors take nothing with them.
+
+    What the step shuffled isn't needed any more then, so Spark is told to delete it at the step's end.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
     return back
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more, and let Spark drop the shuffle files of finished steps."""
+    """Delete what stored() wrote, once nothing reads it any more."""
     for df in frames:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    if frames:
-        frames[0].sparkSession._jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -3,8 +3,8 @@
 The index stores postings (term, document, position) of training tokens for the terms that the
 benchmark's windows are searched by: the rarest few of each window, by how often each occurs in
 the training texts. A window's lists are shifted by the terms' offsets in it and intersected from
-the rarest on; the rarest term's postings carry the words around them, against which the other
-words of the window are compared, so a match is exact.
+the rarest on; the few candidates that all lists have are then spelled out in their document, so a
+match is exact.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 from .common import ALNUM_WORD, ascii_lower, discard, stored, table
 
 WINDOW = 10
-#: Lists that are intersected for each window: its rarest terms.
-LISTS = 3
+#: Lists that are intersected for each window: its rarest terms, as far as a list is at most so many times as long as the rarest one's.
+LISTS, LONGER = 3, 8
 #: A set of test terms or windows of at most so many rows is broadcast (some tens of MB); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -35,50 +35,58 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def phrase_id(words: Column) -> Column:
+    """A sequence of words by its SHA-256: words have no space, so equal ids mean equal words."""
+    return F.unhex(F.sha2(F.array_join(words, " "), 256))
+
+
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(windows: wid, words) and (uses: wid, item_id). Equal windows are one; an item shorter than the window is a window itself."""
     words = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     uses = words.select("item_id", "words", F.explode(starts).alias("start")).select("item_id", F.slice("words", F.col("start"), window).alias("words"))
-    uses = uses.withColumn("wid", F.sha2(F.concat_ws(" ", "words"), 256))
+    uses = uses.withColumn("wid", phrase_id(F.col("words")))
     return uses.select("wid", "words").dropDuplicates(["wid"]), uses.select("wid", "item_id").distinct()
 
 
-def index_terms(windows: DataFrame, frequencies: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(wid, words, term, offset, place): each window's rarest positions, from place 1 on; windows with a word that no training text has are out."""
-    spread = windows.select("wid", "words", F.posexplode("words").alias("offset", "term"))
+def index_terms(windows: DataFrame, frequencies: DataFrame, lists: int = LISTS, longer: float = LONGER) -> DataFrame:
+    """(wid, length, term, offset, place, lists): each window's rarest positions, from place 1 on; windows with a word that no training text has are out."""
+    spread = windows.select("wid", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
     known = spread.join(frequencies, "term")
     by = Window.partitionBy("wid")
-    known = known.withColumns({"found": F.count(F.lit(1)).over(by), "place": F.row_number().over(by.orderBy("frequency", "term", "offset"))})
-    return known.where((F.col("found") == F.size("words")) & (F.col("place") <= lists)).select("wid", "words", "term", "offset", "place")
+    known = known.withColumns({"found": F.count(F.lit(1)).over(by), "least": F.min("frequency").over(by), "place": F.row_number().over(by.orderBy("frequency", "term", "offset"))})
+    chosen = known.where((F.col("found") == F.col("length")) & (F.col("place") <= lists) & (F.col("frequency") <= F.col("least") * longer))
+    return chosen.select("wid", "length", "term", "offset", "place", F.count(F.lit(1)).over(by).cast("int").alias("lists"))
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, window: int = WINDOW, lists: int = LISTS) -> tuple[DataFrame, list[DataFrame]]:
-    """Exact occurrences (doc_id, text_key, wid, start, length) of the windows in docs, and what has to be kept while they are read.
+def phrase_matches(rows: DataFrame, windows: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
+    """Exact occurrences (doc_id, text_key, start, length, wid) of the windows in texts, written; those of repeated rows are repeated.
 
-    docs: doc_id, text_key, words. Candidates come from the intersection of the index's lists, never from pairs of documents and windows.
+    rows: doc_id, text_key, text. Candidates come from the intersection of the index's lists, never from pairs of documents and windows.
     """
+    docs = rows.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
     n = windows.count() * window
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
     tokens = docs.select(F.explode("words").alias("term"))
     frequencies = stored(tokens.join(small(vocabulary, n), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("frequency")), "term-frequencies")
     terms = stored(index_terms(windows, frequencies, lists), "index-terms")
-    discard(frequencies)
-    wanted = terms.groupBy("term").agg((F.min("place") == 1).alias("rarest"))
-    placed = docs.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term")).join(small(wanted, n), "term")
-    # The words from window - 1 before to window - 1 behind the rarest term; ahead: how many of them are before it.
-    ahead = F.least("pos", F.lit(window - 1))
-    around = F.slice("words", F.col("pos") - ahead + 1, ahead + F.lit(window))
-    index = stored(placed.select("term", "doc_id", "text_key", "pos", F.when(F.col("rarest"), ahead).alias("ahead"), F.when(F.col("rarest"), around).alias("around")), "postings")
-    slots = small(terms, n * lists)
-    shifted = index.join(slots, "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    # The intersection: a start is kept if all the window's lists have it; a repeated row or text counts once for each list.
-    length = F.size("words")
-    spelled = F.slice("around", F.col("ahead") - F.col("offset") + 1, length) == F.col("words")
-    exact = F.when((F.col("place") == 1) & (F.col("offset") <= F.col("ahead")), spelled).otherwise(False)
-    hits = shifted.groupBy("doc_id", "text_key", "wid", "start").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place") - 1)).alias("lists"), F.max(exact).alias("exact"), F.first(length).alias("length"))
-    need = F.call_function("shiftleft", F.lit(1), F.least("length", F.lit(lists))) - 1
-    return hits.where(F.col("exact") & (F.col("lists") == need)).select("doc_id", "text_key", "wid", "start", "length"), [terms, index]
+    wanted = terms.select("term").distinct()
+    index = stored(docs.select("doc_id", "text_key", F.posexplode("words").alias("pos", "term")).join(small(wanted, n), "term"), "postings")
+    shifted = index.join(small(terms, n), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    # The intersection: a start is kept if all the window's lists have it. Rows with one id and text count once, as each list is a bit.
+    have = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place") - 1))
+    met = shifted.groupBy("doc_id", "text_key", "wid", "start").agg(have.alias("have"), F.first("lists").alias("lists"), F.first("length").alias("length"))
+    met = met.where(F.col("have") == F.call_function("shiftleft", F.lit(1), F.col("lists")) - 1)
+    # Spelling: a document's candidates come to it together, and only documents with candidates are cut into words again.
+    asked = met.groupBy(F.col("doc_id").alias("asked_id"), F.col("text_key").alias("asked_key")).agg(F.collect_list(F.struct("start", "length", "wid")).alias("asked"))
+    asked = stored(asked, "candidates")
+    discard(frequencies, terms, index)
+    told = rows.join(asked.hint("merge"), rows["doc_id"].eqNullSafe(asked["asked_id"]) & (rows["text_key"] == asked["asked_key"]))
+    told = told.select("doc_id", "text_key", "asked", words_of(F.col("text")).alias("words"))
+    spelled = F.filter("asked", lambda a: phrase_id(F.slice("words", a["start"] + 1, a["length"])) == a["wid"])
+    matches = stored(told.select("doc_id", "text_key", F.inline(spelled)), "matches")
+    discard(asked)
+    return matches
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 5, lists: int = LISTS) -> DataFrame:
@@ -87,20 +95,20 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 5, lists: i
     docs: doc_id, text. The general form of the index's lists, beside exact phrases: the terms'
     shifted positions may differ by at most slop.
     """
-    rows = keyed(docs)
+    rows = keyed(docs).withColumn("words", words_of(F.col("text")))
     windows, _ = benchmark_windows(items)
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
     frequencies = rows.select(F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
-    terms = index_terms(windows, frequencies, lists)
+    terms = index_terms(windows, frequencies, lists, float("inf"))
     shifted = rows.select("doc_id", "text_key", F.posexplode("words").alias("pos", "term")).join(terms, "term").withColumn("start", F.col("pos") - F.col("offset"))
     near = Window.partitionBy("doc_id", "text_key", "wid").orderBy("start").rangeBetween(0, slop)
-    met = shifted.withColumn("places", F.size(F.collect_set("place").over(near))).where(F.col("places") == F.least(F.size("words"), F.lit(lists)))
+    met = shifted.withColumn("places", F.size(F.collect_set("place").over(near))).where(F.col("places") == F.col("lists"))
     return met.groupBy("doc_id", "wid").agg(F.min("start").alias("first"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, words: rows with the same id and text are alike in all results, so that is what they are known by."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    """doc_id, text_key, text: rows with the same id and text are alike in all results, so that is what they are known by."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
@@ -114,9 +122,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     rows = keyed(docs)
     windows, uses = benchmark_windows(items.select("item_id", "text"), window)
     windows, uses = stored(windows, "windows"), stored(uses, "window-items")
-    matches, kept = phrase_matches(rows, windows, window, lists)
-    matches = stored(matches, "matches")
-    discard(*kept)
+    matches = phrase_matches(rows, windows, window, lists)
     key = ["doc_id", "text_key"]
     # One document's occurrences are at most its words times the windows that start there; each start counts once.
     starts = matches.groupBy(*key, "start").agg(F.max("length").alias("length")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("starts"))
@@ -128,7 +134,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     hit = F.aggregate("starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), cover)["n"]
     found = matches.select(*key, "wid").distinct().join(small(uses, uses.count()), "wid").groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     by_doc = starts.select(*key, hit.alias("n_hit")).join(found, (starts["doc_id"].eqNullSafe(found["doc_id"])) & (starts["text_key"] == found["text_key"])).select(starts["doc_id"].alias("hit_id"), starts["text_key"].alias("hit_key"), "n_hit", "item_ids")
-    flat = rows.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
+    flat = rows.select("doc_id", "text_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     joined = flat.join(by_doc, flat["doc_id"].eqNullSafe(by_doc["hit_id"]) & (flat["text_key"] == by_doc["hit_key"]), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return joined.select(

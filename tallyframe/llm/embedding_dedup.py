@@ -23,7 +23,7 @@ from .components import connected_components
 COSINE = 0.9
 BLOCKS = 4
 #: Rows of a chunk; a task has two chunks at most.
-CHUNK, TILE, PAIRS_AT_ONCE = 8192, 1024, 1 << 16
+CHUNK, TILE, PAIRS_AT_ONCE = 16384, 1024, 1 << 16
 #: Room for rounding: relative in double precision, absolute for the single precision in which candidates are looked for.
 DOUBLE_SLACK, SINGLE_SLACK = 1e-9, 1e-4
 
@@ -43,8 +43,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def unpacked(packed: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(p, np.float64) for p in packed])
+def unpacked(packed: list[bytes], dim: int) -> np.ndarray:
+    kind = np.float32 if len(packed[0]) == 4 * dim else np.float64
+    return np.frombuffer(b"".join(packed), kind).reshape(-1, dim).astype(np.float64)
 
 
 PLACES = "dim int, block int, slab int, home boolean, node long, weight long, vector binary"
@@ -56,8 +57,8 @@ def places_of(batches: Iterable[pa.RecordBatch], cosine: float, blocks: int) ->
         lengths = np.array([len(v) for v in batch["embedding"]])
         for dim in np.unique(lengths).tolist():
             part = batch.filter(pa.array(lengths == dim))
-            x = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            y = unit(x) @ rotation(dim)
+            x = part["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            y = unit(x.astype(np.float64)) @ rotation(dim)
             packed = pa.array([r.tobytes() for r in x], pa.binary())
             for b, axes in enumerate(blocks_of(dim, blocks)):
                 reach = np.sqrt((2 - 2 * cosine) * len(axes) / dim) * (1 + 1e-6)
@@ -96,6 +97,13 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
+def tiles(rows: np.ndarray, cols: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of pieces of rows and columns; of the same rows each pair of pieces once."""
+    for a in range(0, len(rows), TILE):
+        for b in range(a if same else 0, len(cols), TILE):
+            yield rows[a : a + TILE], cols[b : b + TILE]
+
+
 def joined(x: np.ndarray, home: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, cosine: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row (weighted) and its set's root, among the pairs of left and right rows that count in this block."""
     dim = x.shape[1]
@@ -103,27 +111,29 @@ def joined(x: np.ndarray, home: np.ndarray, weight: np.ndarray, left: np.ndarray
     budget = [(2 - 2 * cosine) * len(a) / dim * (1 + DOUBLE_SLACK) for a in axes]
     u = unit(x)
     y = u @ rotation(dim)
-    z = y[:, axes[block]].astype(np.float32)
-    square = (z * z).sum(1)
+    # One matrix product gives squared distances: the cross term, and either norm times one.
+    z = y[:, axes[block]]
+    square, one = (z * z).sum(1, keepdims=True), np.ones((len(x), 1))
+    ours, theirs = np.hstack([-2 * z, square, one]).astype(np.float32), np.hstack([z, one, square]).astype(np.float32)
     links, parent = np.zeros(len(x), np.int64), np.arange(len(x))
-    within = left is right
-    for a in range(0, len(left), TILE):
-        for b in range(a if within else 0, len(right), TILE):
-            rows, cols = left[a : a + TILE], right[b : b + TILE]
-            near = square[rows][:, None] + square[cols][None, :] - 2 * (z[rows] @ z[cols].T) <= budget[block] + SINGLE_SLACK
-            near &= home[rows][:, None] | home[cols][None, :]
-            if within and a == b:
-                near = np.triu(near, 1)
-            i, j = np.nonzero(near)
-            for s in range(0, len(i), PAIRS_AT_ONCE):
-                p, q = rows[i[s : s + PAIRS_AT_ONCE]], cols[j[s : s + PAIRS_AT_ONCE]]
-                gaps = (y[p] - y[q]) ** 2
-                fits = np.stack([gaps[:, k].sum(1) <= m for k, m in zip(axes, budget, strict=True)])
-                good = fits[block] & ~fits[:block].any(0) & ((u[p] * u[q]).sum(1) >= cosine)
-                p, q = p[good], q[good]
-                np.add.at(links, p, weight[q])
-                np.add.at(links, q, weight[p])
-                parent = unite(parent, p, q)
+    # A row that is here as a visitor meets only those that are at home.
+    sides = [(left[home[left]], right[home[right]], left is right), (left[home[left]], right[~home[right]], False)]
+    if left is not right:
+        sides.append((left[~home[left]], right[home[right]], False))
+    for rows, cols in (tile for side in sides for tile in tiles(*side)):
+        near = ours[rows] @ theirs[cols].T <= budget[block] + SINGLE_SLACK
+        i, j = np.divmod(np.flatnonzero(near), len(cols))
+        if rows[0] == cols[0]:
+            i, j = i[i < j], j[i < j]
+        for s in range(0, len(i), PAIRS_AT_ONCE):
+            p, q = rows[i[s : s + PAIRS_AT_ONCE]], cols[j[s : s + PAIRS_AT_ONCE]]
+            gaps = (y[p] - y[q]) ** 2
+            fits = np.stack([gaps[:, k].sum(1) <= m for k, m in zip(axes, budget, strict=True)])
+            good = fits[block] & ~fits[:block].any(0) & ((u[p] * u[q]).sum(1) >= cosine)
+            p, q = p[good], q[good]
+            np.add.at(links, p, weight[q])
+            np.add.at(links, q, weight[p])
+            parent = unite(parent, p, q)
     return links, roots(parent)
 
 
@@ -134,7 +144,7 @@ def links_of(batches: Iterable[pa.RecordBatch], cosine: float, blocks: int) -> I
     """Rows sorted by (dim, block, slab, i, j), each task's two chunks together -> node, links, root."""
 
     def ended(key: tuple, rows: list[dict]) -> pa.RecordBatch:
-        x = unpacked([r["vector"] for r in rows])
+        x = unpacked([r["vector"] for r in rows], key[0])
         chunk = np.array([r["chunk"] for r in rows])
         left = np.flatnonzero(chunk == key[3])
         right = left if key[3] == key[4] else np.flatnonzero(chunk == key[4])
@@ -164,7 +174,8 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, blocks: int
     size costs as much as one. Repeated rows link with each other; a null vec_id counts for no
     component's smallest one; an empty table gives an empty one.
     """
-    v = F.col("embedding").cast("array<double>")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col("embedding").cast(kind)
     bad = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     good = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda e: e != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.xxhash64(v)).alias("node"), F.when(good, v).alias("embedding"))

@@ -1,7 +1,7 @@
 """LM scoring with sharded Elias-Fano n-gram tries.
 
 Texts are encoded slice by slice. Each slice sends its distinct bigrams, with their counts in
-training texts, to the shards that own their contexts; a shard builds its trie from what all slices
+training texts, to the shards that own their contexts (or parts of hot contexts' successors); a shard builds its trie from what all slices
 send and answers each slice's queries in order. No machine ever holds the model or the vocabulary.
 
 A trie has two levels in one memory-mapped buffer. The first has the contexts with their counts,
@@ -14,6 +14,7 @@ unigrams, whose probabilities are the base's.
 
 from __future__ import annotations
 
+import math
 import mmap
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -29,8 +30,10 @@ from .common import crc_mod, discard, space_words, stored, table, text_slices
 
 DISCOUNT = 0.75
 ADDED = 0.1
-#: Text of a slice, documents for each shard, and documents from which on a context's successors are split over shards, about.
-SLICE_BYTES, DOCS_PER_SHARD, DOCS_UNSPLIT = 12 << 20, 4000, 4_000_000
+#: Text of a slice and documents for each shard, about.
+SLICE_BYTES, DOCS_PER_SHARD = 2 << 20, 1000
+#: Texts in which hot contexts are looked for, about. They only tell which contexts to split over shards; no result depends on them.
+HOT_SAMPLE = 4000
 #: Bits of a successor's hash; within one context, that many tell its successors apart.
 WORD_BITS = 40
 #: Steps of a halving of a quantised probability.
@@ -89,11 +92,15 @@ class Trie:
         self.codes[:] = quantised((times - DISCOUNT) / counts[rank]) if n else 0
         self.successors = EliasFano.build(rank, words, c, WORD_BITS, view[c * 16 + n * 2 :])
 
-    def lookup(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def open(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pointers and successors that lookups read."""
+        return self.successors.pointers(), self.successors.low_values()
+
+    def lookup(self, rank: np.ndarray, words: np.ndarray, opened: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """The code of each bigram (context's rank, word's hash), 0 if there is none: a search among the context's successors, for all at once."""
         if not self.successors.n:
             return np.zeros(len(rank), np.uint16)
-        pointers, successors = self.successors.pointers(), self.successors.low_values()
+        pointers, successors = opened or self.open()
         lo, end = pointers[rank], pointers[rank + 1]
         hi = end.copy()
         for _ in range(int((end - lo).max(initial=0)).bit_length()):
@@ -131,8 +138,8 @@ def wide(b: bytes) -> np.ndarray:
 class Layout:
     """A slice's distinct bigrams in the order in which shards get and answer them."""
 
-    def __init__(self, token: np.ndarray, lengths: np.ndarray, start: int, width: int, edges: np.ndarray, split: np.ndarray | None, split_bits: int) -> None:
-        """edges: where each bucket of contexts begins among the local ids; split: the part of its context's successors that a word is in."""
+    def __init__(self, token: np.ndarray, lengths: np.ndarray, start: int, width: int, edges: np.ndarray, split: np.ndarray | None, hot: np.ndarray, split_bits: int) -> None:
+        """edges: where each bucket of contexts begins among the local ids; hot: the local ids of split contexts; split: the part of such a context's successors that a word is in."""
         before = np.concatenate([[start], token[:-1]]) if len(token) else token
         before[np.cumsum(lengths)[:-1]] = start
         self.before = before
@@ -140,7 +147,9 @@ class Layout:
         context, word = pairs // width, pairs % width
         bucket = np.searchsorted(edges, context, "right") - 1
         if split_bits:
-            bucket = (bucket << split_bits) + split[word]
+            divided = np.zeros(width, np.int64)
+            divided[hot] = 1
+            bucket = (bucket << split_bits) + split[word] * divided[context]
             order = np.argsort(bucket, kind="stable")
             context, word, bucket = context[order], word[order], bucket[order]
             back = np.empty_like(order)
@@ -152,16 +161,16 @@ class Layout:
         self.length = np.diff(np.append(self.first, len(context)))
 
 
-MESSAGE = "bucket long, slice long, contexts binary, counts binary, lengths binary, words binary, times binary, edges binary, split binary, tokens binary, rare binary, sizes binary, doc_ids array<long>, held array<boolean>, start int, width int"
-BINARY = ("contexts", "counts", "lengths", "words", "times", "edges", "split", "tokens", "rare", "sizes")
+MESSAGE = "bucket long, slice long, contexts binary, counts binary, lengths binary, words binary, times binary, edges binary, split binary, tokens binary, rare binary, sizes binary, hot binary, hot_words binary, doc_ids array<long>, held array<boolean>, start int, width int"
+BINARY = ("contexts", "counts", "lengths", "words", "times", "edges", "split", "tokens", "rare", "sizes", "hot", "hot_words")
 TYPES = {"bucket": pa.int64(), "slice": pa.int64(), **dict.fromkeys(BINARY, pa.binary()), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "start": pa.int32(), "width": pa.int32()}
 #: A slice's text as it passes on, and a shard's answer: counts and numbers of successors for its contexts, codes for its bigrams.
-ANSWER = "slice long, bucket long, counts binary, kinds binary, codes binary, edges binary, split binary, tokens binary, rare binary, sizes binary, doc_ids array<long>, held array<boolean>, start int, width int, n long, v long"
-PASSED = ("edges", "split", "tokens", "rare", "sizes", "doc_ids", "held", "start", "width")
+ANSWER = "slice long, bucket long, counts binary, kinds binary, codes binary, edges binary, split binary, tokens binary, rare binary, sizes binary, hot binary, hot_words binary, doc_ids array<long>, held array<boolean>, start int, width int, n long, v long"
+PASSED = ("edges", "split", "tokens", "rare", "sizes", "hot", "hot_words", "doc_ids", "held", "start", "width")
 ANSWER_TYPES = {"slice": pa.int64(), "bucket": pa.int64(), **dict.fromkeys(("counts", "kinds", "codes"), pa.binary()), **{k: TYPES[k] for k in PASSED}, "n": pa.int64(), "v": pa.int64()}
 
 
-def encoded(batches: Iterable[pa.RecordBatch], bits: int, split_bits: int) -> Iterator[pa.RecordBatch]:
+def encoded(batches: Iterable[pa.RecordBatch], bits: int, hot: np.ndarray, split_bits: int) -> Iterator[pa.RecordBatch]:
     """Slices: their tokens in few bytes, and their bigrams by shard."""
     part, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -182,7 +191,8 @@ def encoded(batches: Iterable[pa.RecordBatch], bits: int, split_bits: int) -> It
             name, serial = (part << 32) + serial, serial + 1
             edges = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             split = (hashes >> np.uint64(64 - split_bits)).astype(np.uint8) if split_bits else None
-            layout = Layout(token, lengths, start, len(hashes), edges, split, split_bits)
+            mine = np.flatnonzero(np.isin(hashes, hot))
+            layout = Layout(token, lengths, start, len(hashes), edges, split, mine, split_bits)
             held = piece["held"].to_pylist()
             train = np.repeat(~np.array(held, bool), lengths)
             times = np.bincount(layout.which[train], minlength=len(layout.context))
@@ -193,9 +203,9 @@ def encoded(batches: Iterable[pa.RecordBatch], bits: int, split_bits: int) -> It
             short[common] = np.arange(len(common))
             code = short[token]
             rest = token[code == 255]
-            kind = 3 if len(hashes) < 1 << 24 else 4
+            kind = next(k for k in (2, 3, 4) if len(hashes) <= 1 << 8 * k)
             rest = np.ascontiguousarray(rest.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :kind].tobytes()
-            rows = [{"bucket": name % (1 << (bits + split_bits)), "slice": name, "edges": narrow(edges), "split": None if split is None else split.tobytes(), "tokens": code.tobytes(), "rare": narrow(common) + bytes([kind]) + rest, "sizes": narrow(lengths), "doc_ids": piece["doc_id"].to_pylist(), "held": held, "start": start, "width": len(hashes)}]
+            rows = [{"bucket": name % (1 << (bits + split_bits)), "slice": name, "edges": narrow(edges), "split": None if split is None else split.tobytes(), "tokens": code.tobytes(), "rare": narrow(common) + bytes([kind]) + rest, "sizes": narrow(lengths), "hot": narrow(mine), "hot_words": hashes[mine].tobytes(), "doc_ids": piece["doc_id"].to_pylist(), "held": held, "start": start, "width": len(hashes)}]
             border = np.flatnonzero(np.concatenate([[True], np.diff(layout.bucket) != 0, [True]])) if len(layout.bucket) else np.zeros(1, int)
             runs = np.searchsorted(layout.first, border)
             words = np.ascontiguousarray(hashes >> np.uint64(64 - WORD_BITS)).view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]
@@ -204,9 +214,11 @@ def encoded(batches: Iterable[pa.RecordBatch], bits: int, split_bits: int) -> It
                 bucket = int(layout.bucket[border[k]])
                 rows.append({"bucket": bucket, "slice": name, "contexts": hashes[layout.context[layout.first[contexts]]].tobytes(), "lengths": narrow(layout.length[contexts]), "words": words[layout.word[own]].tobytes(), "times": narrow(times[own])})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(TYPES.items())))
+            del rows, layout, words, hashes
+            pa.default_memory_pool().release_unused()  # executors' memory is scarce, and workers live on
 
 
-def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def answered(batches: Iterable[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Build the trie of each bucket from its messages and answer them; slices' texts pass on."""
     schema = pa.schema(list(ANSWER_TYPES.items()))
     buckets: dict[int, list[tuple]] = {}
@@ -223,32 +235,44 @@ def answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     while buckets:
         bucket, messages = buckets.popitem()
         contexts = np.unique(np.concatenate([m[1] for m in messages]))
-        ranks = [np.repeat(np.searchsorted(contexts, m[1]), wide(m[2])) for m in messages]
-        key = np.concatenate([(r.astype(np.uint64) << np.uint64(WORD_BITS)) | m[3] for r, m in zip(ranks, messages, strict=True)])
-        times = np.concatenate([wide(m[4]) for m in messages])
-        key, times = key[times > 0], times[times > 0]
+        keys, owned = [], []
+        for k, (_, own, lengths, words, _) in enumerate(messages):
+            owned.append(np.searchsorted(contexts, own))
+            keys.append((np.repeat(owned[-1], wide(lengths)).astype(np.uint64) << np.uint64(WORD_BITS)) | words)
+            messages[k] = (messages[k][0], messages[k][4])
+        # Training bigrams alone go into the trie; what slices have in common is summed.
+        times = [wide(t).astype(np.uint32) for _, t in messages]
+        key, times = np.concatenate([x[t > 0] for x, t in zip(keys, times, strict=True)]), np.concatenate([t[t > 0] for t in times])
         order = np.argsort(key)
         key, times = key[order], times[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        times = np.add.reduceat(times, first) if len(key) else times
+        times = np.add.reduceat(times, first, dtype=np.int64) if len(key) else times.astype(np.int64)
         key = key[first]
         rank = (key >> np.uint64(WORD_BITS)).astype(np.int64)
         counts = np.bincount(rank, times, len(contexts)).astype(np.int64)
         kinds = np.bincount(rank, minlength=len(contexts))
-        trie = Trie(contexts, counts, rank, key & np.uint64((1 << WORD_BITS) - 1), times)
-        real = contexts != np.uint64(START)
-        out = [{"slice": -1, "bucket": bucket, "n": int(counts[real].sum()), "codes": contexts[real & (counts > 0)].tobytes()}]
-        for (name, own, _, words, _), r in zip(messages, ranks, strict=True):
-            at = np.searchsorted(contexts, own)
-            out.append({"slice": name, "bucket": bucket, "counts": narrow(counts[at]), "kinds": narrow(kinds[at]), "codes": trie.lookup(r, words).tobytes()})
-        del key, times, ranks, messages, trie
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+        low = np.uint64((1 << WORD_BITS) - 1)
+        trie = Trie(contexts, counts, rank, key & low, times)
+        del key, times, rank
+        # Totals of the bucket, and those of hot contexts, which several buckets have, one by one.
+        split = np.isin(contexts, hot)
+        real = (contexts != np.uint64(START)) & ~split
+        sums = {"n": int(counts[real].sum()), "v": int((counts[real] > 0).sum())}
+        apart = {"codes": contexts[split].tobytes(), "counts": narrow(counts[split]), "kinds": narrow(kinds[split])} if split.any() else {}
+        yield pa.RecordBatch.from_pylist([{"slice": -1, "bucket": bucket, **sums, **apart}], schema=schema)
+        successors = trie.open()
+        for (name, _), at, x in zip(messages, owned, keys, strict=True):
+            codes = trie.lookup((x >> np.uint64(WORD_BITS)).astype(np.int64), x & low, successors)
+            yield pa.RecordBatch.from_pylist([{"slice": name, "bucket": bucket, "counts": narrow(counts[at]), "kinds": narrow(kinds[at]), "codes": codes.tobytes()}], schema=schema)
+        del keys, owned, trie, successors
+        pa.default_memory_pool().release_unused()
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(batches: Iterable[pa.RecordBatch], n: int, v: int, texts: int, split_bits: int) -> Iterator[pa.RecordBatch]:
+def scored(batches: Iterable[pa.RecordBatch], n: int, v: int, texts: int, totals: dict[int, tuple[int, int]], split_bits: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by slice and bucket, a slice's text first -> its documents' scores."""
 
     def ended(text: dict, answers: list[dict]) -> pa.RecordBatch:
@@ -262,12 +286,14 @@ def scored(batches: Iterable[pa.RecordBatch], n: int, v: int, texts: int, split_
         token[code == 255] = rest.view("<u4").ravel()
         token[code < 255] = common[code[code < 255]]
         lengths = wide(text["sizes"])
-        layout = Layout(token, lengths, start, width, wide(text["edges"]), np.frombuffer(text["split"], np.uint8) if split_bits else None, split_bits)
+        layout = Layout(token, lengths, start, width, wide(text["edges"]), np.frombuffer(text["split"], np.uint8) if split_bits else None, wide(text["hot"]), split_bits)
         part, kinds = (np.concatenate([wide(a[k]) for a in answers]) for k in ("counts", "kinds"))
         codes = np.concatenate([np.frombuffer(a["codes"], np.uint16) for a in answers])
         owner = layout.context[layout.first]
         count = np.bincount(owner, part, width)
         successors = np.bincount(owner, kinds, width)
+        for i, word in zip(wide(text["hot"]).tolist(), np.frombuffer(text["hot_words"], np.uint64).tolist(), strict=True):
+            count[i], successors[i] = totals.get(word, (0, 0))
         # A context's answers from several shards are in proportion to their shares of its count.
         found = probability(codes) * np.repeat(part, layout.length)
         total = np.maximum(count, 1)
@@ -317,26 +343,40 @@ def score_texts(docs: DataFrame, held_out: object) -> DataFrame:
     totals = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held")).alias("texts")).first()
     shards = max(12, totals.rows // DOCS_PER_SHARD)
     bits = max(4, (2 * shards - 1).bit_length())
-    split_bits = min(8, (totals.rows // DOCS_UNSPLIT).bit_length())
-    messages = docs.mapInArrow(lambda it: encoded(it, bits, split_bits), MESSAGE)
-    answers = stored(messages.repartition(shards, "bucket").mapInArrow(answered, ANSWER), "answers")
-    del messages
-    sums = answers.where("slice < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("codes") / 8).cast("long"), F.lit(0)).alias("v")).first()
-    n, v, texts = int(sums.n) + totals.texts, int(sums.v), int(totals.texts)
-    if split_bits:  # a word is a context in several shards
-        words = answers.where("slice < 0").mapInArrow(context_words, "word long")
-        v = words.distinct().count()
-    v += bool(texts)
+    hot, split_bits = hot_contexts(docs, totals.rows, shards)
+    messages = docs.mapInArrow(lambda it: encoded(it, bits, hot, split_bits), MESSAGE)
+    answers = stored(messages.repartition(shards, "bucket").mapInArrow(lambda it: answered(it, hot), ANSWER), "answers")
+    sums = answers.where("slice < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    apart: dict[int, tuple[int, int]] = {}
+    for r in answers.where("slice < 0 AND codes IS NOT NULL").select("codes", "counts", "kinds").collect():  # at most the hot contexts times their parts
+        for word, c, k in zip(np.frombuffer(r.codes, np.uint64).tolist(), wide(r.counts).tolist(), wide(r.kinds).tolist(), strict=True):
+            apart[word] = (apart.get(word, (0, 0))[0] + c, apart.get(word, (0, 0))[1] + k)
+    known = [c for word, (c, _) in apart.items() if word != START]
+    texts = int(totals.texts)
+    n, v = int(sums.n) + sum(known) + texts, int(sums.v) + sum(c > 0 for c in known) + bool(texts)
     slices = answers.where("slice >= 0").repartition(shards, "slice").sortWithinPartitions("slice", F.col("bucket").asc_nulls_first())
-    result = stored(slices.mapInArrow(lambda it: scored(it, n, v, texts, split_bits), SCORES), "scores")
+    result = stored(slices.mapInArrow(lambda it: scored(it, n, v, texts, apart, split_bits), SCORES), "scores")
     discard(answers)
     return result
 
 
-def context_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for codes in b["codes"].to_pylist():
-            yield pa.RecordBatch.from_pydict({"word": np.frombuffer(codes, np.int64)})
+def hot_contexts(docs: DataFrame, rows: int, shards: int) -> tuple[np.ndarray, int]:
+    """Hashes of contexts that would fill more than half a shard, at most two for each shard, and in how many parts (as bits) they are split."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, ids, counts = space_words(b["text"])
+            seen = np.bincount(ids, minlength=len(words))
+            often = np.flatnonzero(seen * 4 * shards >= len(ids) + len(counts))
+            hashes = [xxhash.xxh3_64_intdigest(words[i].as_py().encode()) for i in often.tolist()]
+            both = np.array([*hashes, START, 0], np.uint64).view(np.int64), np.array([*seen[often].tolist(), len(counts), len(ids) + len(counts)], np.int64)
+            yield pa.RecordBatch.from_pydict({"word": both[0], "n": both[1]})
+
+    some = docs.select("text").sample(False, min(1.0, HOT_SAMPLE / max(1, rows)), 1)
+    found = {r.word: r.n for r in some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    total = found.pop(0, 0)
+    share = {w: n / total for w, n in found.items() if n * 2 * shards >= total}
+    return np.array(sorted(share), np.int64).view(np.uint64), min(8, max(0, math.ceil(math.log2(2 * shards * max(share.values()))))) if share else 0
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

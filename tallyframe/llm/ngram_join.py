@@ -26,8 +26,8 @@ from .components import connected_components
 WORDS = 5
 #: Similarity of a link, in hundredths.
 PERCENT = 80
-#: Documents for each task of the first product, about, and rows of a chunk of a group.
-DOCS_PER_TASK, CHUNK = 8000, 1024
+#: Documents for each task of the first product, about, bytes of text that are cut up at once, and rows of a chunk of a group.
+DOCS_PER_TASK, PIECE_BYTES, CHUNK = 3000, 6 << 20, 1024
 #: Columns of a strip.
 STRIP = 4096
 
@@ -82,7 +82,7 @@ SEVERAL = 2**31 - 1
 def parts_of(batches: Iterable[pa.RecordBatch], bits: int, words: int) -> Iterator[pa.RecordBatch]:
     """Cut the incidence matrix of some documents into buckets of columns: each column with the one document that has it, or SEVERAL."""
     for batch in batches:
-        for piece in text_slices(batch):
+        for piece in text_slices(batch, max_bytes=PIECE_BYTES):
             sets = shingle_sets(piece["text"], words)
             rows: dict[int, np.ndarray] = {}
             sigs = []
