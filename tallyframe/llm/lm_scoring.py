@@ -92,15 +92,11 @@ class Trie:
         self.codes[:] = quantised((times - DISCOUNT) / counts[rank]) if n else 0
         self.successors = EliasFano.build(rank, words, c, WORD_BITS, view[c * 16 + n * 2 :])
 
-    def open(self) -> tuple[np.ndarray, np.ndarray]:
-        """The pointers and successors that lookups read."""
-        return self.successors.pointers(), self.successors.low_values()
-
-    def lookup(self, rank: np.ndarray, words: np.ndarray, opened: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    def lookup(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The code of each bigram (context's rank, word's hash), 0 if there is none: a search among the context's successors, for all at once."""
         if not self.successors.n:
             return np.zeros(len(rank), np.uint16)
-        pointers, successors = opened or self.open()
+        pointers, successors = self.successors.pointers(), self.successors.low_values()
         lo, end = pointers[rank], pointers[rank + 1]
         hi = end.copy()
         for _ in range(int((end - lo).max(initial=0)).bit_length()):
@@ -229,7 +225,7 @@ def answered(batches: Iterable[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.
                 out.append({"slice": r["slice"], **{k: r[k] for k in PASSED}})
             else:
                 w = np.zeros((len(r["words"]) // (WORD_BITS // 8), 8), np.uint8)
-                w[:, : WORD_BITS // 8] = np.frombuffer(r["words"], np.uint8).reshape(len(w), -1)
+                w[:, : WORD_BITS // 8] = np.frombuffer(r["words"], np.uint8).reshape(len(w), WORD_BITS // 8)
                 buckets.setdefault(r["bucket"], []).append((r["slice"], np.frombuffer(r["contexts"], np.uint64), r["lengths"], w.view("<u8").ravel(), r["times"]))
         yield pa.RecordBatch.from_pylist(out, schema=schema)
     while buckets:
@@ -261,11 +257,13 @@ def answered(batches: Iterable[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.
         sums = {"n": int(counts[real].sum()), "v": int((counts[real] > 0).sum())}
         apart = {"codes": contexts[split].tobytes(), "counts": narrow(counts[split]), "kinds": narrow(kinds[split])} if split.any() else {}
         yield pa.RecordBatch.from_pylist([{"slice": -1, "bucket": bucket, **sums, **apart}], schema=schema)
-        successors = trie.open()
-        for (name, _), at, x in zip(messages, owned, keys, strict=True):
-            codes = trie.lookup((x >> np.uint64(WORD_BITS)).astype(np.int64), x & low, successors)
-            yield pa.RecordBatch.from_pylist([{"slice": name, "bucket": bucket, "counts": narrow(counts[at]), "kinds": narrow(kinds[at]), "codes": codes.tobytes()}], schema=schema)
-        del keys, owned, trie, successors
+        # All slices' bigrams are looked up together; each slice gets its part.
+        asked = np.concatenate(keys)
+        codes = trie.lookup((asked >> np.uint64(WORD_BITS)).astype(np.int64), asked & low)
+        parts = np.split(codes, np.cumsum([len(x) for x in keys])[:-1])
+        out = [{"slice": name, "bucket": bucket, "counts": narrow(counts[at]), "kinds": narrow(kinds[at]), "codes": part.tobytes()} for (name, _), at, part in zip(messages, owned, parts, strict=True)]
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+        del keys, owned, trie, asked, codes, parts, out
         pa.default_memory_pool().release_unused()
 
 
@@ -281,7 +279,7 @@ def scored(batches: Iterable[pa.RecordBatch], n: int, v: int, texts: int, totals
         size = 1 + text["rare"][0] * min(255, width)
         common, kind = wide(text["rare"][:size]), text["rare"][size]
         rest = np.zeros(((len(text["rare"]) - size - 1) // kind, 4), np.uint8)
-        rest[:, :kind] = np.frombuffer(text["rare"], np.uint8, offset=size + 1).reshape(len(rest), -1)
+        rest[:, :kind] = np.frombuffer(text["rare"], np.uint8, offset=size + 1).reshape(len(rest), kind)
         token = np.empty(len(code), np.int64)
         token[code == 255] = rest.view("<u4").ravel()
         token[code < 255] = common[code[code < 255]]
