@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-FALLBACK_DIR = "file:///tmp/checkpoints/tallyframe"
+#: Used only by local sessions that name no spark.checkpoint.dir, as in tests.
+LOCAL_DIR = "file:///tmp/checkpoints/tallyframe"
 
 #: Spark's setting by which shuffle files go when the step that made them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,8 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a session in one process can do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or LOCAL_DIR
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -58,6 +62,14 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """The wanted column name, lengthened until no column of that name is there."""
+    names = {x.lower() for x in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

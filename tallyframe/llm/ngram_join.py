@@ -4,19 +4,22 @@ Columns of one document alone add to no overlap, so the product begins by findin
 documents, the columns that at least two have; a document for which too few are left can't reach
 the similarity with any other and is out (a bound by its size). For the rest, columns are ordered
 from the rarest; two documents that are similar enough share one of the first few of each (again a
-bound by size), which splits the matrix into groups of rows that are independent of each other.
-Each group's product is computed block by block: rows in chunks, columns in strips, and pairs are
-discarded once what is left of either row can't lift the overlap to what their sizes ask for.
+bound by size), so only rows of one such column are multiplied, block by block: rows in chunks,
+columns in strips, and pairs are discarded once what is left of either row can't lift the overlap to
+what their sizes ask for. Links are verified before they are followed: a column's rows first meet
+the first of them and one chunk of the others, and only columns whose rows aren't all connected by
+then have all their chunks meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,8 +31,8 @@ WORDS = 5
 PERCENT = 80
 #: Documents for each task of the first product, about, bytes of text that are cut up at once, and rows of a chunk of a group.
 DOCS_PER_TASK, PIECE_BYTES, CHUNK = 3000, 6 << 20, 1024
-#: Columns of a strip.
-STRIP = 4096
+#: Columns of a strip, and rows of a column that adds to its pairs one by one.
+STRIP, FEW = 4096, 4
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,15 +73,49 @@ def signature(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1
 
 
-PARTS = "bucket int, hashes binary, owners binary, sigs binary, sizes binary, doc_ids array<long>, doc_sigs array<long>, doc_sizes array<int>"
-PARTS_ARROW = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int32()))])
-FOUND = "sig long, n int, hashes binary, doc_ids array<long>, doc_sigs array<long>, doc_sizes array<int>"
-FOUND_ARROW = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), *[PARTS_ARROW.field(k) for k in ("doc_ids", "doc_sigs", "doc_sizes")]])
+ROWS = ("names", "sizes", "lengths", "hashes")  # packed rows of the matrix: 64-bit names, 32-bit set sizes and numbers of columns, 64-bit columns
+DOCS = "doc_ids array<long>, doc_keys array<long>, doc_sigs array<long>, doc_sizes array<int>"
+PARTS = f"bucket int, columns binary, owners binary, owner_names binary, owner_sizes binary, names binary, sizes binary, lengths binary, hashes binary, {DOCS}"
+FOUND = f"bucket int, names binary, sizes binary, lengths binary, hashes binary, {DOCS}"
+DOCS_ARROW = [("doc_ids", pa.list_(pa.int64())), ("doc_keys", pa.list_(pa.int64())), ("doc_sigs", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int32()))]
+FOUND_ARROW = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ROWS], *DOCS_ARROW])
+PARTS_ARROW = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("columns", "owners", "owner_names", "owner_sizes", *ROWS)], *DOCS_ARROW])
+ABLE_ARROW = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
 
 #: Owner of a column that several documents of one part have; they know it without asking.
 SEVERAL = 2**31 - 1
 
 
+def grouped(names: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Hashes by name, with the name's size."""
+    order = np.argsort(names, kind="stable")
+    names, sizes, hashes = names[order], sizes[order], hashes[order]
+    edge = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]])) if len(names) else np.zeros(1, int)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(names[a]), int(sizes[a]), hashes[a:b]
+
+
+def packed(names: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, bits: int) -> dict[int, dict[str, bytes]]:
+    """One message for each bucket of names: whatever goes to one task goes as one row, however many documents it is about."""
+    bucket = names & ((1 << bits) - 1)
+    order = np.lexsort((names, bucket))
+    names, sizes, hashes, bucket = names[order], sizes[order], hashes[order], bucket[order]
+    new = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
+    lengths = np.diff(np.append(new, len(names))).astype(np.int32)
+    out = {}
+    for b in np.unique(bucket).tolist():
+        lo, hi = np.searchsorted(bucket, [b, b + 1])
+        i, j = np.searchsorted(new, [lo, hi])
+        out[b] = {"names": names[new[i:j]].tobytes(), "sizes": sizes[new[i:j]].astype(np.int32).tobytes(), "lengths": lengths[i:j].tobytes(), "hashes": hashes[lo:hi].tobytes()}
+    return out
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A message's names, sizes and hashes, one entry for each hash."""
+    lengths = np.frombuffer(row["lengths"], np.int32)
+    return np.repeat(np.frombuffer(row["names"], np.int64), lengths), np.repeat(np.frombuffer(row["sizes"], np.int32), lengths), np.frombuffer(row["hashes"], np.uint64)
+
+
 def parts_of(batches: Iterable[pa.RecordBatch], bits: int, words: int) -> Iterator[pa.RecordBatch]:
     """Cut the incidence matrix of some documents into buckets of columns: each column with the one document that has it, or SEVERAL."""
     for batch in batches:
@@ -90,7 +127,7 @@ def parts_of(batches: Iterable[pa.RecordBatch], bits: int, words: int) -> Iterat
                 sigs.append(signature(s) if len(s) else None)
                 if len(s):
                     rows.setdefault(sigs[-1], s)
-            out = [{"bucket": (sigs[0] or 0) % (1 << bits) if sigs else 0, "doc_ids": piece["doc_id"].to_pylist(), "doc_sigs": sigs, "doc_sizes": [len(s) for s in sets]}]
+            out: dict[int, dict] = {}
             if rows:
                 names, sizes = np.fromiter(rows, np.int64, len(rows)), np.fromiter(map(len, rows.values()), np.int32, len(rows))
                 owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
@@ -101,8 +138,7 @@ def parts_of(batches: Iterable[pa.RecordBatch], bits: int, words: int) -> Iterat
                 length = np.diff(np.append(first, len(hashes)))
                 # Pre-aggregation: a column of several documents is sent once, and those documents get it back at once.
                 known = np.repeat(length > 1, length)
-                for sig, n, mine in grouped(names[owner[known]], sizes[owner[known]], hashes[known]):
-                    out.append({"bucket": sig % (1 << bits), "hashes": mine.tobytes(), "sigs": np.array([sig]).tobytes(), "sizes": np.array([n], np.int32).tobytes()})
+                out = packed(names[owner[known]], sizes[owner[known]], hashes[known], bits)
                 hashes, owner = hashes[first], np.where(length > 1, SEVERAL, owner[first])
                 edge = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 for b in np.flatnonzero(np.diff(edge)).tolist():
@@ -110,70 +146,57 @@ def parts_of(batches: Iterable[pa.RecordBatch], bits: int, words: int) -> Iterat
                     used = np.unique(o[o != SEVERAL])
                     o = np.where(o == SEVERAL, len(used), np.searchsorted(used, o))
                     o = o.astype(np.uint16 if len(used) < 2**16 else np.uint32)
-                    out.append({"bucket": b, "hashes": h.tobytes(), "owners": o.tobytes(), "sigs": names[used].tobytes(), "sizes": sizes[used].tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=PARTS_ARROW)
-
-
-def grouped(names: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Hashes by name, with the name's size."""
-    order = np.argsort(names, kind="stable")
-    names, sizes, hashes = names[order], sizes[order], hashes[order]
-    edge = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]])) if len(names) else np.zeros(1, int)
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield int(names[a]), int(sizes[a]), hashes[a:b]
+                    out.setdefault(b, {}).update({"columns": h.tobytes(), "owners": o.tobytes(), "owner_names": names[used].tobytes(), "owner_sizes": sizes[used].tobytes()})
+            listed = {"doc_ids": piece["doc_id"].to_pylist(), "doc_keys": piece["row_key"].to_pylist(), "doc_sigs": sigs, "doc_sizes": [len(s) for s in sets]}
+            out.setdefault((sigs[0] or 0) % (1 << bits) if sigs else 0, {}).update(listed)
+            yield pa.RecordBatch.from_pylist([{"bucket": b, **r} for b, r in out.items()], schema=PARTS_ARROW)
 
 
-def shared_columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From all parts of some buckets: for each document the columns that another has, too. What else comes is passed on."""
-    hashes, names, sizes = [], [], []
+def shared_columns(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """From all parts of some buckets of columns: the columns that two documents have at least, a message for each bucket of rows. What else comes is passed on."""
+    hashes, names, sizes, known = [], [], [], []
     for batch in batches:
         through = []
         for r in batch.to_pylist():
-            if r["hashes"] is None:
-                through.append({k: r[k] for k in ("doc_ids", "doc_sigs", "doc_sizes")})
-            elif r["owners"] is None:
-                through.append({"sig": int(np.frombuffer(r["sigs"], np.int64)[0]), "n": int(np.frombuffer(r["sizes"], np.int32)[0]), "hashes": r["hashes"]})
-            else:
-                h = np.frombuffer(r["hashes"], np.uint64)
+            if r["doc_ids"] is not None:
+                through.append({k: r[k] for k in ("doc_ids", "doc_keys", "doc_sigs", "doc_sizes")})
+            if r["names"] is not None:
+                known.append(unpacked(r))
+            if r["columns"] is not None:
+                h = np.frombuffer(r["columns"], np.uint64)
                 o = np.frombuffer(r["owners"], np.uint16 if len(r["owners"]) == 2 * len(h) else np.uint32)
                 hashes.append(h)
-                names.append(np.append(np.frombuffer(r["sigs"], np.int64), -1)[o])
-                sizes.append(np.append(np.frombuffer(r["sizes"], np.int32), 0)[o])
+                names.append(np.append(np.frombuffer(r["owner_names"], np.int64), -1)[o])
+                sizes.append(np.append(np.frombuffer(r["owner_sizes"], np.int32), 0)[o])
         yield pa.RecordBatch.from_pylist(through, schema=FOUND_ARROW)
-    if not hashes:
-        return
-    h, name, size = np.concatenate(hashes), np.concatenate(names), np.concatenate(sizes)
-    del hashes, names, sizes
-    order = np.lexsort((name, h))
-    h, name, size = h[order], name[order], size[order]
-    several = name == -1
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (name[1:] != name[:-1])])
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    owners = np.add.reduceat(new.astype(np.int64) + (new & several), first)
-    shared = np.repeat(owners >= 2, np.diff(np.append(first, len(h)))) & new & ~several
-    out = [{"sig": sig, "n": n, "hashes": mine.tobytes()} for sig, n, mine in grouped(name[shared], size[shared], h[shared])]
-    for i in range(0, len(out), 1000):
-        yield pa.RecordBatch.from_pylist(out[i : i + 1000], schema=FOUND_ARROW)
+    if hashes:
+        h, name, size = np.concatenate(hashes), np.concatenate(names), np.concatenate(sizes)
+        del hashes, names, sizes
+        order = np.lexsort((name, h))
+        h, name, size = h[order], name[order], size[order]
+        several = name == -1
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (name[1:] != name[:-1])])
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        owners = np.add.reduceat(new.astype(np.int64) + (new & several), first)
+        shared = np.repeat(owners >= 2, np.diff(np.append(first, len(h)))) & new & ~several
+        known.append((name[shared], size[shared], h[shared]))
+    if known:
+        for b, message in packed(*(np.concatenate(x) for x in zip(*known, strict=True)), bits).items():
+            yield pa.RecordBatch.from_pylist([{"bucket": b, **message}], schema=FOUND_ARROW)
 
 
 def merged(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """One row for each document that has enough shared columns to reach the similarity with any other."""
-    sigs, sizes, hashes = [], [], []
-    for b in batches:
-        for sig, n, h in zip(b["sig"].to_pylist(), b["n"].to_pylist(), b["hashes"].to_pylist(), strict=True):
-            h = np.frombuffer(h, np.uint64)
-            hashes.append(h)
-            sigs.append(np.full(len(h), sig))
-            sizes.append(np.full(len(h), n, np.int32))
-    if not sigs:
+    parts = [unpacked(r) for b in batches for r in b.to_pylist()]
+    if not parts:
         return
     out = []
-    for sig, n, h in grouped(np.concatenate(sigs), np.concatenate(sizes), np.concatenate(hashes)):
+    for sig, n, h in grouped(*(np.concatenate(x) for x in zip(*parts, strict=True))):
         h = np.unique(h)
         if 100 * len(h) >= percent * n:
             out.append({"sig": sig, "n": n, "hashes": h.tobytes()})
     for i in range(0, len(out), 1000):
-        yield pa.RecordBatch.from_pylist(out[i : i + 1000], schema=pa.schema([FOUND_ARROW.field(k) for k in ("sig", "n", "hashes")]))
+        yield pa.RecordBatch.from_pylist(out[i : i + 1000], schema=ABLE_ARROW)
 
 
 def exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +208,12 @@ def exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"h": np.concatenate(lists), "sig": np.repeat(part["sig"].to_numpy(), lengths), "n": np.repeat(part["n"].to_numpy(), lengths)})
 
 
-def overlaps(rows: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of a group are linked: the sparse product in strips of columns, with pairs discarded as soon as they can't be."""
+def overlaps(rows: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a block are linked: their sparse product in strips of columns, with pairs discarded as soon as they can't be.
+
+    Columns of few rows add to the pairs that they hold and to no others; columns of many rows are
+    multiplied as strips. Rows of one class are known to be connected and aren't compared.
+    """
     m = len(rows)
     flat, owner = np.concatenate(rows), np.repeat(np.arange(m), [len(r) for r in rows])
     order = np.argsort(flat, kind="stable")
@@ -200,12 +227,22 @@ def overlaps(rows: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndar
     kinds, which, weight = np.unique(pattern, return_index=True, return_counts=True)
     which, weight = which[kinds != 0], weight[kinds != 0]
     need = (percent * (sizes[:, None] + sizes[None, :]) + 99 + percent) // (100 + percent)
-    possible = (100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])) & ~np.eye(m, dtype=bool)
+    possible = (100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])) & (classes[:, None] != classes[None, :])
     total = np.zeros((m, m), np.float32)
+    for k in range(2, FEW + 1):
+        cols = length[which] == k
+        held, w = owner[first[which[cols]][:, None] + np.arange(k)], weight[cols]
+        for x, y in combinations(range(k), 2):
+            np.add.at(total, (held[:, x], held[:, y]), w)
+            np.add.at(total, (held[:, y], held[:, x]), w)
+    which, weight = which[length[which] > FEW], weight[length[which] > FEW]
     rest = np.zeros(m, np.int64)
     np.add.at(rest, owner[ranges(first[which], length[which])], np.repeat(weight, length[which]))
-    live = np.arange(m)
+    possible &= total + np.minimum(rest[:, None], rest[None, :]) >= need
     for a in range(0, len(which), STRIP):
+        live = np.flatnonzero(possible.any(1))
+        if not len(live):
+            break
         cols, w = which[a : a + STRIP], weight[a : a + STRIP]
         strip = np.zeros((m, len(cols)), np.float32)
         strip[owner[ranges(first[cols], length[cols])], np.repeat(np.arange(len(cols)), length[cols])] = 1
@@ -213,9 +250,6 @@ def overlaps(rows: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndar
         part = strip[live]
         total[np.ix_(live, live)] += (part * w.astype(np.float32)) @ part.T
         possible &= total + np.minimum(rest[:, None], rest[None, :]) >= need
-        live = np.flatnonzero(possible.any(1))
-        if not len(live):
-            break
     return possible & (total >= need)
 
 
@@ -226,12 +260,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group -> for each row of a group the first row that it is linked with by way of rows of the group."""
+    """Rows sorted by block -> for each row of a block the first row that it is linked with by way of rows of the block."""
 
-    def ends(sigs: list[int], sizes: list[int], rows: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        if len(sigs) < 2:
+    def ends(sigs: list[int], sizes: list[int], classes: list[int], rows: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        if len(set(classes)) < 2:
             return
-        link = overlaps(rows, np.array(sizes, np.int64), percent)
+        link = overlaps(rows, np.array(sizes, np.int64), np.array(classes, np.int64), percent)
         label = np.arange(len(sigs))
         while True:
             low = np.minimum(label, np.where(link, label[None, :], len(sigs)).min(1))
@@ -242,35 +276,54 @@ def linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         for i in np.flatnonzero(label != np.arange(len(sigs))).tolist():
             yield sigs[i], sigs[label[i]]
 
-    key, group = None, ([], [], [])
+    key, group = None, ([], [], [], [])
     for b in batches:
         out = []
         for r in b.to_pylist():
-            if (now := (r["component"], r["i"], r["j"])) != key:
+            if (now := (r["block"], r["i"], r["j"])) != key:
                 out += ends(*group)
-                key, group = now, ([], [], [])
+                key, group = now, ([], [], [], [])
             group[0].append(r["sig"])
             group[1].append(r["n"])
-            group[2].append(np.frombuffer(r["hashes"], np.uint64))
+            group[2].append(r["class"])
+            group[3].append(np.frombuffer(r["hashes"], np.uint64))
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
     last = list(ends(*group))
     yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in last], pa.int64()), "b": pa.array([y for _, y in last], pa.int64())})
 
 
-def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def chunked(members: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """members (block, sig, ...) with the number of chunks of their block, and the blocks of more than one chunk, written: at most a row for each chunk of rows."""
+    large = stored(members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1"), "large-blocks")
+    return members.join(large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")), large
+
+
+def products(rows: DataFrame, able: DataFrame, tasks: int, percent: int) -> DataFrame:
+    """(a, b) links within each (block, i, j) of rows, each of which brings its columns along; written."""
+    rows = rows.join(able, "sig").repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j", "sig")
+    return stored(rows.mapInArrow(lambda it: linked(it, percent), "a long, b long"), "links")
+
+
+def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, its own included) for every row of docs.
 
     docs: doc_id (long), text; other columns don't matter. Null, empty and blank texts have no shingles
     and link with nothing; repeated rows link with each other; a null doc_id counts for no component's
     smallest one; an empty table gives an empty one. Texts of any length are taken whole.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tasks = max(12, docs.count() // DOCS_PER_TASK)
+    return row_classes(docs, F.lit(0), words, percent, chunk, docs_per_task).select("doc_id", "n_shingles", "component_id")
+
+
+def row_classes(docs: DataFrame, row_key: Column, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
+    """As ngram_components, with row_key (long) as given and class, the group's own name, for rows with null or repeated ids; it is null without shingles."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key.cast("long").alias("row_key"))
+    tasks = max(12, docs.count() // docs_per_task)
     bits = max(4, (2 * tasks - 1).bit_length())
     parts = docs.mapInArrow(lambda it: parts_of(it, bits, words), PARTS)
-    found = stored(parts.repartition(tasks, "bucket").mapInArrow(shared_columns, FOUND), "shared-columns")
-    listed = found.where("doc_sizes is not null").select(F.inline(F.arrays_zip("doc_ids", "doc_sigs", "doc_sizes"))).toDF("doc_id", "sig", "n_shingles")
-    able = stored(found.where("sig is not null").select("sig", "n", "hashes").repartition(tasks, "sig").mapInArrow(lambda it: merged(it, percent), "sig long, n int, hashes binary"), "able-rows")
+    found = stored(parts.repartition(tasks, "bucket").mapInArrow(lambda it: shared_columns(it, bits), FOUND), "shared-columns")
+    listed = found.where("doc_sizes is not null").select(F.inline(F.arrays_zip("doc_ids", "doc_keys", "doc_sigs", "doc_sizes"))).toDF("doc_id", "row_key", "sig", "n_shingles")
+    able = found.where("names is not null").select("bucket", *ROWS).repartition(tasks, "bucket")
+    able = stored(able.mapInArrow(lambda it: merged(it, percent), "sig long, n int, hashes binary"), "able-rows")
 
     columns = able.mapInArrow(exploded, "h long, sig long, n int")
     often = columns.groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
@@ -280,20 +333,33 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = ranked.withColumns({"place": F.row_number().over(by_sig.orderBy("owners", "h")), "alone": alone}).where(F.col("place") + F.col("alone") <= prefix).select("h", "sig")
     ranked = stored(ranked, "rare-columns")
-    first = ranked.groupBy("h").agg(F.min("sig").alias("b"))
-    groups = connected_components(ranked.join(first, "h").select(F.col("sig").alias("a"), "b"))
-    chunks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    rows = groups.join(chunks, "component").select("component", F.col("node").alias("sig"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rows = rows.select("component", "sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(able, "sig")
-    rows = rows.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j", "sig")
-    links = stored(rows.mapInArrow(lambda it: linked(it, percent), "a long, b long"), "links")
-    classes = connected_components(links).withColumnRenamed("node", "sig")
-    named = listed.join(classes, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
+    # First each column's rows are multiplied with the column's first row and with the rest of their own chunk: as many rows as the columns have.
+    first = ranked.groupBy("h").agg(F.min("sig").alias("block"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "block")
+    members = stored(ranked.join(first, "h").where("sig <> block").select("block", "sig").distinct(), "blocks")
+    spread, large = chunked(members, chunk)
+    leads = members.select("block").distinct().join(large, "block", "left").select("block", F.col("block").alias("sig"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("i"))
+    rows = spread.select("block", "sig", F.col("mine").alias("i")).unionByName(leads).withColumns({"j": F.col("i"), "class": F.col("sig")})
+    links = products(rows, able, tasks, percent)
+    classes = stored(connected_components(links), "classes")
+    discard(members, large)
+
+    # What is left are columns whose rows are not all connected by then: those are multiplied chunk by chunk.
+    classed = ranked.join(classes, F.col("sig") == F.col("node"), "left").select("h", "sig", F.coalesce("component", "sig").alias("class"))
+    split = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("rows"))
+    split = split.where("low <> high").select("h", F.xxhash64("sum", "rows").alias("block"))  # columns of the same rows are one block
+    members = stored(classed.join(split, "h").select("block", "sig", "class").distinct(), "split-blocks")
+    spread, large = chunked(members, chunk)
+    rows = spread.select("block", "sig", "class", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    rows = rows.select("block", "sig", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    more = products(rows, able, tasks, percent)
+    known = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = connected_components(known.unionByName(more)).withColumnRenamed("node", "sig")
+    named = listed.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = named.where("sig is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    result = named.join(smallest, "component", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = named.join(smallest, "component", "left").select("doc_id", "row_key", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component").alias("class"))
     result = stored(result, "ngram-components")
-    discard(found, able, ranked, links)
+    discard(found, able, ranked, links, classes, members, large, more)
     return result
 
 

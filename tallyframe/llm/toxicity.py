@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod, discard, stored, table
+from .common import crc_mod, discard, free_name, stored, table
 
 #: Labelled rows that the grammar learns from, at most, for each label; they are the first in the order of a hash of their id.
 MAX_ROWS_PER_LABEL = 6000
@@ -282,17 +282,24 @@ def ridge_logit(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: np.ndarray,
     return beta
 
 
-def score_toxicity(docs: DataFrame, model: Grammar, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep and toxicity (0 to 1) for every row; null and empty texts get the score of a text without matches."""
+def score_toxicity(docs: DataFrame, model: Grammar, keep: tuple[str, ...] = ("doc_id",), name: str = "toxicity") -> DataFrame:
+    """The columns in keep and the score (0 to 1), under a name that isn't among them, for every row.
+
+    docs: text, and what is kept; other columns don't matter, whatever their names. Null and empty
+    texts get the score of a text without matches; texts of any length are read whole, clause by
+    clause; repeated rows get equal scores; an empty table gives an empty one.
+    """
+    if name in keep:
+        raise ValueError(f"{name!r} is a column already")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = pa.array([model.score(t.as_py()) for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], names=[*keep, "toxicity"])
+            scores = pa.array([model.score(t.as_py()) for t in b.column(len(keep))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], scores], names=[*keep, name])
 
-    at = keep.index("text") if "text" in keep else len(keep)
-    rows = docs.select(*keep, *[F.col("text").alias("scored_text")] * (at == len(keep)))
-    return rows.mapInArrow(score, StructType([*docs.select(*keep).schema, StructField("toxicity", DoubleType())]))
+    kept = docs.select(*keep)
+    rows = docs.select(*keep, F.col("text").alias(free_name([*keep, name], "scored_text")))
+    return rows.mapInArrow(score, StructType([*kept.schema, StructField(name, DoubleType())]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

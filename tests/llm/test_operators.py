@@ -141,9 +141,8 @@ def test_ngram_join(docs, none):
     assert ngram_join.ngram_components(none).count() == 0
 
 
-def test_ngram_join_in_chunks_and_strips(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK", 3)
-    assert got(ngram_join.ngram_components(docs), "doc_id", "n_shingles", "component_id") == brute.ngram_join(ROWS)
+def test_ngram_join_in_chunks_and_strips(docs):
+    assert got(ngram_join.ngram_components(docs, chunk=3), "doc_id", "n_shingles", "component_id") == brute.ngram_join(ROWS)
 
 
 def test_overlaps_are_exact():
@@ -152,11 +151,13 @@ def test_overlaps_are_exact():
         old, ngram_join.STRIP = ngram_join.STRIP, strip
         base = r.integers(0, 2**63, 40, dtype=np.uint64)
         rows = [np.unique(np.concatenate([r.choice(base, 36, replace=False), r.integers(0, 2**63, r.integers(0, 6), dtype=np.uint64)])) for _ in range(60)]
-        link = ngram_join.overlaps(rows, np.array([len(x) for x in rows]), 80)
-        for i, a in enumerate(rows):
-            for j, b in enumerate(rows):
-                common = len(np.intersect1d(a, b))
-                assert link[i, j] == (i != j and 100 * common >= 80 * (len(a) + len(b) - common))
+        rows += [rows[0][:-1], rows[1][1:]]  # columns of few rows
+        for groups in (np.arange(62), np.arange(62) // 5):
+            link = ngram_join.overlaps(rows, np.array([len(x) for x in rows]), groups, 80)
+            for i, a in enumerate(rows):
+                for j, b in enumerate(rows):
+                    common = len(np.intersect1d(a, b))
+                    assert link[i, j] == (groups[i] != groups[j] and 100 * common >= 80 * (len(a) + len(b) - common))
         ngram_join.STRIP = old
 
 

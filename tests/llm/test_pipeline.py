@@ -62,3 +62,19 @@ def test_copies_follow_the_mix(spark):
     counted = corpus_pipeline.mixing(spark, docs, SF).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     got = {r.source: r.n for r in counted.collect()}
     assert abs(got["s0"] - 40 / 3) <= 1 and abs(got["s1"] - 80 / 3) <= 1
+
+
+def test_one_id_with_two_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    base, near, other = " ".join(words), " ".join(words[:-1]), " ".join(reversed(words))
+    rows = [(1, base, "a"), (1, other, "a"), (2, near, "a"), (2, near, "a"), (None, base, "a"), (None, "lone words of a row without an id", "b"), (3, None, "b"), (3, None, "b"), (4, "", "b"), (None, " ", "b")]
+    docs = brute.frame(spark, rows)
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(1, base), (1, other), (None, rows[5][1]), (3, None), (3, None), (4, ""), (None, " ")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    # The representative may be a row that stands twice, or one without an id.
+    twice = corpus_pipeline.near_duplicates(spark, docs.where("doc_id = 2 or doc_id is null and source = 'a'"), SF)
+    assert [(r.doc_id, r.text) for r in twice.collect()] == [(2, near)]
+    nameless = corpus_pipeline.near_duplicates(spark, docs.where("doc_id is null"), SF)
+    assert sorted((r.text for r in nameless.collect())) == [" ", rows[5][1], base]
