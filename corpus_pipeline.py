@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import discard, stored, table
+from tallyframe.llm.common import SPACE_WORD, discard, free_name, stored, table
 from tallyframe.llm.decontamination import find_contamination
 from tallyframe.llm.mixing import mix_sources
-from tallyframe.llm.ngram_join import ngram_components
+from tallyframe.llm.ngram_join import row_classes
 from tallyframe.llm.sharding import assign_shards
 from tallyframe.llm.toxicity import THRESHOLD, fit_grammar, score_toxicity
 
@@ -23,16 +23,25 @@ from tallyframe.llm.toxicity import THRESHOLD, fit_grammar, score_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the grammar, learned from docs and labels, doesn't reject."""
     model = fit_grammar(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, tuple(docs.columns)).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    score = free_name(docs.columns, "toxicity")
+    return score_toxicity(docs, model, tuple(docs.columns), score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id; of rows with that same id the one with the least text."""
-    groups = ngram_components(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies one row: that with the smallest doc_id (null last), among those with one id any one text of the group.
+
+    Rows are known by their id and text, so rows of one id and different texts are judged apart, and
+    rows without an id like others. Texts without words belong to no group and stay.
+    """
+    row_key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    groups = row_classes(docs, row_key).where("class is not null")
+    kept = groups.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))["row_key"].alias("kept_key")).select("kept_key").distinct()
+    key, place = free_name(docs.columns, "row_key"), free_name(docs.columns, "place")
+    worded = F.col("text").rlike(SPACE_WORD)
+    once = Window.partitionBy(key, "doc_id", "text").orderBy(F.lit(0))
+    named = docs.where(worded).withColumn(key, row_key).join(kept, F.col(key) == F.col("kept_key"), "left_semi")
+    named = named.withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).select(*docs.columns)
+    return named.unionByName(docs.where(~F.coalesce(worded, F.lit(False))))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
