@@ -110,6 +110,20 @@ def packed(names: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, bits: int)
     return out
 
 
+def ascending(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers by their gaps, in as few bytes each as the widest needs; the number of bytes comes first."""
+    gaps = np.diff(x, prepend=np.uint64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def ascended(b: bytes, start: int) -> np.ndarray:
+    """The numbers that ascending() has packed, from a start on."""
+    wide = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
+    wide[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.uint64(start)
+
+
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A message's names, sizes and hashes, one entry for each hash."""
     lengths = np.frombuffer(row["lengths"], np.int32)
@@ -146,7 +160,7 @@ def parts_of(batches: Iterable[pa.RecordBatch], bits: int, words: int) -> Iterat
                     used = np.unique(o[o != SEVERAL])
                     o = np.where(o == SEVERAL, len(used), np.searchsorted(used, o))
                     o = o.astype(np.uint16 if len(used) < 2**16 else np.uint32)
-                    out.setdefault(b, {}).update({"columns": h.tobytes(), "owners": o.tobytes(), "owner_names": names[used].tobytes(), "owner_sizes": sizes[used].tobytes()})
+                    out.setdefault(b, {}).update({"columns": ascending(h - np.uint64(b << 64 - bits)), "owners": o.tobytes(), "owner_names": names[used].tobytes(), "owner_sizes": sizes[used].tobytes()})
             listed = {"doc_ids": piece["doc_id"].to_pylist(), "doc_keys": piece["row_key"].to_pylist(), "doc_sigs": sigs, "doc_sizes": [len(s) for s in sets]}
             out.setdefault((sigs[0] or 0) % (1 << bits) if sigs else 0, {}).update(listed)
             yield pa.RecordBatch.from_pylist([{"bucket": b, **r} for b, r in out.items()], schema=PARTS_ARROW)
@@ -163,7 +177,7 @@ def shared_columns(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.
             if r["names"] is not None:
                 known.append(unpacked(r))
             if r["columns"] is not None:
-                h = np.frombuffer(r["columns"], np.uint64)
+                h = ascended(r["columns"], r["bucket"] << 64 - bits)
                 o = np.frombuffer(r["owners"], np.uint16 if len(r["owners"]) == 2 * len(h) else np.uint32)
                 hashes.append(h)
                 names.append(np.append(np.frombuffer(r["owner_names"], np.int64), -1)[o])
@@ -292,12 +306,6 @@ def linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in last], pa.int64()), "b": pa.array([y for _, y in last], pa.int64())})
 
 
-def chunked(members: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """members (block, sig, ...) with the number of chunks of their block, and the blocks of more than one chunk, written: at most a row for each chunk of rows."""
-    large = stored(members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1"), "large-blocks")
-    return members.join(large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")), large
-
-
 def products(rows: DataFrame, able: DataFrame, tasks: int, percent: int) -> DataFrame:
     """(a, b) links within each (block, i, j) of rows, each of which brings its columns along; written."""
     rows = rows.join(able, "sig").repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j", "sig")
@@ -337,29 +345,32 @@ def row_classes(docs: DataFrame, row_key: Column, words: int = WORDS, percent: i
     # First each column's rows are multiplied with the column's first row and with the rest of their own chunk: as many rows as the columns have.
     first = ranked.groupBy("h").agg(F.min("sig").alias("block"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "block")
     members = stored(ranked.join(first, "h").where("sig <> block").select("block", "sig").distinct(), "blocks")
-    spread, large = chunked(members, chunk)
-    leads = members.select("block").distinct().join(large, "block", "left").select("block", F.col("block").alias("sig"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("i"))
-    rows = spread.select("block", "sig", F.col("mine").alias("i")).unionByName(leads).withColumns({"j": F.col("i"), "class": F.col("sig")})
-    links = products(rows, able, tasks, percent)
+    large = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1")
+    large = stored(large, "large-blocks")  # at most a row for each chunk of rows
+    chunks = F.coalesce("chunks", F.lit(1))
+    mine = F.pmod(F.xxhash64("sig"), chunks).cast("int")
+    spread = members.join(large, "block", "left").select("block", "sig", mine.alias("i"))
+    leads = members.select("block").distinct().join(large, "block", "left").select("block", F.col("block").alias("sig"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("i"))
+    links = products(spread.unionByName(leads).withColumns({"j": F.col("i"), "class": F.col("sig")}), able, tasks, percent)
     classes = stored(connected_components(links), "classes")
-    discard(members, large)
-
-    # What is left are columns whose rows are not all connected by then: those are multiplied chunk by chunk.
-    classed = ranked.join(classes, F.col("sig") == F.col("node"), "left").select("h", "sig", F.coalesce("component", "sig").alias("class"))
-    split = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("rows"))
-    split = split.where("low <> high").select("h", F.xxhash64("sum", "rows").alias("block"))  # columns of the same rows are one block
-    members = stored(classed.join(split, "h").select("block", "sig", "class").distinct(), "split-blocks")
-    spread, large = chunked(members, chunk)
-    rows = spread.select("block", "sig", "class", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rows = rows.select("block", "sig", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    more = products(rows, able, tasks, percent)
-    known = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = connected_components(known.unionByName(more)).withColumnRenamed("node", "sig")
+
+    # What is left are columns of several chunks whose rows are not all connected by then: their chunks are multiplied with each other.
+    made = [found, able, ranked, links, classes, members, large]
+    groups = classes
+    if not large.isEmpty():
+        classed = ranked.join(first.join(large, "block"), "h").join(classes, F.col("sig") == F.col("node"), "left").select("h", "block", "chunks", "sig", F.coalesce("component", "sig").alias("class"))
+        split = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("h")
+        apart = stored(classed.join(split, "h", "left_semi").select("block", "chunks", "sig", "class").distinct(), "split-blocks")
+        met = apart.select("block", "sig", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).where("mine <> other")
+        more = products(met.select("block", "sig", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")), able, tasks, percent)
+        groups = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        made += [apart, more]
+    groups = groups.withColumnRenamed("node", "sig")
     named = listed.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = named.where("sig is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     result = named.join(smallest, "component", "left").select("doc_id", "row_key", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component").alias("class"))
     result = stored(result, "ngram-components")
-    discard(found, able, ranked, links, classes, members, large, more)
+    discard(*made)
     return result
 
 
