@@ -40,6 +40,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: later steps don't recompute it, and lost executors take nothing with them.
 
     What the step shuffled isn't needed any more then, so Spark is told to delete it at the step's end.
+    A table that discard() hasn't deleted by then, such as an operator's result, goes with the driver.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -51,15 +52,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
+    where, folder = folder_of(back)
+    where.deleteOnExit(folder)
     return back
 
 
+def folder_of(df: DataFrame) -> tuple:
+    """A stored table's file system and path."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    return path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        where, folder = folder_of(df)
+        where.delete(folder, True)
 
 
 def free_name(taken: Iterable[str], wanted: str) -> str:

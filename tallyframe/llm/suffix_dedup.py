@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, stored, table
@@ -264,26 +264,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     body = F.coalesce("text", F.lit("")).cast("binary")
     keyed = docs.select("doc_id", F.xxhash64(body).alias("key"), body.alias("text"))
     rows = stored(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"), *[F.col("text").cast("string").alias("whole_text")] * with_text), "dedup-rows")
-    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    long = F.col("n_bytes") >= length
+    copies = stored(rows.where(long).groupBy("whole_sha256").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copied-texts")
     spots = stored(keyed.select("key", "text").mapInArrow(lambda it: spots_of(it, length, gram), SPOTS), "spots")
     place = F.xxhash64("key", "at", "first")
     # Equal pieces around an anchor: all of them are repeated as a whole, and one of them leads the others on.
     kinds = spots.groupBy("h", "content").agg(F.min(place).alias("a"), F.max(place).alias("b"))
     anchors_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("a") != F.col("b")).alias("some"))
-    kinds = kinds.join(anchors_.where("kinds > 1 OR some"), "h")
+    # Written, so that neither side of the next join is bound to a task by its key, and Spark can split hot ones.
+    kinds = stored(kinds.join(anchors_.where("kinds > 1 OR some"), "h"), "kinds")
     marks = F.struct("h", "at", "first", "last", (F.col("a") != F.col("b")).alias("whole"), ((place == F.col("a")) & (F.col("kinds") > 1)).alias("lead"), (F.col("kinds") > KINDS).alias("hot"))
     marked = stored(spots.join(kinds, ["h", "content"]).select("key", marks.alias("spot")), "marked")
-    discard(spots)
+    discard(spots, kinds)
     lists = marked.groupBy("key").agg(F.collect_set("spot").alias("spots"))
     distinct = keyed.where(F.octet_length("text") >= length).groupBy("key").agg(F.first("text").alias("text"))
     suspects = stored(distinct.join(lists, "key"), "suspects")
     leads = marked.where("spot.lead").agg(F.count_if(~F.col("spot.hot")).alias("cool"), F.count_if("spot.hot").alias("hot")).first()
     discard(marked)
+    made = [suspects]
     tasks = max(12, int(leads.cool * 1.5 * length // BYTES_PER_TASK))
     pieces = suspects.mapInArrow(lambda it: pieces_of(it, length), PIECES).repartition(tasks, "h")
     repeats = pieces.mapInArrow(lambda it: repeats_of(it, length), "key long, start long, end long")
     if leads.hot:
         strings = stored(suspects.mapInArrow(lambda it: strings_of(it, length), "a long, b long, key long, start long"), "strings")
+        made.append(strings)
         place = F.xxhash64("key", "start")
         often = strings.groupBy("a", "b").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("a", "b")
         repeats = repeats.unionByName(strings.join(often, ["a", "b"]).select("key", "start", (F.col("start") + length).alias("end")))
@@ -291,22 +295,44 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     wholes = F.transform(F.filter("spots", lambda s: s["whole"]), lambda s: F.struct(s["first"].alias("start"), (s["last"] + length).alias("end")))
     cut = suspects.select("key", "text", wholes.alias("wholes")).join(ranges, "key", "left").where(F.col("ranges").isNotNull() | (F.size("wholes") > 0))
     cut = stored(cut.mapInArrow(lambda it: cut_out(it, with_text), "key long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "cut")
-    discard(suspects, ranges)
-    joined = rows.join(copies, "key").join(cut, "key", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return joined.select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
-        *([F.when(whole, F.lit("")).otherwise(F.coalesce("kept_text", "whole_text")).alias("kept_text")] * with_text),
-    )
+    joined = rows.where(long).join(copies, "whole_sha256", "left").join(cut, "key", "left")
+    whole = F.col("copies").isNotNull()
+
+    def outcome(gone: Column, n_removed: Column, n_spans: Column, kept_sha256: Column, kept_text: Column) -> list[Column]:
+        return [
+            F.col("doc_id"),
+            F.col("n_bytes"),
+            F.when(gone, F.col("n_bytes")).otherwise(F.coalesce(n_removed, F.lit(0))).cast("long").alias("n_removed"),
+            F.when(gone, F.lit(1)).otherwise(F.coalesce(n_spans, F.lit(0))).cast("long").alias("n_spans"),
+            F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce(kept_sha256, "whole_sha256")).alias("kept_sha256"),
+            *([F.when(gone, F.lit("")).otherwise(F.coalesce(kept_text, "whole_text")).alias("kept_text")] * with_text),
+        ]
+
+    none = F.lit(None)
+    result = joined.select(*outcome(whole, *map(F.col, ("n_removed", "n_spans", "kept_sha256", "kept_text")))).unionByName(rows.where(~long).select(*outcome(F.lit(False), none, none, none, none)))
+    result = stored(result, "suffix-dedup")
+    discard(rows, copies, ranges, cut, *made)
+    return result
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def oracle(documents: str = "documents") -> str:
+    """Bytes as two hexadecimal digits each, as SQL has no substrings of blobs."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS t FROM {documents}),
+n AS (SELECT k, doc_id, t, length(t) // 2 AS n_bytes FROM d),
+s AS (SELECT k, i, md5(substring(t, 2 * i + 1, {2 * LENGTH})) AS x FROM (SELECT k, t, unnest(range(0, n_bytes - {LENGTH - 1})) AS i FROM n WHERE n_bytes >= {LENGTH})),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY x) AS c FROM s) WHERE c > 1),
+g AS (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS run FROM (SELECT k, i, (i - coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), -{LENGTH + 1}) > {LENGTH})::INT AS fresh FROM r)),
+u AS (SELECT k, run, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY k, run),
+p AS (SELECT u.k, u.run, u.a, u.b, coalesce(lag(u.b) OVER w, 0) AS before, lead(u.a) OVER w IS NULL AS is_last, n.t, n.n_bytes FROM u JOIN n USING (k) WINDOW w AS (PARTITION BY u.k ORDER BY u.a)),
+c AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substring(t, 2 * before + 1, 2 * (a - before)) || CASE WHEN is_last THEN substring(t, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM p GROUP BY k)
+SELECT n.doc_id, n.n_bytes::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(c.kept, n.t))) AS kept_sha256
+FROM n LEFT JOIN c USING (k)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_suffix_dedup": op8_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_suffix_dedup": oracle()}
