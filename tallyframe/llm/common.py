@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts that split on ASCII white space, and of those that split on anything but digits, letters and non-ASCII.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts the words; of the second kind, where A-Z are not lower-cased yet.
+SPACE, NOT_ALNUM = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Used only by local sessions that name no spark.checkpoint.dir, as in tests.
@@ -83,6 +85,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def count_words(text: Column, between: str) -> Column:
+    """How many words a text has, where `between` matches what parts them; null has none. Much faster than counting a pattern's matches."""
+    parts = F.split(F.coalesce(text, F.lit("")), between)
+    blank = lambda at: (F.element_at(parts, at) == "").cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.size(parts).cast("long") - blank(1) - blank(-1))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

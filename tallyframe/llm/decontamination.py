@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ALNUM_WORD, ascii_lower, discard, stored, table
+from .common import ALNUM_WORD, NOT_ALNUM, ascii_lower, count_words, discard, stored, table
 
 WINDOW = 10
 #: Lists that are intersected for each window: its rarest terms, as far as a list is at most so many times as long as the rarest one's.
 LISTS, LONGER = 3, 8
 #: A set of test terms or windows of at most so many rows is broadcast (some tens of MB); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Where terms are joined by a shuffle: those with more than one in so many of all postings are hot, so there are at most so many of them; and postings of one term that a task takes.
+HOT_TERMS, POSTINGS_PER_TASK = 10_000, 1_000_000
 
 NOT_WORD = ALNUM_WORD.replace("[^", "[", 1)
 
@@ -31,6 +33,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
+def split_text(text: Column) -> Column:
+    """A text between its runs of other characters; before the first and after the last of them there may be nothing."""
+    return F.split(F.coalesce(text, F.lit("")), NOT_ALNUM)
+
+
+def tokens_of(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns in keep, pos and term of every token; positions count from 0, or from 1 where a text begins with other characters."""
+    term = F.col("term")
+    lower = F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(ascii_lower(term))
+    return rows.select(*keep, F.posexplode(split_text(F.col("text"))).alias("pos", "term")).where("term <> ''").select(*keep, "pos", lower.alias("term"))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -64,15 +78,23 @@ def phrase_matches(rows: DataFrame, windows: DataFrame, window: int = WINDOW, li
 
     rows: doc_id, text_key, text. Candidates come from the intersection of the index's lists, never from pairs of documents and windows.
     """
-    docs = rows.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
     n = windows.count() * window
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    tokens = docs.select(F.explode("words").alias("term"))
-    frequencies = stored(tokens.join(small(vocabulary, n), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("frequency")), "term-frequencies")
+    counted = F.count(F.lit(1)).alias("frequency")
+    if n <= BROADCAST_ROWS:
+        frequencies = tokens_of(rows).join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(counted)
+    else:  # counted before they are shuffled, so no term is hot
+        frequencies = tokens_of(rows).groupBy("term").agg(counted).join(vocabulary, "term", "left_semi")
+    frequencies = stored(frequencies, "term-frequencies")
     terms = stored(index_terms(windows, frequencies, lists), "index-terms")
     wanted = terms.select("term").distinct()
-    index = stored(docs.select("doc_id", "text_key", F.posexplode("words").alias("pos", "term")).join(small(wanted, n), "term"), "postings")
-    shifted = index.join(small(terms, n), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    tokens = tokens_of(rows, "doc_id", "text_key")
+    if n <= BROADCAST_ROWS:
+        index = stored(tokens.join(F.broadcast(wanted), "term"), "postings")
+        shifted = index.join(F.broadcast(terms), "term")
+    else:
+        index, shifted = hot_postings(tokens, wanted, terms, frequencies)
+    shifted = shifted.withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
     # The intersection: a start is kept if all the window's lists have it. Rows with one id and text count once, as each list is a bit.
     have = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place") - 1))
     met = shifted.groupBy("doc_id", "text_key", "wid", "start").agg(have.alias("have"), F.first("lists").alias("lists"), F.first("length").alias("length"))
@@ -82,13 +104,31 @@ def phrase_matches(rows: DataFrame, windows: DataFrame, window: int = WINDOW, li
     asked = stored(asked, "candidates")
     discard(frequencies, terms, index)
     told = rows.join(asked.hint("merge"), rows["doc_id"].eqNullSafe(asked["asked_id"]) & (rows["text_key"] == asked["asked_key"]))
-    told = told.select("doc_id", "text_key", "asked", words_of(F.col("text")).alias("words"))
-    spelled = F.filter("asked", lambda a: phrase_id(F.slice("words", a["start"] + 1, a["length"])) == a["wid"])
+    told = told.select("doc_id", "text_key", "asked", split_text(ascii_lower(F.col("text"))).alias("words"))
+    lead = (F.element_at("words", 1) == "").cast("int")
+    right = F.filter("asked", lambda a: phrase_id(F.slice("words", a["start"] + 1, a["length"])) == a["wid"])
+    spelled = F.transform(right, lambda a: a.withField("start", a["start"] - lead))
     matches = stored(told.select("doc_id", "text_key", F.inline(spelled)), "matches")
     discard(asked)
     return matches
 
 
+def hot_postings(tokens: DataFrame, wanted: DataFrame, terms: DataFrame, frequencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index and its join with the windows' terms, where both are too large to broadcast and some terms are very common.
+
+    Postings of hot terms are found by a broadcast, which holds HOT_TERMS rows at most. Each term's
+    postings are dealt to as many parts as they fill, and the windows' terms go to each of the parts.
+    """
+    total = frequencies.agg(F.coalesce(F.sum("frequency"), F.lit(0))).first()[0]
+    parts = F.ceil(F.col("frequency") / POSTINGS_PER_TASK).cast("int").alias("parts")
+    sized = wanted.join(frequencies, "term").select("term", parts, (F.col("frequency") * HOT_TERMS > total).alias("hot"))
+    found = [tokens.join(F.broadcast(sized.where("hot").drop("hot")), "term"), tokens.join(sized.where("not hot").drop("hot").hint("merge"), "term")]
+    part = F.pmod(F.xxhash64("doc_id", "text_key", "pos"), F.col("parts")).cast("int").alias("part")
+    index = stored(found[0].unionByName(found[1]).select("doc_id", "text_key", "pos", "term", part), "postings")
+    dealt = terms.join(sized.drop("hot"), "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return index, index.join(dealt, ["term", "part"])
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 5, lists: int = LISTS) -> DataFrame:
     """(doc_id, wid, first): where a benchmark window's rarest terms stand, in any order, within so many words more than in the window.
 
@@ -117,7 +157,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     docs: doc_id, text; items: item_id, text; other columns don't matter. A document word inside any
     occurrence of a window is hit. Null, empty and wordless texts have no words, hit nothing and are
     not contaminated; items without words have no windows; repeated rows give equal results; empty
-    tables give no hits. items_sha256 of no items is that of an empty text.
+    tables give no hits. Texts are read whole, whatever their length: their tokens are rows. Of equal
+    windows one is searched. items_sha256 of no items is that of an empty text.
     """
     rows = keyed(docs)
     windows, uses = benchmark_windows(items.select("item_id", "text"), window)
@@ -134,7 +175,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     hit = F.aggregate("starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), cover)["n"]
     found = matches.select(*key, "wid").distinct().join(small(uses, uses.count()), "wid").groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     by_doc = starts.select(*key, hit.alias("n_hit")).join(found, (starts["doc_id"].eqNullSafe(found["doc_id"])) & (starts["text_key"] == found["text_key"])).select(starts["doc_id"].alias("hit_id"), starts["text_key"].alias("hit_key"), "n_hit", "item_ids")
-    flat = rows.select("doc_id", "text_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    flat = rows.select("doc_id", "text_key", count_words(F.col("text"), NOT_ALNUM).alias("n_words"))
     joined = flat.join(by_doc, flat["doc_id"].eqNullSafe(by_doc["hit_id"]) & (flat["text_key"] == by_doc["hit_key"]), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return joined.select(

@@ -9,17 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_WORD, stored, table
+from .common import SPACE, count_words, stored, table
 
 #: The weights of the sources in code point order, repeating; a source's target is at most this many times its size.
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Rows of a key range, about.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 #: Hexadecimal digits of md5 that make the key.
 KEY_DIGITS = 15
 
@@ -52,13 +52,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
+    """How many words of every row the mix takes, repeats counted: mix_rows() without its row_key."""
+    return mix_rows(docs, F.lit(0), weights, max_epochs, seed).drop("row_key")
+
+
+def mix_rows(docs: DataFrame, row_key: Column, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
     """How many words of every row the mix takes, repeats counted.
 
     docs: doc_id, text, source; other columns are ignored. Returns doc_id, size (white-space words;
-    null: 0), source_size, target (the source's, in words) and taken. taken sums to the source's
+    null: 0), source_size, target (the source's, in words), taken and row_key as given (long). taken sums to the source's
     rounded target: whole epochs first, then rows in key order, the row at the cut in part. Null
-    sources are one source, last in order; rows without words take nothing; repeated rows tie and
-    give equal results in either order; an empty table gives an empty one; without any word every
+    sources are one source, last in order; rows without words take nothing; texts of any
+    length count whole; repeated rows tie and give equal results in either order; an empty table gives an empty one; without any word every
     target is 0.
     """
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, KEY_DIGITS)
@@ -66,7 +71,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
         docs.select(
             "doc_id",
             "source",
-            F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"),
+            count_words(F.col("text"), SPACE).alias("size"),
+            row_key.cast("long").alias("row_key"),
             F.conv(digits, 16, 10).cast("long").alias("key"),
         ),
         "mix",
@@ -81,15 +87,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     offsets = sums.select("source", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("offset"))
     cuts = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "range", "offset", "source_size", "target")
     joined = rows.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.range") == F.col("c.range")))
-    joined = joined.select("r.doc_id", "r.source", "r.range", "r.key", "r.size", "c.offset", "c.source_size", "c.target")
+    joined = joined.select("r.doc_id", "r.row_key", "r.source", "r.range", "r.key", "r.size", "c.offset", "c.source_size", "c.target")
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("offset") + F.sum("size").over(within) - F.col("size")
     budget = F.round("target").cast("long")
     epochs = F.coalesce(F.floor(F.try_divide(budget.cast("double"), F.col("source_size").cast("double"))).cast("long"), F.lit(0))
-    joined = joined.select("doc_id", "size", "source_size", "target", budget.alias("budget"), epochs.alias("epochs"), start.alias("start"))
+    joined = joined.select("doc_id", "row_key", "size", "source_size", "target", budget.alias("budget"), epochs.alias("epochs"), start.alias("start"))
     rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("start")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "row_key")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

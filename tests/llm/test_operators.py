@@ -130,6 +130,8 @@ def test_contamination(spark, docs, none):
 
 def test_contamination_by_shuffle(spark, docs, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "HOT_TERMS", 20)
+    monkeypatch.setattr(decontamination, "POSTINGS_PER_TASK", 7)
     items = [(1, "a b c d"), (2, " ".join(ROWS[9][1].split()[3:30]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     columns = "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
