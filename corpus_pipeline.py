@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tallyframe.llm.common import SPACE_WORD, discard, free_name, stored, table
 from tallyframe.llm.decontamination import find_contamination
-from tallyframe.llm.mixing import mix_sources
+from tallyframe.llm.mixing import mix_rows
 from tallyframe.llm.ngram_join import row_classes
 from tallyframe.llm.sharding import assign_shards
 from tallyframe.llm.toxicity import THRESHOLD, fit_grammar, score_toxicity
@@ -45,21 +45,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no window of a benchmark item."""
+    """Rows that hold no window of a benchmark item; they are known by their id and their text's hash."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("text_key").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64("text")).join(bad, "__key", "left_anti").select(*docs.columns)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    key = free_name(docs.columns, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    return keyed.join(bad, (F.col(key) == F.col("bad_key")) & keyed["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, the row at a source's cut if at least half of it is taken; rows without words once."""
-    taken = mix_sources(docs)
+    row_key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text")
+    taken = mix_rows(docs, row_key)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.try_divide("taken", "size"))).cast("int")
-    counted = taken.select(F.col("doc_id").alias("__id"), copies.alias("__copies"), F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "taken")).alias("__nth")).where("__copies > 0")
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    numbered = docs.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(words, "text")))
-    joined = numbered.join(counted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__nth")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    key, nth, copy = (free_name(docs.columns, x) for x in ("row_key", "nth", "copy"))
+    # Rows that stand several times are told apart by a number; it doesn't matter which of them gets which.
+    counted = taken.select(F.col("row_key").alias("taken_key"), copies.alias("taken_times"), F.row_number().over(Window.partitionBy("row_key").orderBy("taken")).alias("taken_nth"))
+    numbered = docs.withColumn(key, row_key).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    joined = numbered.join(counted, (F.col(key) == F.col("taken_key")) & (F.col(nth) == F.col("taken_nth")))
+    return joined.where("taken_times > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("taken_times")))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
