@@ -36,43 +36,66 @@ SLICE_BYTES, DOCS_PER_SHARD = 2 << 20, 1000
 HOT_SAMPLE = 4000
 #: Bits of a successor's hash; within one context, that many tell its successors apart.
 WORD_BITS = 40
-#: Steps of a halving of a quantised probability.
-STEPS = 2048
+#: Steps of a halving of a quantised probability, and bigrams that are looked up together.
+STEPS, LOOKUPS = 2048, 1 << 20
 #: Hashes of the start before a text's first token and of the end after its last: no word has white space.
 START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))
 
 
+#: Bytes of a block of the unary bits; for each byte, how many zeros it has and where each of them is, from the highest bit on.
+BLOCK = 32
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+ZEROS_IN = (8 - BITS.sum(1)).astype(np.uint8)
+ZERO_AT = np.argsort(BITS, axis=1, kind="stable")
+
+
 class EliasFano:
     """A monotone sequence of integers: `low` bits of each as bytes, the rest in unary."""
 
-    def __init__(self, n: int, buckets: int, lows: np.ndarray, highs: np.ndarray) -> None:
-        self.n, self.buckets, self.lows, self.highs = n, buckets, lows, highs
+    def __init__(self, n: int, buckets: int, low_bits: int, memory: memoryview) -> None:
+        """The sequence that lies in memory; build() writes one there."""
+        self.n, self.buckets = n, buckets
+        a, b, c = self.sizes(n, buckets, low_bits)
+        self.zeros = np.frombuffer(memory, np.int64, c // 8, 0)
+        self.lows = np.frombuffer(memory, np.uint8, a, c).reshape(n, low_bits // 8)
+        self.highs = np.frombuffer(memory, np.uint8, b, c + a)
 
     @staticmethod
-    def sizes(n: int, buckets: int, low_bits: int) -> tuple[int, int]:
-        """Bytes of the lower and the upper part."""
-        return n * (low_bits // 8), (n + buckets + 7) // 8
+    def sizes(n: int, buckets: int, low_bits: int) -> tuple[int, int, int]:
+        """Bytes of the lower and the upper part, and of the directory into the upper one: for each block, the zeros before it."""
+        high = (n + buckets + 7) // 8
+        return n * (low_bits // 8), high, 8 * max(1, -(-high // BLOCK))
 
     @classmethod
     def build(cls, high: np.ndarray, low: np.ndarray, buckets: int, low_bits: int, into: memoryview) -> EliasFano:
         n = len(high)
-        a, b = cls.sizes(n, buckets, low_bits)
-        lows = np.frombuffer(into, np.uint8, a).reshape(n, low_bits // 8)
-        lows[:] = np.ascontiguousarray(low.astype("<u8")).view(np.uint8).reshape(n, 8)[:, : low_bits // 8]
+        self = cls(n, buckets, low_bits, into)
+        self.lows[:] = np.ascontiguousarray(low.astype("<u8")).view(np.uint8).reshape(n, 8)[:, : low_bits // 8]
         bits = np.zeros(n + buckets, np.uint8)
         bits[high.astype(np.int64) + np.arange(n)] = 1
-        highs = np.frombuffer(into, np.uint8, b, a)
-        highs[:] = np.packbits(bits)
-        return cls(n, buckets, lows, highs)
-
-    def pointers(self) -> np.ndarray:
-        """Where each bucket begins, and the end: the k-th zero of the upper bits has the k buckets up to it before it."""
-        zeros = np.flatnonzero(np.unpackbits(self.highs, count=self.n + self.buckets) == 0)
-        return np.concatenate([[0], zeros - np.arange(self.buckets)])
-
-    def low_values(self) -> np.ndarray:
-        wide = np.zeros((self.n, 8), np.uint8)
-        wide[:, : self.lows.shape[1]] = self.lows
+        self.highs[:] = np.packbits(bits)
+        sums = np.concatenate([[0], np.cumsum(ZEROS_IN[self.highs], dtype=np.int64)])
+        self.zeros[:] = sums[:-1][::BLOCK] if len(self.highs) else 0
+        return self
+
+    def begins(self, k: np.ndarray) -> np.ndarray:
+        """Where the buckets of these numbers begin, found in the unary bits: bucket k begins behind the k-th zero, which has k zeros up to it."""
+        block = np.searchsorted(self.zeros, k, "left") - 1  # zeros before each block of bytes
+        left = np.where(k > 0, k - self.zeros[np.maximum(block, 0)], 0)
+        at = np.maximum(block, 0) * BLOCK
+        # The byte that has the zero, then the bit in it.
+        wide = np.minimum(at[:, None] + np.arange(BLOCK), len(self.highs) - 1)
+        before = np.cumsum(ZEROS_IN[self.highs[wide]], 1, dtype=np.int32)
+        byte = np.minimum((before < left[:, None]).sum(1), BLOCK - 1)
+        row = np.arange(len(k))
+        left = left - np.where(byte > 0, before[row, byte - 1], 0)
+        bit = ZERO_AT[self.highs[np.minimum(at + byte, len(self.highs) - 1)], np.maximum(left - 1, 0)]
+        return np.where(k > 0, (at + byte) * 8 + bit + 1 - k, 0)
+
+    def low(self, at: np.ndarray) -> np.ndarray:
+        """The lower parts at these places."""
+        wide = np.zeros((len(at), 8), np.uint8)
+        wide[:, : self.lows.shape[1]] = self.lows[at]
         return wide.view("<u8").ravel()
 
 
@@ -82,34 +105,56 @@ class Trie:
     def __init__(self, contexts: np.ndarray, counts: np.ndarray, rank: np.ndarray, words: np.ndarray, times: np.ndarray) -> None:
         """rank, words, times: a training bigram's context's rank, its word's hash and its count, sorted and distinct."""
         n, c = len(rank), len(contexts)
-        low, high = EliasFano.sizes(n, c, WORD_BITS)
-        self.buffer = mmap.mmap(-1, max(1, 8 + c * 16 + n * 2 + low + high))
-        view = memoryview(self.buffer)
-        self.contexts = np.frombuffer(view, np.uint64, c, 0)
-        self.counts = np.frombuffer(view, np.int64, c, c * 8)
-        self.codes = np.frombuffer(view, np.uint16, n, c * 16)
+        behind = 16 + c * 16 + -(-n // 4) * 8
+        self._levels(mmap.mmap(-1, behind + sum(EliasFano.sizes(n, c, WORD_BITS))), n, c)
         self.contexts[:], self.counts[:] = contexts, counts
         self.codes[:] = quantised((times - DISCOUNT) / counts[rank]) if n else 0
-        self.successors = EliasFano.build(rank, words, c, WORD_BITS, view[c * 16 + n * 2 :])
+        self.successors = EliasFano.build(rank, words, c, WORD_BITS, memoryview(self.buffer)[behind:])
+
+    def _levels(self, buffer: mmap.mmap, n: int, c: int) -> None:
+        """Lay the levels over a buffer: two sizes, contexts, counts, codes, and the successors' sequence."""
+        self.buffer = buffer
+        view = memoryview(buffer)
+        np.frombuffer(view, np.int64, 2, 0)[:] = n, c
+        self.contexts = np.frombuffer(view, np.uint64, c, 16)
+        self.counts = np.frombuffer(view, np.int64, c, 16 + c * 8)
+        self.codes = np.frombuffer(view, np.uint16, n, 16 + c * 16)
+
+    @classmethod
+    def open(cls, path: str) -> Trie:
+        """Map a file that save() wrote; pages are read as queries need them."""
+        self = cls.__new__(cls)
+        with open(path, "r+b") as f:
+            buffer = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_COPY)
+        n, c = np.frombuffer(buffer, np.int64, 2).tolist()
+        self._levels(buffer, n, c)
+        self.successors = EliasFano(n, c, WORD_BITS, memoryview(buffer)[16 + c * 16 + -(-n // 4) * 8 :])
+        return self
 
     def lookup(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The code of each bigram (context's rank, word's hash), 0 if there is none: a search among the context's successors, for all at once."""
-        if not self.successors.n:
-            return np.zeros(len(rank), np.uint16)
-        pointers, successors = self.successors.pointers(), self.successors.low_values()
-        lo, end = pointers[rank], pointers[rank + 1]
+        """The code of each bigram (context's rank, word's hash), 0 if there is none: a search among the context's successors, as they are encoded, for all at once."""
+        out = np.zeros(len(rank), np.uint16)
+        for a in range(0, len(rank) if self.successors.n else 0, LOOKUPS):
+            out[a : a + LOOKUPS] = self._search(rank[a : a + LOOKUPS], words[a : a + LOOKUPS])
+        return out
+
+    def _search(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
+        asked, which = np.unique(rank, return_inverse=True)
+        edges = self.successors.begins(np.concatenate([asked, asked + 1]))
+        lo, end = edges[: len(asked)][which], edges[len(asked) :][which]
         hi = end.copy()
-        for _ in range(int((end - lo).max(initial=0)).bit_length()):
-            middle = (lo + hi) >> 1
-            open_ = lo < hi
-            less = open_ & (successors[np.minimum(middle, len(successors) - 1)] < words)
-            lo = np.where(less, middle + 1, lo)
-            hi = np.where(open_ & ~less, middle, hi)
-        at = np.minimum(lo, len(successors) - 1)
-        return np.where((lo < end) & (successors[at] == words), self.codes[at], 0).astype(np.uint16)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            middle = (lo[open_] + hi[open_]) >> 1
+            less = self.successors.low(middle) < words[open_]
+            lo[open_[less]] = middle[less] + 1
+            hi[open_[~less]] = middle[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        at = np.minimum(lo, self.successors.n - 1)
+        return np.where((lo < end) & (self.successors.low(at) == words), self.codes[at], 0).astype(np.uint16)
 
     def save(self, path: str) -> None:
-        """Write the levels as they are; np.memmap or mmap opens them again."""
+        """Write the levels as they are; open() maps them again."""
         Path(path).write_bytes(self.buffer[:])
 
 
@@ -134,18 +179,18 @@ def wide(b: bytes) -> np.ndarray:
 class Layout:
     """A slice's distinct bigrams in the order in which shards get and answer them."""
 
-    def __init__(self, token: np.ndarray, lengths: np.ndarray, start: int, width: int, edges: np.ndarray, split: np.ndarray | None, hot: np.ndarray, split_bits: int) -> None:
-        """edges: where each bucket of contexts begins among the local ids; hot: the local ids of split contexts; split: the part of such a context's successors that a word is in."""
+    def __init__(self, token: np.ndarray, lengths: np.ndarray, start: int, width: int, shard: np.ndarray, shards: int, split: np.ndarray | None, hot: np.ndarray, split_bits: int) -> None:
+        """shard: of each local id as a context; hot: the local ids of split contexts; split: the part of such a context's successors that a word is in. Parts go to shards at even distances."""
         before = np.concatenate([[start], token[:-1]]) if len(token) else token
         before[np.cumsum(lengths)[:-1]] = start
         self.before = before
         pairs, self.which = np.unique(before * width + token, return_inverse=True)
         context, word = pairs // width, pairs % width
-        bucket = np.searchsorted(edges, context, "right") - 1
+        bucket = shard[context]
         if split_bits:
             divided = np.zeros(width, np.int64)
             divided[hot] = 1
-            bucket = (bucket << split_bits) + split[word] * divided[context]
+            bucket = (bucket + (split[word].astype(np.int64) * shards >> split_bits) * divided[context]) % shards
             order = np.argsort(bucket, kind="stable")
             context, word, bucket = context[order], word[order], bucket[order]
             back = np.empty_like(order)
@@ -157,17 +202,18 @@ class Layout:
         self.length = np.diff(np.append(self.first, len(context)))
 
 
-MESSAGE = "bucket long, slice long, contexts binary, counts binary, lengths binary, words binary, times binary, edges binary, split binary, tokens binary, rare binary, sizes binary, hot binary, hot_words binary, doc_ids array<long>, held array<boolean>, start int, width int"
-BINARY = ("contexts", "counts", "lengths", "words", "times", "edges", "split", "tokens", "rare", "sizes", "hot", "hot_words")
+MESSAGE = "bucket long, slice long, contexts binary, counts binary, lengths binary, words binary, times binary, shard binary, split binary, tokens binary, rare binary, sizes binary, hot binary, hot_words binary, doc_ids array<long>, held array<boolean>, start int, width int"
+BINARY = ("contexts", "counts", "lengths", "words", "times", "shard", "split", "tokens", "rare", "sizes", "hot", "hot_words")
 TYPES = {"bucket": pa.int64(), "slice": pa.int64(), **dict.fromkeys(BINARY, pa.binary()), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "start": pa.int32(), "width": pa.int32()}
 #: A slice's text as it passes on, and a shard's answer: counts and numbers of successors for its contexts, codes for its bigrams.
-ANSWER = "slice long, bucket long, counts binary, kinds binary, codes binary, edges binary, split binary, tokens binary, rare binary, sizes binary, hot binary, hot_words binary, doc_ids array<long>, held array<boolean>, start int, width int, n long, v long"
-PASSED = ("edges", "split", "tokens", "rare", "sizes", "hot", "hot_words", "doc_ids", "held", "start", "width")
+ANSWER = "slice long, bucket long, counts binary, kinds binary, codes binary, shard binary, split binary, tokens binary, rare binary, sizes binary, hot binary, hot_words binary, doc_ids array<long>, held array<boolean>, start int, width int, n long, v long"
+PASSED = ("shard", "split", "tokens", "rare", "sizes", "hot", "hot_words", "doc_ids", "held", "start", "width")
 ANSWER_TYPES = {"slice": pa.int64(), "bucket": pa.int64(), **dict.fromkeys(("counts", "kinds", "codes"), pa.binary()), **{k: TYPES[k] for k in PASSED}, "n": pa.int64(), "v": pa.int64()}
 
 
-def encoded(batches: Iterable[pa.RecordBatch], bits: int, hot: np.ndarray, split_bits: int) -> Iterator[pa.RecordBatch]:
+def encoded(batches: Iterable[pa.RecordBatch], shards: int, hot: np.ndarray, split_bits: int) -> Iterator[pa.RecordBatch]:
     """Slices: their tokens in few bytes, and their bigrams by shard."""
+    starts = np.array([-(-(t << 64) // shards) for t in range(shards)], np.uint64)
     part, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
         for piece in text_slices(batch, max_bytes=SLICE_BYTES):
@@ -185,10 +231,10 @@ def encoded(batches: Iterable[pa.RecordBatch], bits: int, hot: np.ndarray, split
             token[inner] = local[ids]
             del ids, vocabulary, order, local
             name, serial = (part << 32) + serial, serial + 1
-            edges = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            split = (hashes >> np.uint64(64 - split_bits)).astype(np.uint8) if split_bits else None
+            shard = np.searchsorted(starts, hashes, "right") - 1
+            split = (hashes >> np.uint64(64 - split_bits)).astype(np.uint32) if split_bits else None
             mine = np.flatnonzero(np.isin(hashes, hot))
-            layout = Layout(token, lengths, start, len(hashes), edges, split, mine, split_bits)
+            layout = Layout(token, lengths, start, len(hashes), shard, shards, split, mine, split_bits)
             held = piece["held"].to_pylist()
             train = np.repeat(~np.array(held, bool), lengths)
             times = np.bincount(layout.which[train], minlength=len(layout.context))
@@ -201,7 +247,7 @@ def encoded(batches: Iterable[pa.RecordBatch], bits: int, hot: np.ndarray, split
             rest = token[code == 255]
             kind = next(k for k in (2, 3, 4) if len(hashes) <= 1 << 8 * k)
             rest = np.ascontiguousarray(rest.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :kind].tobytes()
-            rows = [{"bucket": name % (1 << (bits + split_bits)), "slice": name, "edges": narrow(edges), "split": None if split is None else split.tobytes(), "tokens": code.tobytes(), "rare": narrow(common) + bytes([kind]) + rest, "sizes": narrow(lengths), "hot": narrow(mine), "hot_words": hashes[mine].tobytes(), "doc_ids": piece["doc_id"].to_pylist(), "held": held, "start": start, "width": len(hashes)}]
+            rows = [{"bucket": name % shards, "slice": name, "shard": narrow(np.diff(shard, prepend=0)), "split": None if split is None else narrow(split), "tokens": code.tobytes(), "rare": narrow(common) + bytes([kind]) + rest, "sizes": narrow(lengths), "hot": narrow(mine), "hot_words": hashes[mine].tobytes(), "doc_ids": piece["doc_id"].to_pylist(), "held": held, "start": start, "width": len(hashes)}]
             border = np.flatnonzero(np.concatenate([[True], np.diff(layout.bucket) != 0, [True]])) if len(layout.bucket) else np.zeros(1, int)
             runs = np.searchsorted(layout.first, border)
             words = np.ascontiguousarray(hashes >> np.uint64(64 - WORD_BITS)).view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]
@@ -270,7 +316,7 @@ def answered(batches: Iterable[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(batches: Iterable[pa.RecordBatch], n: int, v: int, texts: int, totals: dict[int, tuple[int, int]], split_bits: int) -> Iterator[pa.RecordBatch]:
+def scored(batches: Iterable[pa.RecordBatch], n: int, v: int, texts: int, totals: dict[int, tuple[int, int]], shards: int, split_bits: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by slice and bucket, a slice's text first -> its documents' scores."""
 
     def ended(text: dict, answers: list[dict]) -> pa.RecordBatch:
@@ -284,7 +330,7 @@ def scored(batches: Iterable[pa.RecordBatch], n: int, v: int, texts: int, totals
         token[code == 255] = rest.view("<u4").ravel()
         token[code < 255] = common[code[code < 255]]
         lengths = wide(text["sizes"])
-        layout = Layout(token, lengths, start, width, wide(text["edges"]), np.frombuffer(text["split"], np.uint8) if split_bits else None, wide(text["hot"]), split_bits)
+        layout = Layout(token, lengths, start, width, np.cumsum(wide(text["shard"])), shards, wide(text["split"]) if split_bits else None, wide(text["hot"]), split_bits)
         part, kinds = (np.concatenate([wide(a[k]) for a in answers]) for k in ("counts", "kinds"))
         codes = np.concatenate([np.frombuffer(a["codes"], np.uint16) for a in answers])
         owner = layout.context[layout.first]
@@ -333,17 +379,16 @@ def score_texts(docs: DataFrame, held_out: object) -> DataFrame:
     """Log10 probabilities of every text under a bigram model of those that aren't held out.
 
     docs: doc_id (long), text; held_out: a boolean column of it; other columns don't matter. Null and
-    empty texts are an end alone; repeated rows count and are scored each time; without training
+    empty texts are an end alone; texts of any length are scored whole; repeated rows count and are scored each time; without training
     texts every token is unknown and both scores are the smoothed base's; an empty table gives an
     empty one. Words are known by a 64-bit hash, and by 40 bits of it among one context's successors.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
     totals = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held")).alias("texts")).first()
     shards = max(12, totals.rows // DOCS_PER_SHARD)
-    bits = max(4, (2 * shards - 1).bit_length())
     hot, split_bits = hot_contexts(docs, totals.rows, shards)
-    messages = docs.mapInArrow(lambda it: encoded(it, bits, hot, split_bits), MESSAGE)
-    answers = stored(messages.repartition(shards, "bucket").mapInArrow(lambda it: answered(it, hot), ANSWER), "answers")
+    messages = docs.mapInArrow(lambda it: encoded(it, shards, hot, split_bits), MESSAGE)
+    answers = stored(messages.repartitionById(shards, F.col("bucket").cast("int")).mapInArrow(lambda it: answered(it, hot), ANSWER), "answers")
     sums = answers.where("slice < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     apart: dict[int, tuple[int, int]] = {}
     for r in answers.where("slice < 0 AND codes IS NOT NULL").select("codes", "counts", "kinds").collect():  # at most the hot contexts times their parts
@@ -353,7 +398,7 @@ def score_texts(docs: DataFrame, held_out: object) -> DataFrame:
     texts = int(totals.texts)
     n, v = int(sums.n) + sum(known) + texts, int(sums.v) + sum(c > 0 for c in known) + bool(texts)
     slices = answers.where("slice >= 0").repartition(shards, "slice").sortWithinPartitions("slice", F.col("bucket").asc_nulls_first())
-    result = stored(slices.mapInArrow(lambda it: scored(it, n, v, texts, apart, split_bits), SCORES), "scores")
+    result = stored(slices.mapInArrow(lambda it: scored(it, n, v, texts, apart, shards, split_bits), SCORES), "scores")
     discard(answers)
     return result
 
@@ -374,7 +419,7 @@ def hot_contexts(docs: DataFrame, rows: int, shards: int) -> tuple[np.ndarray, i
     found = {r.word: r.n for r in some.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = found.pop(0, 0)
     share = {w: n / total for w, n in found.items() if n * 2 * shards >= total}
-    return np.array(sorted(share), np.int64).view(np.uint64), min(8, max(0, math.ceil(math.log2(2 * shards * max(share.values()))))) if share else 0
+    return np.array(sorted(share), np.int64).view(np.uint64), max(0, math.ceil(math.log2(2 * shards * max(share.values())))) if share else 0
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,9 +95,14 @@ def grouped(names: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> Iterato
         yield int(names[a]), int(sizes[a]), hashes[a:b]
 
 
-def packed(names: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, bits: int) -> dict[int, dict[str, bytes]]:
-    """One message for each bucket of names: whatever goes to one task goes as one row, however many documents it is about."""
-    bucket = names & ((1 << bits) - 1)
+def edges_of(tasks: int) -> np.ndarray:
+    """Where each task's range of hashes begins."""
+    return np.array([-(-(t << 64) // tasks) for t in range(tasks)], np.uint64)
+
+
+def packed(names: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, tasks: int) -> dict[int, dict[str, bytes]]:
+    """One message for each task that names belong to, however many documents it is about."""
+    bucket = names % tasks
     order = np.lexsort((names, bucket))
     names, sizes, hashes, bucket = names[order], sizes[order], hashes[order], bucket[order]
     new = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
@@ -117,11 +122,11 @@ def ascending(x: np.ndarray) -> bytes:
     return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def ascended(b: bytes, start: int) -> np.ndarray:
+def ascended(b: bytes, start: np.uint64) -> np.ndarray:
     """The numbers that ascending() has packed, from a start on."""
     wide = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
     wide[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.uint64(start)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + start
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,8 +135,9 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.frombuffer(row["names"], np.int64), lengths), np.repeat(np.frombuffer(row["sizes"], np.int32), lengths), np.frombuffer(row["hashes"], np.uint64)
 
 
-def parts_of(batches: Iterable[pa.RecordBatch], bits: int, words: int) -> Iterator[pa.RecordBatch]:
-    """Cut the incidence matrix of some documents into buckets of columns: each column with the one document that has it, or SEVERAL."""
+def parts_of(batches: Iterable[pa.RecordBatch], tasks: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Cut the incidence matrix of some documents into a range of columns for each task: each column with the one document that has it, or SEVERAL."""
+    starts = edges_of(tasks)
     for batch in batches:
         for piece in text_slices(batch, max_bytes=PIECE_BYTES):
             sets = shingle_sets(piece["text"], words)
@@ -152,22 +158,23 @@ def parts_of(batches: Iterable[pa.RecordBatch], bits: int, words: int) -> Iterat
                 length = np.diff(np.append(first, len(hashes)))
                 # Pre-aggregation: a column of several documents is sent once, and those documents get it back at once.
                 known = np.repeat(length > 1, length)
-                out = packed(names[owner[known]], sizes[owner[known]], hashes[known], bits)
+                out = packed(names[owner[known]], sizes[owner[known]], hashes[known], tasks)
                 hashes, owner = hashes[first], np.where(length > 1, SEVERAL, owner[first])
-                edge = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                edge = np.append(np.searchsorted(hashes, starts), len(hashes))
                 for b in np.flatnonzero(np.diff(edge)).tolist():
                     h, o = hashes[edge[b] : edge[b + 1]], owner[edge[b] : edge[b + 1]]
                     used = np.unique(o[o != SEVERAL])
                     o = np.where(o == SEVERAL, len(used), np.searchsorted(used, o))
                     o = o.astype(np.uint16 if len(used) < 2**16 else np.uint32)
-                    out.setdefault(b, {}).update({"columns": ascending(h - np.uint64(b << 64 - bits)), "owners": o.tobytes(), "owner_names": names[used].tobytes(), "owner_sizes": sizes[used].tobytes()})
+                    out.setdefault(b, {}).update({"columns": ascending(h - starts[b]), "owners": o.tobytes(), "owner_names": names[used].tobytes(), "owner_sizes": sizes[used].tobytes()})
             listed = {"doc_ids": piece["doc_id"].to_pylist(), "doc_keys": piece["row_key"].to_pylist(), "doc_sigs": sigs, "doc_sizes": [len(s) for s in sets]}
-            out.setdefault((sigs[0] or 0) % (1 << bits) if sigs else 0, {}).update(listed)
+            out.setdefault((sigs[0] or 0) % tasks if sigs else 0, {}).update(listed)
             yield pa.RecordBatch.from_pylist([{"bucket": b, **r} for b, r in out.items()], schema=PARTS_ARROW)
 
 
-def shared_columns(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """From all parts of some buckets of columns: the columns that two documents have at least, a message for each bucket of rows. What else comes is passed on."""
+def shared_columns(batches: Iterable[pa.RecordBatch], tasks: int) -> Iterator[pa.RecordBatch]:
+    """From all parts of a range of columns: the columns that two documents have at least, a message for each task of rows. What else comes is passed on."""
+    starts = edges_of(tasks)
     hashes, names, sizes, known = [], [], [], []
     for batch in batches:
         through = []
@@ -177,7 +184,7 @@ def shared_columns(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.
             if r["names"] is not None:
                 known.append(unpacked(r))
             if r["columns"] is not None:
-                h = ascended(r["columns"], r["bucket"] << 64 - bits)
+                h = ascended(r["columns"], starts[r["bucket"]])
                 o = np.frombuffer(r["owners"], np.uint16 if len(r["owners"]) == 2 * len(h) else np.uint32)
                 hashes.append(h)
                 names.append(np.append(np.frombuffer(r["owner_names"], np.int64), -1)[o])
@@ -195,7 +202,7 @@ def shared_columns(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.
         shared = np.repeat(owners >= 2, np.diff(np.append(first, len(h)))) & new & ~several
         known.append((name[shared], size[shared], h[shared]))
     if known:
-        for b, message in packed(*(np.concatenate(x) for x in zip(*known, strict=True)), bits).items():
+        for b, message in packed(*(np.concatenate(x) for x in zip(*known, strict=True)), tasks).items():
             yield pa.RecordBatch.from_pylist([{"bucket": b, **message}], schema=FOUND_ARROW)
 
 
@@ -326,11 +333,10 @@ def row_classes(docs: DataFrame, row_key: Column, words: int = WORDS, percent: i
     """As ngram_components, with row_key (long) as given and class, the group's own name, for rows with null or repeated ids; it is null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key.cast("long").alias("row_key"))
     tasks = max(12, docs.count() // docs_per_task)
-    bits = max(4, (2 * tasks - 1).bit_length())
-    parts = docs.mapInArrow(lambda it: parts_of(it, bits, words), PARTS)
-    found = stored(parts.repartition(tasks, "bucket").mapInArrow(lambda it: shared_columns(it, bits), FOUND), "shared-columns")
+    parts = docs.mapInArrow(lambda it: parts_of(it, tasks, words), PARTS)
+    found = stored(parts.repartitionById(tasks, "bucket").mapInArrow(lambda it: shared_columns(it, tasks), FOUND), "shared-columns")
     listed = found.where("doc_sizes is not null").select(F.inline(F.arrays_zip("doc_ids", "doc_keys", "doc_sigs", "doc_sizes"))).toDF("doc_id", "row_key", "sig", "n_shingles")
-    able = found.where("names is not null").select("bucket", *ROWS).repartition(tasks, "bucket")
+    able = found.where("names is not null").select("bucket", *ROWS).repartitionById(tasks, "bucket")
     able = stored(able.mapInArrow(lambda it: merged(it, percent), "sig long, n int, hashes binary"), "able-rows")
 
     columns = able.mapInArrow(exploded, "h long, sig long, n int")

@@ -57,19 +57,33 @@ def test_lm_split_contexts(docs, monkeypatch):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and abs(a[6] - b[6]) <= 1.5e-4 * a[2]
 
 
-def test_elias_fano_and_trie():
+def test_elias_fano_and_trie(tmp_path):
     r = np.random.default_rng(1)
     contexts = np.unique(r.integers(0, 2**63, 50, dtype=np.uint64))
     key = np.unique((r.integers(0, len(contexts), 900).astype(np.uint64) << np.uint64(40)) | r.integers(0, 60, 900).astype(np.uint64))
     rank, words = (key >> np.uint64(40)).astype(np.int64), key & np.uint64(2**40 - 1)
     times = r.integers(1, 9, len(key))
     trie = lm_scoring.Trie(contexts, np.bincount(rank, times, len(contexts)).astype(np.int64), rank, words, times)
-    assert (trie.successors.low_values() == words).all()
-    assert (np.diff(trie.successors.pointers()) == np.bincount(rank, minlength=len(contexts))).all()
+    assert (trie.successors.low(np.arange(len(words))) == words).all()
+    assert (np.diff(trie.successors.begins(np.arange(len(contexts) + 1))) == np.bincount(rank, minlength=len(contexts))).all()
     known = {(int(a), int(b)): int(c) for a, b, c in zip(rank, words, trie.codes, strict=True)}
     ask = [(a, b) for a in range(len(contexts)) for b in range(62)]
     found = trie.lookup(np.array([a for a, _ in ask]), np.array([b for _, b in ask], np.uint64))
     assert found.tolist() == [known.get(x, 0) for x in ask]
+    trie.save(str(tmp_path / "levels"))
+    mapped = lm_scoring.Trie.open(str(tmp_path / "levels"))
+    assert (mapped.lookup(np.array([a for a, _ in ask]), np.array([b for _, b in ask], np.uint64)) == found).all()
+    assert (mapped.contexts == contexts).all() and (mapped.counts == trie.counts).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 5000])
+def test_elias_fano_pointers(n):
+    r = np.random.default_rng(n)
+    for buckets in (1, 3, 900):
+        high = np.sort(r.integers(0, buckets, n) ** 2 // buckets)
+        memory = memoryview(bytearray(sum(lm_scoring.EliasFano.sizes(n, buckets, 40))))
+        got = lm_scoring.EliasFano.build(high, np.arange(n, dtype=np.uint64), buckets, 40, memory).begins(np.arange(buckets + 1))
+        assert got.tolist() == np.searchsorted(high, np.arange(buckets + 1)).tolist()
 
 
 @pytest.mark.parametrize(("name", "learn"), [("quality", quality.fit_quality), ("toxic", toxicity.fit_grammar)])
