@@ -24,6 +24,8 @@ LOCAL_DIR = "file:///tmp/checkpoints/tallyframe"
 
 #: Spark's setting by which shuffle files go when the step that made them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of how many rows go to Python together; messages of many kilobytes need fewer.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +40,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return named or LOCAL_DIR
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, arrow_rows: int | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: later steps don't recompute it, and lost executors take nothing with them.
 
     What the step shuffled isn't needed any more then, so Spark is told to delete it at the step's end.
@@ -46,12 +48,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"} | ({ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
     where, folder = folder_of(back)

@@ -31,19 +31,21 @@ from .common import crc_mod, discard, space_words, stored, table, text_slices
 DISCOUNT = 0.75
 ADDED = 0.1
 #: Text of a slice and documents for each shard, about.
-SLICE_BYTES, DOCS_PER_SHARD = 2 << 20, 1000
+SLICE_BYTES, DOCS_PER_SHARD = 5 << 18, 1000
+#: Messages that go to Python together.
+ARROW_MESSAGES = 500
 #: Texts in which hot contexts are looked for, about. They only tell which contexts to split over shards; no result depends on them.
 HOT_SAMPLE = 4000
 #: Bits of a successor's hash; within one context, that many tell its successors apart.
 WORD_BITS = 40
 #: Steps of a halving of a quantised probability, and bigrams that are looked up together.
-STEPS, LOOKUPS = 2048, 1 << 20
+STEPS, LOOKUPS = 2048, 1 << 17
 #: Hashes of the start before a text's first token and of the end after its last: no word has white space.
 START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))
 
 
 #: Bytes of a block of the unary bits; for each byte, how many zeros it has and where each of them is, from the highest bit on.
-BLOCK = 32
+BLOCK = 16
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
 ZEROS_IN = (8 - BITS.sum(1)).astype(np.uint8)
 ZERO_AT = np.argsort(BITS, axis=1, kind="stable")
@@ -388,7 +390,7 @@ def score_texts(docs: DataFrame, held_out: object) -> DataFrame:
     shards = max(12, totals.rows // DOCS_PER_SHARD)
     hot, split_bits = hot_contexts(docs, totals.rows, shards)
     messages = docs.mapInArrow(lambda it: encoded(it, shards, hot, split_bits), MESSAGE)
-    answers = stored(messages.repartitionById(shards, F.col("bucket").cast("int")).mapInArrow(lambda it: answered(it, hot), ANSWER), "answers")
+    answers = stored(messages.repartitionById(shards, F.col("bucket").cast("int")).mapInArrow(lambda it: answered(it, hot), ANSWER), "answers", ARROW_MESSAGES)
     sums = answers.where("slice < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     apart: dict[int, tuple[int, int]] = {}
     for r in answers.where("slice < 0 AND codes IS NOT NULL").select("codes", "counts", "kinds").collect():  # at most the hot contexts times their parts
@@ -398,7 +400,7 @@ def score_texts(docs: DataFrame, held_out: object) -> DataFrame:
     texts = int(totals.texts)
     n, v = int(sums.n) + sum(known) + texts, int(sums.v) + sum(c > 0 for c in known) + bool(texts)
     slices = answers.where("slice >= 0").repartition(shards, "slice").sortWithinPartitions("slice", F.col("bucket").asc_nulls_first())
-    result = stored(slices.mapInArrow(lambda it: scored(it, n, v, texts, apart, shards, split_bits), SCORES), "scores")
+    result = stored(slices.mapInArrow(lambda it: scored(it, n, v, texts, apart, shards, split_bits), SCORES), "scores", ARROW_MESSAGES)
     discard(answers)
     return result
 

@@ -31,6 +31,8 @@ WORDS = 5
 PERCENT = 80
 #: Documents for each task of the first product, about, bytes of text that are cut up at once, and rows of a chunk of a group.
 DOCS_PER_TASK, PIECE_BYTES, CHUNK = 3000, 6 << 20, 1024
+#: Messages that go to Python together.
+ARROW_MESSAGES = 500
 #: Columns of a strip, and rows of a column that adds to its pairs one by one.
 STRIP, FEW = 4096, 4
 
@@ -334,10 +336,10 @@ def row_classes(docs: DataFrame, row_key: Column, words: int = WORDS, percent: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key.cast("long").alias("row_key"))
     tasks = max(12, docs.count() // docs_per_task)
     parts = docs.mapInArrow(lambda it: parts_of(it, tasks, words), PARTS)
-    found = stored(parts.repartitionById(tasks, "bucket").mapInArrow(lambda it: shared_columns(it, tasks), FOUND), "shared-columns")
+    found = stored(parts.repartitionById(tasks, "bucket").mapInArrow(lambda it: shared_columns(it, tasks), FOUND), "shared-columns", ARROW_MESSAGES)
     listed = found.where("doc_sizes is not null").select(F.inline(F.arrays_zip("doc_ids", "doc_keys", "doc_sigs", "doc_sizes"))).toDF("doc_id", "row_key", "sig", "n_shingles")
     able = found.where("names is not null").select("bucket", *ROWS).repartitionById(tasks, "bucket")
-    able = stored(able.mapInArrow(lambda it: merged(it, percent), "sig long, n int, hashes binary"), "able-rows")
+    able = stored(able.mapInArrow(lambda it: merged(it, percent), "sig long, n int, hashes binary"), "able-rows", ARROW_MESSAGES)
 
     columns = able.mapInArrow(exploded, "h long, sig long, n int")
     often = columns.groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
