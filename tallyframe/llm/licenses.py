@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,20 +20,84 @@ from .common import table
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# The wording of public licenses and notices, in template markup, and the labels of the method.
+# The wording of public licenses and notices, in template markup. First whole licenses and headers, of which no part passes, then notices that are one sentence by themselves.
+MIT = """
+permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+{the software} to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
+the following conditions the above copyright notice and this permission notice {including the next paragraph} shall be included in
+all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied
+including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event
+shall <holders:2-12> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising
+from out of or in connection with the software or the use or other dealings in the software
+"""
+ISC = """
+permission to use copy modify and {or} distribute this software for any purpose with or without fee is hereby granted provided that
+the above copyright notice and this permission notice appear in all copies the software is provided as is and <holders:1-12>
+disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event
+shall <holders:1-12> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss
+of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the
+use or performance of this software
+"""
+BSD_CONDITIONS = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions
+are met {1} redistributions of source code must retain the above copyright notice this list of conditions and the following
+disclaimer {2} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
+disclaimer in the documentation and or other materials provided with the distribution
+"""
+BSD_NAMES = """
+{3} neither the name of <holder:1-12> nor the names of {its} <contributors:1-2> may be used to endorse or promote products derived from
+this software without specific prior written permission
+"""
+BSD_DISCLAIMER = """
+this software is provided by <holders:1-12> as is and any express or implied warranties including but not limited to the implied
+warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <holders:1-12> be liable for any
+direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or
+services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract
+strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+possibility of such damage
+"""
+UNLICENSE = """
+this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any
+means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs
+and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited
+to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for
+any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+software or the use or other dealings in the software
+"""
+APACHE_HEADER = """
+licensed under the apache license version 2 0 {the license} you may not use this file except in compliance with the license you may
+obtain a copy of the license at {http} {https} www apache org licenses license 2 0 {html} unless required by applicable law or agreed
+to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind
+either express or implied see the license for the specific language governing permissions and limitations under the license
+"""
+GPL_HEADER = """
+<what:1-6> is free software you can redistribute it and or modify it under the terms of the gnu {lesser} {affero} general public
+license as published by the free software foundation either version <version:1-2> of the license or at your option any later version
+<what:1-6> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+merchantability or fitness for a particular purpose see the gnu {lesser} {affero} general public license for more details
+"""
+MPL_HEADER = """
+this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this
+file you can obtain one at {http} {https} {www} mozilla org mpl 2 0
+"""
 TEMPLATES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {the software} to deal in the software without restriction": "mit-text",
+    MIT: "mit-text",
+    ISC: "isc-text",
+    BSD_CONDITIONS + BSD_DISCLAIMER: "bsd-2-clause-text",
+    BSD_CONDITIONS + BSD_NAMES + BSD_DISCLAIMER: "bsd-3-clause-text",
+    UNLICENSE: "unlicense-text",
+    APACHE_HEADER: "apache-2.0-header",
+    GPL_HEADER: "gpl-header",
+    MPL_HEADER: "mpl-2.0-header",
     "{<what:1-4> is} {released} {licensed} {distributed} under the {terms of the} mit license": "mit-notice",
     "licensed under the apache license version 2 0": "apache-2.0-notice",
-    "licensed under the apache license version 2 0 {the license} you may not use this file except in compliance with the license": "apache-2.0-header",
     "licensed under {a} {the} {creative commons} cc by nc <version:1-2>": "cc-by-nc-notice",
     "this work is licensed under {a} {the} creative commons <terms:1-6> {<version:1-2>} {international} license": "creative-commons-notice",
     "licensed under the gnu {lesser} {affero} general public license version <version:1-2>": "gpl-notice",
-    "<what:1-6> is free software you can redistribute it and or modify it under the terms of the gnu {lesser} {affero} general public license as published by the free software foundation": "gpl-header",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-text",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-text",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0-header",
-    "this is free and unencumbered software released into the public domain": "unlicense-text",
     "spdx license identifier <id:1-4>": "spdx-tag",
     "copyright {c} <year:1-2> <holder:1-6> all rights reserved": "all-rights-reserved",
 }
@@ -109,6 +174,7 @@ class TokenAutomaton:
 
 def split_markup(markup: str) -> list[str]:
     parts, depth, start = [], 0, 0
+    markup = " ".join(markup.split())
     for i, c in enumerate(f"{markup} "):
         depth += (c in "{<") - (c in "}>")
         if c == " " and not depth:
@@ -149,17 +215,19 @@ class Scanner:
     def scan(self, text: str | None) -> dict:
         words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
         line = b" " + b" ".join(words) + b" "
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        place = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  the number of the word behind a blank
         places = []
         for phrase, label in self.base:
             at = line.find(phrase)
             while at >= 0:
-                places.append((line.count(b" ", 0, at), label))
+                places.append((place(at), label))
                 at = line.find(phrase, at + 1)
         found: dict[tuple[int, int], set[str]] = {}
         for run, back, automaton in self.templates:
             at, done = line.find(run), 0
             while at >= 0:
-                first = line.count(b" ", 0, at)
+                first = place(at)
                 # The earliest start from which the template holds this run; a later place starts behind it.
                 for start in range(max(done, first - back), first + 1):
                     near = [w.decode("utf-8", "surrogatepass") for w in words[start : start + len(automaton.arcs)]]
@@ -188,8 +256,9 @@ RESULT = "n_words long, n_base long, first_word long, last_word long, base_label
 def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id and what the scan finds in each whole text: counts, labels, score and the spans of accepted templates.
 
-    A null or empty text has no words and no labels; repeated rows give equal results; an empty
-    table gives an empty one; other columns don't matter.
+    A null or empty text has no words and no labels; texts of any length are scanned whole, in time
+    in proportion; repeated rows give equal results; an empty table gives an empty one; other columns
+    don't matter, whatever their names.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

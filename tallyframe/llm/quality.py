@@ -175,7 +175,10 @@ def matrix(texts: list[str | None]) -> np.ndarray:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS_PER_LABEL) -> AdditiveModel:
-    """Learn from labelled rows that aren't held out, at most max_rows of each label; their features, not their texts, come to the driver."""
+    """Learn from labelled rows that aren't held out, at most max_rows of each label; their features, not their texts, come to the driver.
+
+    Of several texts of one id the least counts. Without labelled rows, or with one label alone, every score is what the fit of those rows gives.
+    """
     known = labels.where(F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.max(label).alias("y"))
     truth = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
@@ -185,7 +188,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
             x = matrix(b["text"].to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "y": b["y"], "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    rows = rows.groupBy("doc_id", F.col("y").cast("int").alias("y")).agg(F.min("text").alias("text")).select("doc_id", "text", "y")
     got = sorted(rows.mapInArrow(measure, "doc_id long, y int, x array<double>").collect())
     y = np.array([r.y for r in got], float)
     x = np.array([r.x for r in got], float).reshape(len(got), len(FEATURES))
@@ -195,7 +199,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """doc_id and quality (0 to 1) of every row; null texts are empty ones, repeated rows get equal scores, other columns don't matter."""
+    """doc_id and quality (0 to 1) of every row.
+
+    Null texts are empty ones; texts of any length are measured whole; repeated rows get equal scores;
+    an empty table gives an empty one; other columns don't matter, whatever their names.
+    """
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,10 +1,12 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
 Five transducers (insult, threat, target, negation, reported speech) each read a clause's tag
-sequence and mark what they find; compose() makes one machine of them, whose table is filled as
-clauses come. A matched clause yields a path: what it is (insult or threat) and whether it is
-aimed at someone, negated or reported. Paths are weighted by a ridge regression towards prior
-weights, and the insult transducer's lexicon grows by words and stems that labelled rows show.
+sequence and mark what they find, with a weight on each marking arc. Composed() makes one machine of
+them, whose arcs carry the sum of the weights and whose table is filled as clauses come. A clause is
+worth its best path: the arcs' weights times the weight of the word they stand on. An insult is a
+match only within a clause, so a word that stands alone is none. The arcs' weights are learned by a
+ridge regression towards prior weights, and the insult transducer's lexicon grows by words and stems
+that labelled rows show.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -43,12 +44,9 @@ REPORTS = "said says claimed called wrote reported quoted alleged according sagt
 
 #: How many words a negation reaches ahead, a threat looks for its target, and a target for its insult.
 REACH = {"negation": 3, "threat": 4, "target": 5}
-#: Paths in the order of the model's weights, and the weights before anything is learned.
-PATHS = [(kind, *marks) for kind in ("insult", "threat") for marks in product((False, True), repeat=3)]
-PRIOR = {p: 1.5 + 0.5 * p[1] - 1.0 * p[2] - 0.8 * p[3] for p in PATHS}
+#: The marks, and the weights of their arcs before anything is learned.
+PRIOR = {"insult": 1.5, "threat": 2.0, "aimed": 0.5, "negated": -1.0, "reported": -0.8}
 PRIOR_BIAS = -3.0
-#: Of one path, so much evidence counts at most.
-PATH_CAP = 6.0
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
@@ -56,46 +54,65 @@ CLAUSE_END = re.compile(r"[.!?;:\n]+")
 
 @dataclass(frozen=True)
 class Transducer:
-    """arcs: (state, tag) -> (next state, mark or None); a tag without an arc follows the state's '*' arc."""
+    """arcs: (state, tag) -> (next state, mark or None, weight); a tag without an arc follows the state's '*' arc."""
 
     start: int
-    arcs: dict[tuple[int, str], tuple[int, str | None]]
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]]
 
-    def step(self, state: int, tag: str) -> tuple[int, str | None]:
+    def step(self, state: int, tag: str) -> tuple[int, str | None, float]:
         return self.arcs.get((state, tag)) or self.arcs[state, "*"]
 
 
-def reaching(tag: str, mark: str, reach: int, on: str) -> Transducer:
+def reaching(tag: str, mark: str, reach: int, on: str, weight: float) -> Transducer:
     """Marks each `on` that stands at most so many words after a `tag`."""
-    arcs: dict[tuple[int, str], tuple[int, str | None]] = {}
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {}
     for left in range(reach + 1):
-        arcs |= {(left, "*"): (max(0, left - 1), None), (left, tag): (reach, None), (left, on): (max(0, left - 1), mark if left else None)}
+        after = max(0, left - 1)
+        arcs |= {(left, "*"): (after, None, 0.0), (left, tag): (reach, None, 0.0), (left, on): (after, mark, weight) if left else (after, None, 0.0)}
     return Transducer(0, arcs)
 
 
-def grammar() -> list[Transducer]:
-    insult = Transducer(0, {(0, "I"): (0, "insult"), (0, "*"): (0, None)})
-    threat = Transducer(0, {(0, "H"): (REACH["threat"], None), (0, "*"): (0, None)} | {k: v for n in range(1, REACH["threat"] + 1) for k, v in (((n, "T"), (0, "threat")), ((n, "H"), (REACH["threat"], None)), ((n, "*"), (n - 1, None)))})
-    report = Transducer(0, {(0, "R"): (1, None), (0, "*"): (0, None), (1, "*"): (1, None), (1, "I"): (1, "reported"), (1, "T"): (1, "reported")})
-    negation = [reaching("N", "negated", REACH["negation"], on) for on in ("I", "H")]
-    return [insult, threat, reaching("T", "aimed", REACH["target"], "I"), *negation, report]
+def negated_threat(weight: float) -> Transducer:
+    """Marks the target of a threat word that stands a few words after a negation: states count down to the threat word, then to its target."""
+    far = REACH["negation"] + 1
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, "*"): (0, None, 0.0), (0, "N"): (REACH["negation"], None, 0.0)}
+    for n in range(1, REACH["negation"] + 1):
+        arcs |= {(n, "*"): (n - 1, None, 0.0), (n, "N"): (REACH["negation"], None, 0.0), (n, "H"): (far + REACH["threat"] - 1, None, 0.0)}
+    for n in range(far, far + REACH["threat"]):
+        after = n - 1 if n > far else 0
+        arcs |= {(n, "*"): (after, None, 0.0), (n, "N"): (REACH["negation"], None, 0.0), (n, "H"): (0, None, 0.0), (n, "T"): (0, "negated", weight)}
+    return Transducer(0, arcs)
+
+
+def grammar(weights: dict[str, float]) -> tuple[list[Transducer], list[Transducer]]:
+    """The transducers that read a clause forwards, and those that read it backwards, too: a target or any word may stand on either side of an insult."""
+    insult = Transducer(0, {(0, "*"): (1, None, 0.0), (1, "I"): (1, "insult", weights["insult"]), (1, "*"): (1, None, 0.0)})
+    arcs: dict[tuple[int, str], tuple[int, str | None, float]] = {(0, "H"): (REACH["threat"], None, 0.0), (0, "*"): (0, None, 0.0)}
+    for n in range(1, REACH["threat"] + 1):
+        arcs |= {(n, "T"): (0, "threat", weights["threat"]), (n, "H"): (REACH["threat"], None, 0.0), (n, "*"): (n - 1, None, 0.0)}
+    threat = Transducer(0, arcs)
+    told = (1, "reported", weights["reported"])
+    report = Transducer(0, {(0, "R"): (1, None, 0.0), (0, "*"): (0, None, 0.0), (1, "I"): told, (1, "T"): told, (1, "*"): (1, None, 0.0)})
+    negation = [reaching("N", "negated", REACH["negation"], "I", weights["negated"]), negated_threat(weights["negated"])]
+    aimed = reaching("T", "aimed", REACH["target"], "I", weights["aimed"])
+    return [insult, threat, aimed, *negation, report], [insult, aimed]
 
 
 class Composed:
-    """The product of transducers; its table is filled as pairs of states and tags come up."""
+    """The product of transducers: a path's marks are all of theirs, with their arcs' weights. Its table is filled as pairs of states and tags come up."""
 
     def __init__(self, machines: Iterable[Transducer]) -> None:
         self.machines = list(machines)
         self.start = tuple(m.start for m in self.machines)
-        self.table: dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], frozenset[str]]] = {}
+        self.table: dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], dict[str, float]]] = {}
 
-    def step(self, state: tuple[int, ...], tag: str) -> tuple[tuple[int, ...], frozenset[str]]:
+    def step(self, state: tuple[int, ...], tag: str) -> tuple[tuple[int, ...], dict[str, float]]:
         if (found := self.table.get((state, tag))) is None:
             moves = [m.step(s, tag) for m, s in zip(self.machines, state, strict=True)]
-            found = self.table[state, tag] = (tuple(s for s, _ in moves), frozenset(mark for _, mark in moves if mark))
+            found = self.table[state, tag] = (tuple(s for s, _, _ in moves), {mark: weight for _, mark, weight in moves if mark})
         return found
 
-    def run(self, tags: list[str]) -> list[frozenset[str]]:
+    def run(self, tags: list[str]) -> list[dict[str, float]]:
         state, out = self.start, []
         for tag in tags:
             state, marks = self.step(state, tag)
@@ -105,10 +122,10 @@ class Composed:
 
 @dataclass
 class Grammar:
-    """A scorer: lexemes with weights (stems end in '*'), path weights and bias. It is small, and the same at every input size."""
+    """A scorer: lexemes with weights (stems end in '*'), the weights of the marking arcs, and bias. It is small, and the same at every input size."""
 
     lexemes: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 1.0))
-    weights: list[float] = field(default_factory=lambda: [PRIOR[p] for p in PATHS])
+    weights: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     bias: float = PRIOR_BIAS
 
     def __post_init__(self) -> None:
@@ -125,8 +142,7 @@ class Grammar:
             if word not in self.lexemes:
                 self.automaton.add_word(word, (word, False, None))
         self.automaton.make_automaton()
-        self.machine = Composed(grammar())
-        self.aim = Composed([reaching("T", "aimed", REACH["target"], "I")])
+        self.machine, self.backwards = map(Composed, grammar(self.weights))
         self.tags = dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(TARGETS, "T") | dict.fromkeys(REPORTS, "R")
 
     def clauses(self, text: str) -> Iterator[tuple[int, int, dict[int, tuple[str, float]]]]:
@@ -150,30 +166,37 @@ class Grammar:
             done = end.start() if end else len(low)
             yield begin, done, {k: v for k, v in hits.items() if begin <= k < done}
 
-    def paths(self, text: str) -> list[float]:
-        """Evidence for each path: over clauses, the weight of the heaviest word that the path has there."""
+    def matches(self, text: str) -> Iterator[tuple[int, int, dict[str, float], float]]:
+        """Each matched clause's span, its best path's marks with their arcs' weights, and the weight of the word that the path stands on."""
         if self.machine is None:
             self.compile()
-        total = [0.0] * len(PATHS)
         low = text.lower()
         for begin, end, hits in self.clauses(text):
             words = [(m.start(), m.group()) for m in WORD.finditer(low, begin, end)]
             tags = [hits[at][0] if at in hits else self.tags.get(word, "O") for at, word in words]
-            marks = self.machine.run(tags)
-            behind = self.aim.run(tags[::-1])[::-1]  # a target after its insult
-            best: dict[tuple, float] = {}
-            for (at, _), found, also in zip(words, marks, behind, strict=True):
-                found = found | also
-                kind = "threat" if "threat" in found else "insult" if "insult" in found else None
-                if kind:
-                    path = (kind, kind == "threat" or "aimed" in found, "negated" in found, "reported" in found)
-                    best[path] = max(best.get(path, 0.0), hits.get(at, ("", 1.0))[1])
-            for path, weight in best.items():
-                total[PATHS.index(path)] += weight
-        return [min(PATH_CAP, x) for x in total]
+            best = None
+            for (at, _), found, also in zip(words, self.machine.run(tags), self.backwards.run(tags[::-1])[::-1], strict=True):
+                marks = found | also
+                if "threat" in marks:  # a threat has its target already
+                    marks = {k: w for k, w in marks.items() if k not in ("insult", "aimed")}
+                elif "insult" not in marks:
+                    continue
+                word = hits[at][1] if "insult" in marks else 1.0
+                if best is None or sum(marks.values()) * word > sum(best[0].values()) * best[1]:
+                    best = marks, word
+            if best:
+                yield begin, end, *best
+
+    def evidence(self, text: str) -> list[float]:
+        """For each mark, the sum over matched clauses of the word's weight; the clauses' worth is these sums times the arcs' weights."""
+        total = dict.fromkeys(PRIOR, 0.0)
+        for _, _, marks, word in self.matches(text):
+            for mark in marks:
+                total[mark] += word
+        return list(total.values())
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(w * x for w, x in zip(self.weights, self.paths(text or ""), strict=True) if x)
+        z = self.bias + sum(sum(marks.values()) * word for _, _, marks, word in self.matches(text or ""))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -194,14 +217,19 @@ def hash_of(text: str) -> int:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS_PER_LABEL) -> DataFrame:
-    """(doc_id, text, y) of labelled rows that aren't held out: at most max_rows of each label, the first by a hash of their id."""
+    """(doc_id, text, y) of labelled rows that aren't held out: at most max_rows of each label, the first by a hash of their id; of several texts of one id the least."""
     known = labels.where(F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.max(label).alias("y"))
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").where(F.col("text").isNotNull())
+    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").where(F.col("text").isNotNull())
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER_LABEL) -> Grammar:
-    """Learn lexemes and path weights. Without labelled rows of both kinds, the grammar keeps its own words and prior weights."""
+    """Learn lexemes and arc weights. Without labelled rows of both kinds, the grammar keeps its own words and prior weights.
+
+    Training rows that are nearly copies of each other (a minimum of one of four hashes over their
+    five-word shingles is the same) count once, so that a text that was copied often is no evidence of its own.
+    """
     sample = stored(training_rows(docs, labels, "toxic", max_rows), "toxic-rows")
     spread = sample.repartition(16)
 
@@ -254,16 +282,16 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER
     def evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array([i in kept for i in b["doc_id"].to_pylist()], pa.bool_()))
-            yield pa.RecordBatch.from_pydict({"y": b["y"], "x": pa.array([model.paths(t) for t in b["text"].to_pylist()], pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"y": b["y"], "x": pa.array([model.evidence(t) for t in b["text"].to_pylist()], pa.list_(pa.float64()))})
 
     rows = spread.mapInArrow(evidence, "y int, x array<double>").collect()
     discard(sample)
     truth = {y: c for y, c in labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("toxic").count().collect()}
     y = np.array([r.y for r in rows], float)
     share = [truth.get(v, 1) / max(1, int((y == v).sum())) for v in (0, 1)]
-    x = np.array([r.x for r in rows], float).reshape(len(rows), len(PATHS))
-    weights = ridge_logit(x, y, np.where(y == 1, share[1], share[0]) * len(y) / sum(truth.values()), np.array([PRIOR[p] for p in PATHS]))
-    model.bias, model.weights = float(weights[0]), [float(w) for w in weights[1:]]
+    x = np.array([r.x for r in rows], float).reshape(len(rows), len(PRIOR))
+    weights = ridge_logit(x, y, np.where(y == 1, share[1], share[0]) * len(y) / sum(truth.values()), np.array(list(PRIOR.values())))
+    model.bias, model.weights = float(weights[0]), dict(zip(PRIOR, map(float, weights[1:]), strict=True))
     return model
 
 

@@ -147,3 +147,47 @@ def jump(key, shards):
         if to >= shards:
             return stop
         stop = to
+
+
+def toxic_clauses(text, lexemes, threats, tags):
+    """(marks, word's weight) of every path of each clause: tags by looking each word up, marks by looking at the words around."""
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        weight = {}
+        for i, w in enumerate(words):
+            fits = [v for k, v in lexemes.items() if (w.startswith(k[:-1]) if k.endswith("*") else w == k)]
+            if fits:
+                weight[i] = max(fits)
+        tag = ["I" if i in weight else "H" if w in threats else tags.get(w, "O") for i, w in enumerate(words)]
+        last = lambda i, t: max((j for j in range(i) if tag[j] == t), default=-99)
+        paths = []
+        for i, t in enumerate(tag):
+            h = last(i, "H")
+            if t == "T" and i - h <= 4 and "T" not in tag[h + 1 : i]:
+                n = last(h, "N")
+                negated = h - n <= 3 and "H" not in tag[n + 1 : h] and "N" not in tag[h:i]
+                paths.append(({"threat"} | ({"negated"} if negated else set()) | ({"reported"} if "R" in tag[:i] else set()), 1.0))
+            if t == "I" and len(words) > 1:
+                marks = {"insult"}
+                if "T" in tag[max(0, i - 5) : i] + tag[i + 1 : i + 6]:
+                    marks.add("aimed")
+                if "N" in tag[max(0, i - 3) : i]:
+                    marks.add("negated")
+                if "R" in tag[:i]:
+                    marks.add("reported")
+                paths.append((marks, weight[i]))
+        if paths:
+            yield paths
+
+
+def toxicity(text, lexemes, weights, bias, threats, tags):
+    z = bias + sum(max(sum(weights[m] for m in marks) * w for marks, w in paths) for paths in toxic_clauses(text, lexemes, threats, tags))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def additive(x, bias, edges, tables, pairs, coarse, pair_tables):
+    """The score of one row of features: each one's bin by counting the edges that are not above it."""
+    fine = [sum(e <= v for e in edge) for v, edge in zip(x, edges, strict=True)]
+    wide = [sum(e <= v for e in edge) for v, edge in zip(x, coarse, strict=True)]
+    z = bias + sum(t[k] for t, k in zip(tables, fine, strict=True)) + sum(t[wide[i]][wide[j]] for (i, j), t in zip(pairs, pair_tables, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))

@@ -1,6 +1,7 @@
 """The ten operators against plain versions, on a small corpus of awkward rows and on empty tables."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,15 +119,43 @@ def test_toxicity_held_out(spark):
 
 def test_grammar_reads_clauses():
     g = toxicity.Grammar()
-    paths = lambda t: {p for p, x in zip(toxicity.PATHS, g.paths(t), strict=True) if x}
-    assert paths("You are an idiot.") == {("insult", True, False, False)}
-    assert paths("An idiot, that one is") == {("insult", False, False, False)}
-    assert paths("You are not an idiot") == {("insult", True, True, False)}
-    assert paths("He said you are an idiot!") == {("insult", True, False, True)}
-    assert ("threat", True, False, False) in paths("I will kill you")
-    assert paths("I will kill time") == set() and paths("idiotic scumble") == set() and paths("") == set()
-    assert paths("not now. an idiot") == {("insult", False, False, False)}
-    assert g.score("you are not an idiot") < g.score("you are an idiot") and g.score(None) == g.score("")
+    marks = lambda t: [set(m) for *_, m, _ in g.matches(t)]
+    assert marks("You are an idiot.") == [{"insult", "aimed"}]
+    assert marks("An idiot, that one is") == [{"insult"}]
+    assert marks("Idiot.") == marks("Idiot") == marks("idiot\n\nmoron") == []  # a word alone is no clause
+    assert marks("You are not an idiot") == [{"insult", "aimed", "negated"}]
+    assert marks("He said you are an idiot!") == [{"insult", "aimed", "reported"}]
+    assert marks("I will kill you") == [{"threat"}] and marks("I will not kill you") == [{"threat", "negated"}]
+    assert marks("I will kill time") == marks("idiotic scumble") == marks("") == []
+    assert marks("not now. an idiot") == [{"insult"}] and len(marks("an idiot. a fool; you clown")) == 3
+    assert g.score("you are not an idiot") < g.score("you are an idiot") and g.score(None) == g.score("") == g.score("Idiot!")
+    arcs = toxicity.Composed(toxicity.grammar(toxicity.PRIOR)[0])
+    assert [sum(x.values()) for x in arcs.run(["T", "O", "N", "I"])][-1] == pytest.approx(toxicity.PRIOR["insult"] + toxicity.PRIOR["aimed"] + toxicity.PRIOR["negated"])
+
+
+def test_grammar_against_brute_force():
+    r = random.Random(5)
+    lexemes = dict.fromkeys(toxicity.INSULTS[:3], 1.0) | {"zor*": 1.7, "idio*": 0.6, "blip": 2.0}
+    weights = {"insult": 1.1, "threat": 1.9, "aimed": 0.7, "negated": -1.4, "reported": -0.9}
+    words = [*toxicity.INSULTS[:3], "zora", "zorb", "blip", "idioma", "kill", "hurt", "you", "them", "not", "never", "said", "called", *"abcdefgh"]
+    tags = dict.fromkeys(toxicity.NEGATIONS, "N") | dict.fromkeys(toxicity.TARGETS, "T") | dict.fromkeys(toxicity.REPORTS, "R")
+    g = toxicity.Grammar(lexemes, weights, -2.0)
+    for k in range(3000):
+        text = "".join(r.choice(words) + r.choice([" ", " ", " ", " ", ", ", ". ", "! ", "\n", "; "]) for _ in range(r.randint(0, 30)))
+        assert g.score(text) == pytest.approx(brute.toxicity(text, lexemes, weights, -2.0, toxicity.THREATS, tags)), text
+    long = "a b c. " * 400_000 + "you zora"
+    assert g.score(long) == pytest.approx(brute.toxicity("you zora", lexemes, weights, -2.0, toxicity.THREATS, tags))
+
+
+def test_quality_against_brute_force(spark, docs):
+    labels = spark.createDataFrame([(i, len(t or "") % 2) for i, t, _ in ROWS if i is not None], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    want = sorted(((i, brute.additive(quality.features(t), model.bias, model.edges, model.tables, model.pairs, model.coarse, model.pair_tables)) for i, t, _ in ROWS), key=str)
+    for (i, a), (j, b) in zip(got(quality.score_quality(docs, model), "doc_id", "quality"), want, strict=True):
+        assert i == j and a == pytest.approx(b)
+    assert len(set(round(b, 6) for _, b in want)) > 5
+    long = spark.createDataFrame([(1, "word " * 600_000)], "doc_id long, text string")
+    assert quality.score_quality(long, model).first().quality == pytest.approx(brute.additive(quality.features("word " * 600_000), model.bias, model.edges, model.tables, model.pairs, model.coarse, model.pair_tables))
 
 
 def test_contamination(spark, docs, none):
@@ -243,6 +272,49 @@ def test_license_automata(spark, docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def plain(markup, r=None):
+    """The wording of a template, with its optional and replaceable regions as r has it; without r neither optional words nor more than must be."""
+    out = []
+    for part in licenses.split_markup(markup):
+        if part[0] == "{":
+            out += plain(part[1:-1], r) if r and r.random() < 0.5 else []
+        elif part[0] == "<":
+            least, most = map(int, part[1:-1].rpartition(":")[2].split("-"))
+            out += [f"any{k}" for k in range(r.randint(least, most) if r else least)]
+        else:
+            out.append(part)
+    return out
+
+
+@pytest.mark.parametrize("markup", [m for m in licenses.TEMPLATES if len(m) > 200])
+def test_whole_licenses(markup):
+    r, scanner, label = random.Random(1), licenses.Scanner(), licenses.TEMPLATES[markup]
+    for how in (None, r, r):
+        words = plain(markup, how)
+        assert label in scanner.scan("x " + ", ".join(words).title() + " y")["labels"].split(",")
+        for cut in (words[:-1], words[: len(words) // 2], words[len(words) // 2 :], words[:12] + ["other"] + words[12:]):
+            assert label not in scanner.scan(" ".join(cut))["labels"].split(",")
+
+
+def test_templates_against_regular_expressions():
+    r, words = random.Random(9), "a b c d e".split()
+
+    def pattern(markup):
+        bit = lambda p: f"(?:{pattern(p[1:-1])})?" if p[0] == "{" else r"(?:\S+ ){%s,%s}" % tuple(p[1:-1].rpartition(":")[2].split("-")) if p[0] == "<" else p + " "
+        return "".join(map(bit, licenses.split_markup(markup)))
+
+    for markup in ("a {b} c", "<x:1-3> a b {c {d} e} <y:2-2> a", "{a b} c <z:0-2> d d", "a a {a} b"):
+        scanner = licenses.Scanner({}, {markup: "l"})
+        for _ in range(400):
+            text = " ".join(r.choice(words) for _ in range(r.randrange(14)))
+            assert scanner.scan(text)["labels"] == ("l" if re.search(r"(?:^| )" + pattern(markup), text + " ") else ""), (markup, text)
+
+
+def test_license_scan_of_long_text():
+    found = licenses.Scanner().scan("under the mit license and more " * 150_000)
+    assert found["n_base"] == 150_000 and found["last_word"] == 149_999 * 6 and found["n_words"] == 900_000
+
+
 def test_base_phrases_against_words():
     r = random.Random(2)
     words = "under the mit license apache version 2 cc by nc x".split()
