@@ -449,7 +449,7 @@ def test_many_slices(docs, monkeypatch):
     assert have == sorted((str(r[0]), r[2], r[3], round(r[5], 4)) for r in brute.bigrams(ROWS, [brute.crc_mod(i, 10) == 0 for i, *_ in ROWS]))
 
 
-@pytest.mark.parametrize("name", ["op3_decontamination", "op4_ngram_join", "op5_embedding_dedup", "op7_mixing"])
+@pytest.mark.parametrize("name", ["op3_decontamination", "op4_ngram_join", "op5_embedding_dedup", "op7_mixing", "op8_suffix_dedup", "op10_sharding"])
 def test_queries_against_sql(spark, name):
     from tallyframe.llm.queries import ORACLE_SQL, QUERIES
 
@@ -462,3 +462,24 @@ def test_queries_have_all_rows(spark, name, columns):
 
     df = QUERIES[name](spark, SF)
     assert len(df.columns) == columns and df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_texts_of_megabytes(spark):
+    """One text of 1.5 MB, a copy of its first half and short ones, through the operators that cut texts up."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(190_000)]
+    rows = [(1, " ".join(words), "a"), (2, " ".join(words[:95_000]), "a"), (3, "short text", "b"), (4, " ".join(words[:185_000]), "b")]
+    big = brute.frame(spark, rows)
+    assert got(ngram_join.ngram_components(big), "doc_id", "n_shingles", "component_id") == brute.ngram_join(rows)
+    bench = spark.createDataFrame([(1, " ".join(words[100_000:100_020]))], "item_id long, text string")
+    columns = "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    assert got(decontamination.find_contamination(big, bench), *columns) == brute.contamination(rows, [(1, " ".join(words[100_000:100_020]))])
+    held = F.col("doc_id") == 2
+    want = sorted(brute.bigrams(rows, [i == 2 for i, *_ in rows]))
+    for a, b in zip(sorted(tuple(x) for x in lm_scoring.score_texts(big, held).collect()), want, strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and abs(a[6] - b[6]) <= 7.4e-5 * a[2]
+    size = {i: len(t.encode()) for i, t, _ in rows}
+    cut = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.remove_repeats(big).collect()}
+    assert cut == {1: (size[1], size[4], 1), 2: (size[2], size[2], 1), 3: (10, 0, 0), 4: (size[4], size[4], 1)}
+    assert {x.doc_id: x.size for x in mixing.mix_sources(big).collect()} == {1: 190_000, 2: 95_000, 3: 2, 4: 185_000}
+    assert {x.doc_id: (x.size, x.text_crc32) for x in sharding.assign_shards(big).collect()} == {i: (size[i] + 8, zlib.crc32(t.encode())) for i, t, _ in rows}
