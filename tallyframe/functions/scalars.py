@@ -39,9 +39,9 @@ def kilobytes(size: Column) -> Column:
     return F.floor(size / 1024).cast("long")
 
 
-def shown(text: Column) -> Column:
-    """A value for display: missing ones are '-'."""
-    return F.coalesce(F.nullif(text, F.lit("")), F.lit("-"))
+def shown(text: Column, missing: str = "-") -> Column:
+    """A value for display, with a sign for missing ones."""
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(missing))
 
 
 def listed(array: Column) -> Column:

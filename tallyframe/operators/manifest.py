@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..schemas import last_wins
+from ..schemas import last_wins, numbered
 
 
 def used_ids(manifest: DataFrame) -> DataFrame:
@@ -22,13 +21,12 @@ def allocate_ids(files: DataFrame, used: DataFrame) -> DataFrame:
     """file -> id: each file by name gets the next number whose id isn't used, gaps first.
 
     Candidates are as many numbers as files and used ids together, so enough are left after the
-    anti-join. Numbering needs one global order; only names and numbers go through it.
+    anti-join. Both sides are numbered by ranges, so no task sorts all files.
     """
-    ranked = files.select("file", F.row_number().over(Window.orderBy("file")).alias("place"))
+    ranked = numbered(files.select("file"), "file", "place")
     most = files.count() + used.count()
     free = files.sparkSession.range(1, most + 1).select(item_id(F.col("id")).alias("new_id"), F.col("id").alias("n"))
-    free = free.join(used, free["new_id"] == used["id"], "left_anti")
-    free = free.select("new_id", F.row_number().over(Window.orderBy("n")).alias("place"))
+    free = numbered(free.join(used, free["new_id"] == used["id"], "left_anti"), "n", "place")
     return ranked.join(free, "place").select("file", F.col("new_id").alias("id"))
 
 
@@ -57,7 +55,7 @@ def refresh(scanned: DataFrame, manifest: DataFrame) -> DataFrame:
     fresh = new.join(ids, "file").select(*skeleton(F.col("file"), F.col("id"), F.array("width", "height")), F.lit(True).alias("is_new"))
     kept = scanned.select("file").join(known, "file").withColumn("is_new", F.lit(False)).select(*fresh.columns)
     rows = kept.unionByName(fresh)
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("file")) - 1)
+    return numbered(rows, "file", "pos").withColumn("pos", F.col("pos") - 1)
 
 
 def refresh_counts(refreshed: DataFrame) -> DataFrame:

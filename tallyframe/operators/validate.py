@@ -22,6 +22,19 @@ def box_findings(bbox: Column, width: Column, height: Column) -> Column:
     )
 
 
+def repeated(items: DataFrame) -> DataFrame:
+    """Items (id, pos, ...) with again: whether the id was there before, in the order of pos. Missing ids are one id, '?'.
+
+    Missing ids may be many, so they are compared with the first of them, and not brought together.
+    """
+    tag = F.coalesce("id", F.lit("?"))
+    first = items.where(tag == "?").agg(F.min("pos").alias("first_missing"))
+    apart = F.when(tag == "?", F.pmod(F.xxhash64("pos"), F.lit(1024)))
+    nth = F.row_number().over(Window.partitionBy(tag, apart).orderBy("pos"))
+    again = F.when(tag == "?", F.col("pos") > F.col("first_missing")).otherwise(F.col("nth") > 1)
+    return items.withColumn("nth", nth).crossJoin(F.broadcast(first)).withColumn("again", again).drop("nth", "first_missing")
+
+
 def validate(manifest: DataFrame, files: DataFrame, smoke: bool = False) -> DataFrame:
     """Findings (severity, id, rule, message) as a multiset; an error makes a manifest unusable, a warning doesn't.
 
@@ -31,9 +44,8 @@ def validate(manifest: DataFrame, files: DataFrame, smoke: bool = False) -> Data
     a missing truth is a warning and the baseline's absence says nothing.
     """
     tag = F.coalesce("id", F.lit("?"))
-    again = F.row_number().over(Window.partitionBy(tag).orderBy("pos")) > 1
     there = files.select(F.col("file").alias("__file"), "width", "height")
-    rows = manifest.withColumn("again", again).join(there, F.col("file") == F.col("__file"), "left")
+    rows = repeated(manifest).join(there, F.col("file") == F.col("__file"), "left")
     missing = F.col("file").isNotNull() & F.col("__file").isNull()
 
     def finding(when: Column, rule: Column | str, severity: str, message: Column | str) -> Column:

@@ -161,9 +161,14 @@ def forced_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def repeated_ids(spark: SparkSession, d: str) -> DataFrame:
     """Second and later occurrences."""
     rows = t(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("pos"))
-    from pyspark.sql.window import Window
+    return validate.repeated(rows).where("again").select(F.col("pos").alias("event_id"))
 
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(F.coalesce("id", F.lit("?"))).orderBy("pos"))).where("nth > 1").select(F.col("pos").alias("event_id"))
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY CASE WHEN user_id % 3 > 0 THEN user_id END ORDER BY event_id) AS nth FROM events) WHERE nth > 1")
+def repeated_missing_ids(spark: SparkSession, d: str) -> DataFrame:
+    """V1 where a third of the ids is missing: missing ids are one id."""
+    rows = t(spark, d, "events").select(F.when(F.col("user_id") % 3 > 0, F.col("user_id").cast("string")).alias("id"), F.col("event_id").alias("pos"))
+    return validate.repeated(rows).where("again").select(F.col("pos").alias("event_id"))
 
 
 @query("SELECT user_id, event_id AS pos, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events) WHERE nth = 1")
@@ -282,10 +287,14 @@ def extracted_json(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", F.get_json_object(extract_json(said), "$.k").cast("long").alias("k"))
 
 
-@query("SELECT page_id, NULL::VARCHAR AS found FROM pages")
-def no_json_in_pages(spark: SparkSession, d: str) -> DataFrame:
-    """C1 on pages: style sheets have braces, but no object."""
-    return t(spark, d, "pages").select("page_id", extract_json("html").alias("found"))
+@query("SELECT event_id, CASE WHEN event_id % 6 NOT IN (1, 2) THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events")
+def json_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """An odd quote or an open brace before an object hide it; of an array, or after what only looks like an object, the first object counts."""
+    props, kind = F.col("props"), F.col("event_id") % 6
+    said = F.when(kind == 0, F.concat(F.lit("so: "), props, F.lit(" or "), F.lit('{"k": -1}')))
+    for n, (before, after) in enumerate((('he said " ', ""), ("{ open ", ""), ("[", ', {"k": -1}]'), ("{not json} ", ""), ("} ", " {")), 1):
+        said = said.when(kind == n, F.concat(F.lit(before), props, F.lit(after)))
+    return t(spark, d, "events").select("event_id", F.get_json_object(extract_json(said), "$.k").cast("long").alias("k"))
 
 
 @query("SELECT item_id, substring(sha256(text), 1, 16) AS sha, base64(encode(text)) AS line, left(text, 15) AS head, text[1:40] AS cut FROM benchmark")
@@ -336,16 +345,16 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id::VARCHAR || ':' || turn AS id, NULL::VARCHAR AS error, '-' AS category, '-' AS visible_text, CASE WHEN role = 'user' THEN role ELSE '-' END AS brand, '-' AS model, '-' AS confidence, '-' AS reasoning,
-  'a, b' AS attributes, 'l1|l2|l3|l4|l5' AS links, 'q1, q2, q3, q4' AS queries, left(text, 400) AS raw_text, CASE WHEN turn % 2 = 0 THEN role ELSE '-' END AS true_brand, '-' AS true_model, '-' AS true_url FROM conversations""")
+SELECT conv_id::VARCHAR || ':' || turn AS id, CASE WHEN turn % 2 = 1 THEN left(text, 400) END AS error, '-' AS category, '-' AS visible_text, CASE WHEN role = 'user' THEN role ELSE 'null' END AS brand, 'null' AS model, '-' AS confidence, '-' AS reasoning,
+  CASE WHEN turn % 2 = 0 THEN 'a, b' ELSE '-' END AS attributes, 7 AS n_links, 'l1|l2|l3|l4|l5' AS links, 'q1, q2, q3, q4' AS queries, left(text, 400) AS raw_text,
+  CASE WHEN turn % 2 = 0 THEN role ELSE '?' END AS true_brand, '?' AS true_model, CASE WHEN turn % 2 = 0 THEN 'http://' || role END AS true_url FROM conversations""")
 def judge_cards(spark: SparkSession, d: str) -> DataFrame:
     """What a judge sees."""
     rows = t(spark, d, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     brand = F.when(F.col("role") == "user", F.col("role")).otherwise("")
-    reply = F.to_json(F.struct(brand.alias("brand"), F.array(F.lit("a"), F.lit("b")).alias("attributes"), F.array(*[F.lit(f"l{i}") for i in range(1, 8)]).alias("links")))
-    results = rows.select("id", F.lit(None).cast("string").alias("error"), reply.alias("parsed"), F.array(*[F.lit(f"q{i}") for i in range(1, 7)]).alias("grounding_queries"), F.col("text").alias("raw_text"))
-    empty = F.lit(None).cast("string")
-    truth = rows.where("turn % 2 = 0").select("id", F.struct(F.col("role").alias("brand"), empty.alias("model"), empty.alias("url")).alias("truth"))
+    reply = F.to_json(F.struct(brand.alias("brand"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("attributes"), F.array(*[F.lit(f"l{i}") for i in range(1, 8)]).alias("links")))
+    results = rows.select("id", F.when(F.col("turn") % 2 == 1, F.col("text")).alias("error"), reply.alias("parsed"), F.array(*[F.lit(f"q{i}") for i in range(1, 7)]).alias("grounding_queries"), F.col("text").alias("raw_text"))
+    truth = rows.where("turn % 2 = 0").select("id", F.struct(F.col("role").alias("brand"), F.lit("").alias("model"), F.concat(F.lit("http://"), "role").alias("url")).alias("truth"))
     return card_plans.cards(results, truth).withColumn("links", F.array_join("links", "|"))
 
 

@@ -48,6 +48,22 @@ def no_keys(json: Column) -> Column:
     return F.coalesce(F.size(F.json_object_keys(json)), F.lit(0)) == 0
 
 
+def numbered(df: DataFrame, key: str, name: str, parts: int = 200) -> DataFrame:
+    """Rows with their 1-based place in the order of key (its ties in any order), without one task that sorts all of them.
+
+    Rows are ranged by bounds from the data: the values of at most parts - 1 keys, the first by a hash,
+    which come to the driver. Ranges are counted, and a row's place is its range's offset and its place within it.
+    """
+    bounds = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(parts - 1).collect())
+    span, offset = f"{name}__range", f"{name}__offset"
+    ranged = df.withColumn(span, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0))
+    sizes = ranged.groupBy(span).agg(F.count(F.lit(1)).alias(offset))
+    before = Window.orderBy(span).rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows at most
+    offsets = sizes.select(F.col(span).alias(f"{span}_"), F.coalesce(F.sum(offset).over(before), F.lit(0)).alias(offset))
+    placed = ranged.join(F.broadcast(offsets), F.col(span) == F.col(f"{span}_"))
+    return placed.withColumn(name, F.col(offset) + F.row_number().over(Window.partitionBy(span).orderBy(key))).drop(span, f"{span}_", offset)
+
+
 def last_wins(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """One row for each key: the last by position, as a dictionary built in order would keep it."""
     newest = Window.partitionBy(key).orderBy(F.col(pos).desc())

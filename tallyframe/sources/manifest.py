@@ -42,6 +42,25 @@ def read_manifest(spark: SparkSession, path: str, must_have_rows: bool = False)
     return rows
 
 
+def read_loosely(spark: SparkSession, path: str) -> DataFrame:
+    """Items for validation, with pos and raw, each item's own JSON: a field of a wrong type is null, and an item that is no object has nulls alone, so that rules can report them."""
+    whole = spark.read.text(path, wholetext=True)
+    if whole.where("coalesce(schema_of_variant(try_parse_json(value)), '') not like 'ARRAY%'").limit(1).count():
+        raise ManifestError(f"{path} is not a manifest; it was left as it is")
+    items = whole.select(F.posexplode(F.from_json("value", "ARRAY<STRING>")).alias("pos", "raw"))
+    return items.select("pos", F.from_json("raw", f"STRUCT<{_struct(MANIFEST)}>").alias("item"), "raw").select("pos", "item.*", "raw")
+
+
+def only(items: DataFrame, id_: str | None) -> DataFrame:
+    """The items of one id, all without one. An id that no item has raises."""
+    if id_ is None:
+        return items
+    chosen = items.where(F.col("id") == id_)
+    if chosen.isEmpty():
+        raise ManifestError(f"no item has the id {id_!r}")
+    return chosen
+
+
 def manifest_by(df: DataFrame, key: str) -> DataFrame:
     """The manifest as a lookup by file or id: the last of several items with one key counts."""
     return last_wins(df.where(F.col(key).isNotNull()), key)
@@ -50,7 +69,7 @@ def manifest_by(df: DataFrame, key: str) -> DataFrame:
 def write_manifest(df: DataFrame, path: str) -> None:
     """Replace the manifest in one step: written beside it, then renamed over it, so that it may have been read from the same path.
 
-    A manifest is one JSON array by format, a list of photos that people label; it is one row here.
+    The file system replaces the old file with the new one or raises; there is no time without either. A manifest is one JSON array by format, a list of photos that people label; it is one row here.
     """
     spark = df.sparkSession
     columns = [c for c in df.columns if c != "pos"]
@@ -58,10 +77,15 @@ def write_manifest(df: DataFrame, path: str) -> None:
     array = df.agg(F.to_json(F.transform(ordered, lambda r: r["item"]), {"ignoreNullFields": "false"}).alias("value"))
     beside = f"{path}.{uuid.uuid4().hex}"
     array.coalesce(1).write.text(beside)
-    jvm = spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    part = next(s.getPath() for s in fs.listStatus(fs_path(beside)) if s.getPath().getName().startswith("part-"))
-    fs.delete(fs_path(path), True)
-    fs.rename(part, fs_path(path))
-    fs.delete(fs_path(beside), True)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    target = hadoop.Path(path).getFileSystem(conf).makeQualified(hadoop.Path(path))
+    files = hadoop.FileContext.getFileContext(target.toUri(), conf)
+    folder = files.makeQualified(hadoop.Path(beside))
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    try:
+        written = files.util().listStatus(folder)
+        files.rename(next(s.getPath() for s in written if s.getPath().getName().startswith("part-")), target, over)
+    finally:
+        files.delete(folder, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,32 +32,67 @@ def classify(name: Column, decodable: Column | None = None) -> Column:
 
 
 def header_size(content: bytes | None) -> tuple[int, int] | None:
-    """(width, height) after EXIF rotation of a JPEG, PNG, BMP or WebP from its first bytes; None for what isn't one."""
+    """(width, height) of a JPEG, PNG, BMP, WebP or TIFF after the turn that its EXIF asks for; None for what isn't one.
+
+    It is also what makes a photo readable: PNG files must be whole, chunk by chunk with right check
+    sums, WebP files as long as they say, and the others' headers must be there.
+    """
     b = bytes(content or b"")
-    if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 24:
-        return struct.unpack(">II", b[16:24])
-    if b[:2] == b"BM" and len(b) >= 26:
-        w, h = struct.unpack("<ii", b[18:26])
-        return abs(w), abs(h)
-    if b[:4] == b"RIFF" and b[8:12] == b"WEBP" and len(b) >= 30:
-        return _webp(b)
-    return _jpeg(b) if b[:2] == b"\xff\xd8" else None
-
-
-def _webp(b: bytes) -> tuple[int, int] | None:
-    if b[12:16] == b"VP8X":
-        return int.from_bytes(b[24:27], "little") + 1, int.from_bytes(b[27:30], "little") + 1
-    if b[12:16] == b"VP8L":
-        bits = int.from_bytes(b[21:25], "little")
-        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
-    if b[12:16] == b"VP8 ":
-        w, h = struct.unpack("<HH", b[26:30])
-        return w & 0x3FFF, h & 0x3FFF
+    try:
+        for begins, reader in ((b"\x89PNG\r\n\x1a\n", _png), (b"\xff\xd8", _jpeg), (b"BM", _bmp), (b"RIFF", _webp), (b"II*\0", _tiff), (b"MM\0*", _tiff)):
+            if b.startswith(begins) and (found := reader(b)):
+                width, height, turn = found
+                return ((height, width) if turn in (5, 6, 7, 8) else (width, height)) if width > 0 and height > 0 else None
+    except struct.error:  # cut off within a header
+        pass
+    return None
+
+
+def _png(b: bytes) -> tuple[int, int, int] | None:
+    at, size, turn = 8, None, 1
+    while at + 12 <= len(b):
+        (n,) = struct.unpack_from(">I", b, at)
+        kind, body = b[at + 4 : at + 8], b[at + 8 : at + 8 + n]
+        if at + 12 + n > len(b) or zlib.crc32(kind + body) != struct.unpack_from(">I", b, at + 8 + n)[0]:
+            return None
+        if kind == b"IHDR":
+            size = struct.unpack_from(">II", body)
+        elif kind == b"eXIf":
+            turn = _directory(body).get(ORIENTATION, 1)
+        elif kind == b"IEND":
+            return (*size, turn) if size else None
+        at += 12 + n
     return None
 
 
-def _jpeg(b: bytes) -> tuple[int, int] | None:
-    at, turned = 2, False
+def _bmp(b: bytes) -> tuple[int, int, int]:
+    width, height = struct.unpack_from("<ii", b, 18) if struct.unpack_from("<I", b, 14)[0] >= 40 else struct.unpack_from("<HH", b, 18)
+    return abs(width), abs(height), 1
+
+
+def _webp(b: bytes) -> tuple[int, int, int] | None:
+    if b[8:12] != b"WEBP" or struct.unpack_from("<I", b, 4)[0] + 8 > len(b):
+        return None
+    at, size, turn = 12, None, 1
+    while at + 8 <= len(b):
+        kind, (n,) = b[at : at + 4], struct.unpack_from("<I", b, at + 4)
+        body = b[at + 8 : at + 8 + n]
+        if kind == b"VP8X":
+            size = int.from_bytes(body[4:7], "little") + 1, int.from_bytes(body[7:10], "little") + 1
+        elif kind == b"VP8L" and not size:
+            bits = struct.unpack_from("<I", body, 1)[0]
+            size = (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        elif kind == b"VP8 " and not size:
+            width, height = struct.unpack_from("<HH", body, 6)
+            size = width & 0x3FFF, height & 0x3FFF
+        elif kind == b"EXIF":
+            turn = _directory(body.removeprefix(b"Exif\0\0")).get(ORIENTATION, 1)
+        at += 8 + n + n % 2
+    return (*size, turn) if size else None
+
+
+def _jpeg(b: bytes) -> tuple[int, int, int] | None:
+    at, turn = 2, 1
     while at + 4 <= len(b):
         if b[at] != 0xFF:
             return None
@@ -67,27 +103,39 @@ def _jpeg(b: bytes) -> tuple[int, int] | None:
         size = int.from_bytes(b[at + 2 : at + 4], "big")
         body = b[at + 4 : at + 2 + size]
         if kind == 0xE1 and body[:6] == b"Exif\0\0":
-            turned = _orientation(body[6:]) in (5, 6, 7, 8)
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
-            h, w = struct.unpack(">HH", body[1:5])
-            return (h, w) if turned else (w, h)
+            turn = _directory(body[6:]).get(ORIENTATION, 1)
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack_from(">HH", body, 1)
+            return width, height, turn
         at += 2 + size
     return None
 
 
-def _orientation(tiff: bytes) -> int:
+def _tiff(b: bytes) -> tuple[int, int, int] | None:
+    tags = _directory(b)
+    return (tags[WIDTH], tags[HEIGHT], tags.get(ORIENTATION, 1)) if WIDTH in tags and HEIGHT in tags else None
+
+
+#: Tags of a TIFF directory, which EXIF is, too; and its integer types with their formats.
+WIDTH, HEIGHT, ORIENTATION = 0x0100, 0x0101, 0x0112
+INTEGERS = {1: "B", 3: "H", 4: "I"}
+
+
+def _directory(tiff: bytes) -> dict[int, int]:
+    """Tag -> first value, for the integer tags of the first directory; nothing of what isn't one."""
     order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-    if not order or len(tiff) < 8:
-        return 1
-    (at,) = struct.unpack(f"{order}I", tiff[4:8])
+    if not order or len(tiff) < 10:
+        return {}
+    (at,) = struct.unpack_from(f"{order}I", tiff, 4)
     if at + 2 > len(tiff):
-        return 1
-    (n,) = struct.unpack(f"{order}H", tiff[at : at + 2])
-    for k in range(n):
-        entry = tiff[at + 2 + 12 * k : at + 14 + 12 * k]
-        if len(entry) == 12 and struct.unpack(f"{order}H", entry[:2])[0] == 0x0112:
-            return struct.unpack(f"{order}H", entry[8:10])[0]
-    return 1
+        return {}
+    (n,) = struct.unpack_from(f"{order}H", tiff, at)
+    out = {}
+    for entry in range(at + 2, min(at + 2 + 12 * n, len(tiff) - 11), 12):
+        tag, kind = struct.unpack_from(f"{order}HH", tiff, entry)
+        if kind in INTEGERS:
+            out[tag] = struct.unpack_from(f"{order}{INTEGERS[kind]}", tiff, entry + 8)[0]
+    return out
 
 
 @F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))

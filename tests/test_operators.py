@@ -1,15 +1,19 @@
 """The evaluation operators on small literal inputs, bad ones above all."""
 
 import json
+import statistics
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe import round_trips, schemas
 from tallyframe.functions import scalars
 from tallyframe.functions.extract import extract_json, first_object
 from tallyframe.operators import judge, manifest, report, validate
 from tallyframe.plans import cards, decision, infer
+from tallyframe.round_trips import stub_png as png
 from tallyframe.schemas import MANIFEST, RESULT, last_wins
 from tallyframe.sources import manifest as manifests
 from tallyframe.sources import photos, runlog
@@ -18,10 +22,6 @@ from tallyframe.streaming import results as streams
 FILES = [("a.jpg", 100, 80)]
 
 
-def png(width, height):
-    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", width, height) + b"\x08\x02\0\0\0"
-
-
 def jpeg(width, height, orientation=None):
     exif = b""
     if orientation:
@@ -182,8 +182,10 @@ def test_scalars(spark):
     assert one.select(scalars.strip_fences(F.lit("\n```json\n{}\n```\n"))).first()[0] == "{}"
     boxes = spark.createDataFrame([([0, 0, 4, 50],), (None,), ([0, 0, 8, 8],), ([1, 1],)], "b array<int>")
     assert [r[0] for r in boxes.select(scalars.crop_error(F.col("b"), F.lit(100), F.lit(100))).collect()] == ["box is too small", None, None, "bad box V3"]
-    bars = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "x double")
-    assert [r[0] for r in bars.select(F.bround("x")).collect()] == [0.0, 2.0, 2.0]
+    # Of 12 rows, 1 and 5 are bars of 2.5 and 12.5: halves go to the even side.
+    rows = spark.createDataFrame([(str(i),) for i in range(12)], "id string")
+    verdicts = rows.withColumn("verdict", F.when(F.col("id") == "0", "hit").when(F.col("id").cast("int") < 6, "partial").otherwise("miss"))
+    assert {r.verdict: r.bar for r in report.verdict_counts(rows, verdicts).collect()} == {"hit": 2, "partial": 12, "miss": 15}
 
 
 def test_photo_scan(spark, tmp_path):
@@ -195,6 +197,66 @@ def test_photo_scan(spark, tmp_path):
         photos.scan_photos(spark, str(tmp_path / "none")).collect()
 
 
+def tiff(order, width, height, turn):
+    entry = lambda tag, kind, v: struct.pack(f"{order}HHI", tag, kind, 1) + struct.pack(f"{order}{'HI'[kind == 4]}", v).ljust(4, b"\0")
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}IH", 8, 3) + entry(0x100, 4, width) + entry(0x101, 3, height) + entry(0x112, 3, turn) + b"\0" * 4
+
+
+def test_headers():
+    whole = round_trips.stub_png(5, 6)
+    assert photos.header_size(whole) == (5, 6) and [photos.header_size(whole[:n]) for n in range(len(whole))] == [None] * len(whole)
+    turned = whole[:33] + struct.pack(">I", len(tiff(">", 1, 1, 6))) + b"eXIf" + tiff(">", 1, 1, 6) + struct.pack(">I", zlib.crc32(b"eXIf" + tiff(">", 1, 1, 6))) + whole[33:]
+    assert photos.header_size(turned) == (6, 5)
+    for order in "<>":
+        assert photos.header_size(tiff(order, 70000, 20, 1)) == (70000, 20) and photos.header_size(tiff(order, 30, 20, 8)) == (20, 30)
+        assert photos.header_size(tiff(order, 30, 20, 1)[:20]) is None
+    chunk = lambda kind, body: kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    body = b"WEBP" + chunk(b"VP8X", b"\0" * 4 + (29).to_bytes(3, "little") + (19).to_bytes(3, "little")) + chunk(b"EXIF", b"Exif\0\0" + tiff("<", 1, 1, 5))
+    webp = b"RIFF" + struct.pack("<I", len(body)) + body
+    assert photos.header_size(webp) == (20, 30) and photos.header_size(webp[:-1]) is None
+    assert photos.header_size(b"BM" + b"\0" * 12 + struct.pack("<Iii", 40, 7, -9)) == (7, 9) and photos.header_size(b"BM") is None
+    assert photos.header_size(None) is None and photos.header_size(b"RIFF") is None and photos.header_size(jpeg(8, 6)[:3]) is None
+
+
+def test_numbers_without_one_sort(spark):
+    for n in (0, 1, 3, 500):
+        df = spark.range(n).select((F.col("id") * 7919 % 1009).cast("string").alias("k"))
+        got = {r.k: r.place for r in schemas.numbered(df, "k", "place", parts=7).collect()}
+        assert got == {k: i for i, k in enumerate(sorted(str(x * 7919 % 1009) for x in range(n)), 1)}
+
+
+def test_exact_median(spark):
+    for values in ([], [None], [3.0], [1.0, 2.0, 3.0, 4.0], [0.5, 0.5, 0.9, 7.25, None], [-1.5, -1.25], [5.0] * 9 + [1.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        known = [v for v in values if v is not None]
+        assert report.exact_median(df, "v").first().median == (statistics.median(known) if known else None)
+
+
+def test_loose_manifest_and_only(spark, tmp_path):
+    (tmp_path / "m.json").write_text('[{"id": "p01", "bbox": "no", "file": "a"}, 7, {"id": "p02", "bbox": [1, 2]}]')
+    rows = manifests.read_loosely(spark, str(tmp_path / "m.json")).orderBy("pos").collect()
+    assert [(r.id, r.bbox, r.raw[:5]) for r in rows] == [("p01", None, '{"id"'), (None, None, "7"), ("p02", [1, 2], '{"id"')]
+    (tmp_path / "o.json").write_text('{"id": 1}')
+    with pytest.raises(manifests.ManifestError):
+        manifests.read_loosely(spark, str(tmp_path / "o.json"))
+    some = items(spark, {"id": "p01"}, {"id": "p02"})
+    assert manifests.only(some, None).count() == 2 and [r.id for r in manifests.only(some, "p02").collect()] == ["p02"]
+    with pytest.raises(manifests.ManifestError, match="p09"):
+        manifests.only(some, "p09")
+
+
+def test_report_text():
+    coverage = {"hit_rate": 40.0, "n": 10, "unjudged": 5, "is_lower_bound": True, "smoke": False}
+    verdicts = [{"place": 1, "verdict": "partial", "n": 1, "share": 10.0, "bar": 3}, {"place": 0, "verdict": "hit", "n": 4, "share": 40.0, "bar": 12}]
+    strata = [{"difficulty": "hard", "hit": 0, "judged": 0, "hit_rate": None}, {"difficulty": "easy", "hit": 4, "judged": 5, "hit_rate": 80.0}]
+    manual = {"comparable": True, "manual_successes": 3, "measured": 4, "manual_seconds_mean": 12.0, "model_hits": 2, "win": 1, "lose": 2, "tie": 1, "missing": 1, "worse_than_manual": True}
+    text = cards.render_report(coverage, verdicts, strata, {"n_ok": 5, "latency_median": 1.25, "latency_max": 9.0, "tokens_mean": 100.4, "grounded": 2}, manual)
+    assert text.index("hit ") < text.index("partial") and "easy 4/5 (80%)" in text and "hard" not in text
+    assert "grounded 2/5" in text and "manual search 3/4, 12 s each; model 2/4" in text and "worse than manual" in text and "1 rows without" in text
+    nothing = cards.render_report(coverage, manual={"comparable": False, "missing": 20})
+    assert "0 measured" in nothing and "excluded" in nothing
+
+
 def test_manifest_files(spark, tmp_path):
     path = str(tmp_path / "manifest.json")
     manifests.write_manifest(items(spark, {"id": "p01"}, {"id": "p02", "file": "ö.jpg"}), path)
@@ -236,7 +298,7 @@ def test_catalogue_and_settings(spark, tmp_path):
     assert runlog.find_key("A", [str(tmp_path / "none"), str(tmp_path / "env")], {}) == "1=2"
     assert runlog.find_key("A", [str(tmp_path / "env")], {"A": "e"}) == "e"
     assert runlog.find_key("B", [], {}) is None
-    assert runlog.describe_checkout(str(tmp_path / "none")) == "unknown"
+    assert runlog.checkout_tag(str(tmp_path / "none")) == runlog.checkout_tag(str(tmp_path), "no such command") == "unknown"
 
 
 GOOD = {"candidates": [{"content": {"parts": [{"text": '{"brand":'}, {}, {"text": '"x"}'}]}, "groundingMetadata": {"webSearchQueries": ["q"]}}], "usageMetadata": {"totalTokenCount": 7}}

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyframe import queries
+from tallyframe import queries, round_trips  # noqa: F401
 
 from .compare import duck, spark_rows
 
