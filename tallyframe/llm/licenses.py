@@ -215,8 +215,14 @@ class Scanner:
     def scan(self, text: str | None) -> dict:
         words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
         line = b" " + b" ".join(words) + b" "
-        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        place = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  the number of the word behind a blank
+        blanks: list[np.ndarray] = []  # found once, by texts that have something to place
+
+        def place(at: int) -> int:
+            """The number of the word behind a blank."""
+            if not blanks:
+                blanks.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32))
+            return int(np.searchsorted(blanks[0], at))
+
         places = []
         for phrase, label in self.base:
             at = line.find(phrase)
