@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored
 
+#: Edges from which on each round's minima are written before they are joined: the join's sides aren't bound to tasks by their keys then, and Spark can split a hub's edges.
+MANY_EDGES = 1_000_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) longs -> (node, component): for every node of an edge the smallest node that it is connected with.
@@ -22,18 +25,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def written(df: DataFrame) -> DataFrame:
         return stored(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "stars")
 
+    def apart(least: DataFrame) -> DataFrame:
+        if state[0] < MANY_EDGES:
+            return least
+        minima.append(stored(least, "minima"))
+        return minima[-1]
+
     now = written(edges)
     state = summary(now)
     while state[0]:
+        minima: list[DataFrame] = []
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = apart(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = apart(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         # A node above several others goes under the smallest itself, too.
         small = written(small.unionByName(least.select("a", F.col("m").alias("b"))))
         after = summary(small)
-        discard(now, large)
+        discard(now, large, *minima)
         now = small
         if after == state:
             break

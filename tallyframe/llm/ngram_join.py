@@ -342,16 +342,19 @@ def row_classes(docs: DataFrame, row_key: Column, words: int = WORDS, percent: i
     able = stored(able.mapInArrow(lambda it: merged(it, percent), "sig long, n int, hashes binary"), "able-rows", ARROW_MESSAGES)
 
     columns = able.mapInArrow(exploded, "h long, sig long, n int")
-    often = columns.groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
+    # What columns are joined with is written first: neither side is bound to tasks by its key then, and Spark can split a column of very many rows.
+    often = stored(columns.groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1"), "shared-often")
     ranked = columns.join(often, "h")
     by_sig = Window.partitionBy("sig")
     alone = F.col("n") - F.count(F.lit(1)).over(by_sig)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = ranked.withColumns({"place": F.row_number().over(by_sig.orderBy("owners", "h")), "alone": alone}).where(F.col("place") + F.col("alone") <= prefix).select("h", "sig")
     ranked = stored(ranked, "rare-columns")
+    discard(often)
 
     # First each column's rows are multiplied with the column's first row and with the rest of their own chunk: as many rows as the columns have.
     first = ranked.groupBy("h").agg(F.min("sig").alias("block"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "block")
+    first = stored(first, "first-rows")
     members = stored(ranked.join(first, "h").where("sig <> block").select("block", "sig").distinct(), "blocks")
     large = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1")
     large = stored(large, "large-blocks")  # at most a row for each chunk of rows
@@ -363,7 +366,7 @@ def row_classes(docs: DataFrame, row_key: Column, words: int = WORDS, percent: i
     classes = stored(connected_components(links), "classes")
 
     # What is left are columns of several chunks whose rows are not all connected by then: their chunks are multiplied with each other.
-    made = [found, able, ranked, links, classes, members, large]
+    made = [found, able, ranked, first, links, classes, members, large]
     groups = classes
     if not large.isEmpty():
         classed = ranked.join(first.join(large, "block"), "h").join(classes, F.col("sig") == F.col("node"), "left").select("h", "block", "chunks", "sig", F.coalesce("component", "sig").alias("class"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, embedding_dedup, licenses, lm_scoring, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
+from tallyframe.llm import components, decontamination, embedding_dedup, licenses, lm_scoring, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
 from tallyframe.llm.common import crc_mod, space_words, text_slices
 from tallyframe.llm.components import connected_components
 
@@ -206,7 +206,9 @@ def test_overlaps_are_exact():
         ngram_join.STRIP = old
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [0, 10**6])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr(components, "MANY_EDGES", many)
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 100), (7, 7), (None, 3), (60, 61), (62, 61), (62, 63)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 50: 50, 100: 50, **dict.fromkeys((60, 61, 62, 63), 60)}
