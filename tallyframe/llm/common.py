@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -97,6 +98,14 @@ def count_words(text: Column, between: str) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.size(parts).cast("long") - blank(1) - blank(-1))
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass batches on and, after the last, give memory that is free back to the system: Python workers live on and wait for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

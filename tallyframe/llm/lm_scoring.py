@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, space_words, stored, table, text_slices
+from .common import crc_mod, discard, space_words, stored, table, text_slices, trimmed
 
 DISCOUNT = 0.75
 ADDED = 0.1
@@ -389,8 +389,8 @@ def score_texts(docs: DataFrame, held_out: object) -> DataFrame:
     totals = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held")).alias("texts")).first()
     shards = max(12, totals.rows // DOCS_PER_SHARD)
     hot, split_bits = hot_contexts(docs, totals.rows, shards)
-    messages = docs.mapInArrow(lambda it: encoded(it, shards, hot, split_bits), MESSAGE)
-    answers = stored(messages.repartitionById(shards, F.col("bucket").cast("int")).mapInArrow(lambda it: answered(it, hot), ANSWER), "answers", ARROW_MESSAGES)
+    messages = docs.mapInArrow(lambda it: trimmed(encoded(it, shards, hot, split_bits)), MESSAGE)
+    answers = stored(messages.repartitionById(shards, F.col("bucket").cast("int")).mapInArrow(lambda it: trimmed(answered(it, hot)), ANSWER), "answers", ARROW_MESSAGES)
     sums = answers.where("slice < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     apart: dict[int, tuple[int, int]] = {}
     for r in answers.where("slice < 0 AND codes IS NOT NULL").select("codes", "counts", "kinds").collect():  # at most the hot contexts times their parts
@@ -400,7 +400,7 @@ def score_texts(docs: DataFrame, held_out: object) -> DataFrame:
     texts = int(totals.texts)
     n, v = int(sums.n) + sum(known) + texts, int(sums.v) + sum(c > 0 for c in known) + bool(texts)
     slices = answers.where("slice >= 0").repartition(shards, "slice").sortWithinPartitions("slice", F.col("bucket").asc_nulls_first())
-    result = stored(slices.mapInArrow(lambda it: scored(it, n, v, texts, apart, shards, split_bits), SCORES), "scores", ARROW_MESSAGES)
+    result = stored(slices.mapInArrow(lambda it: trimmed(scored(it, n, v, texts, apart, shards, split_bits)), SCORES), "scores", ARROW_MESSAGES)
     discard(answers)
     return result
 

@@ -23,16 +23,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, space_words, stored, table, text_slices
+from .common import discard, space_words, stored, table, text_slices, trimmed
 from .components import connected_components
 
 WORDS = 5
 #: Similarity of a link, in hundredths.
 PERCENT = 80
 #: Documents for each task of the first product, about, bytes of text that are cut up at once, and rows of a chunk of a group.
-DOCS_PER_TASK, PIECE_BYTES, CHUNK = 3000, 6 << 20, 1024
-#: Messages that go to Python together.
-ARROW_MESSAGES = 500
+DOCS_PER_TASK, PIECE_BYTES, CHUNK = 3000, 4 << 20, 1024
+#: Messages, and rows of the matrix, that go to Python together: some megabytes, as the JVM and Python both hold them.
+ARROW_MESSAGES, ARROW_SETS = 100, 500
 #: Columns of a strip, and rows of a column that adds to its pairs one by one.
 STRIP, FEW = 4096, 4
 
@@ -171,7 +171,9 @@ def parts_of(batches: Iterable[pa.RecordBatch], tasks: int, words: int) -> Itera
                     out.setdefault(b, {}).update({"columns": ascending(h - starts[b]), "owners": o.tobytes(), "owner_names": names[used].tobytes(), "owner_sizes": sizes[used].tobytes()})
             listed = {"doc_ids": piece["doc_id"].to_pylist(), "doc_keys": piece["row_key"].to_pylist(), "doc_sigs": sigs, "doc_sizes": [len(s) for s in sets]}
             out.setdefault((sigs[0] or 0) % tasks if sigs else 0, {}).update(listed)
-            yield pa.RecordBatch.from_pylist([{"bucket": b, **r} for b, r in out.items()], schema=PARTS_ARROW)
+            rows_out = [{"bucket": b, **r} for b, r in out.items()]
+            for i in range(0, len(rows_out), ARROW_MESSAGES // 4):
+                yield pa.RecordBatch.from_pylist(rows_out[i : i + ARROW_MESSAGES // 4], schema=PARTS_ARROW)
 
 
 def shared_columns(batches: Iterable[pa.RecordBatch], tasks: int) -> Iterator[pa.RecordBatch]:
@@ -318,7 +320,7 @@ def linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 def products(rows: DataFrame, able: DataFrame, tasks: int, percent: int) -> DataFrame:
     """(a, b) links within each (block, i, j) of rows, each of which brings its columns along; written."""
     rows = rows.join(able, "sig").repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j", "sig")
-    return stored(rows.mapInArrow(lambda it: linked(it, percent), "a long, b long"), "links")
+    return stored(rows.mapInArrow(lambda it: trimmed(linked(it, percent)), "a long, b long"), "links", ARROW_SETS)
 
 
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
@@ -335,21 +337,21 @@ def row_classes(docs: DataFrame, row_key: Column, words: int = WORDS, percent: i
     """As ngram_components, with row_key (long) as given and class, the group's own name, for rows with null or repeated ids; it is null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key.cast("long").alias("row_key"))
     tasks = max(12, docs.count() // docs_per_task)
-    parts = docs.mapInArrow(lambda it: parts_of(it, tasks, words), PARTS)
-    found = stored(parts.repartitionById(tasks, "bucket").mapInArrow(lambda it: shared_columns(it, tasks), FOUND), "shared-columns", ARROW_MESSAGES)
+    parts = docs.mapInArrow(lambda it: trimmed(parts_of(it, tasks, words)), PARTS)
+    found = stored(parts.repartitionById(tasks, "bucket").mapInArrow(lambda it: trimmed(shared_columns(it, tasks)), FOUND), "shared-columns", ARROW_MESSAGES)
     listed = found.where("doc_sizes is not null").select(F.inline(F.arrays_zip("doc_ids", "doc_keys", "doc_sigs", "doc_sizes"))).toDF("doc_id", "row_key", "sig", "n_shingles")
     able = found.where("names is not null").select("bucket", *ROWS).repartitionById(tasks, "bucket")
-    able = stored(able.mapInArrow(lambda it: merged(it, percent), "sig long, n int, hashes binary"), "able-rows", ARROW_MESSAGES)
+    able = stored(able.mapInArrow(lambda it: trimmed(merged(it, percent)), "sig long, n int, hashes binary"), "able-rows", ARROW_MESSAGES)
 
     columns = able.mapInArrow(exploded, "h long, sig long, n int")
     # What columns are joined with is written first: neither side is bound to tasks by its key then, and Spark can split a column of very many rows.
-    often = stored(columns.groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1"), "shared-often")
+    often = stored(columns.groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1"), "shared-often", ARROW_SETS)
     ranked = columns.join(often, "h")
     by_sig = Window.partitionBy("sig")
     alone = F.col("n") - F.count(F.lit(1)).over(by_sig)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = ranked.withColumns({"place": F.row_number().over(by_sig.orderBy("owners", "h")), "alone": alone}).where(F.col("place") + F.col("alone") <= prefix).select("h", "sig")
-    ranked = stored(ranked, "rare-columns")
+    ranked = stored(ranked, "rare-columns", ARROW_SETS)
     discard(often)
 
     # First each column's rows are multiplied with the column's first row and with the rest of their own chunk: as many rows as the columns have.

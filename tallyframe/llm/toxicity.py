@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod, discard, free_name, stored, table
+from .common import crc_mod, discard, free_name, stored, table, trimmed
 
 #: Labelled rows that the grammar learns from, at most, for each label; they are the first in the order of a hash of their id.
 MAX_ROWS_PER_LABEL = 6000
@@ -241,7 +241,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER
     # At most two times max_rows short rows come to the driver, whatever the input's size.
     seen: set[tuple[int, int]] = set()
     kept: dict[int, int] = {}
-    for row in sorted(spread.mapInArrow(sketches, "doc_id long, y int, sketch array<long>").collect()):
+    for row in sorted(spread.mapInArrow(lambda it: trimmed(sketches(it)), "doc_id long, y int, sketch array<long>").collect()):
         marks = set(enumerate(row.sketch))
         if not marks & seen:
             kept[row.doc_id] = row.y
@@ -261,7 +261,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER
                         found.update(lexemes_of(t) if among is None else lexemes_of(t) & among)
             yield pa.RecordBatch.from_pydict({"lexeme": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-        rows = spread.where(F.col("y") == of).mapInArrow(count, "lexeme string, n long").groupBy("lexeme").agg(F.sum("n").alias("n"))
+        rows = spread.where(F.col("y") == of).mapInArrow(lambda it: trimmed(count(it)), "lexeme string, n long").groupBy("lexeme").agg(F.sum("n").alias("n"))
         return {r.lexeme: r.n for r in rows.where(F.col("n") >= (MIN_SUPPORT if among is None else 1)).collect()}
 
     toxic = counts(1, None)
@@ -284,7 +284,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER
             b = b.filter(pa.array([i in kept for i in b["doc_id"].to_pylist()], pa.bool_()))
             yield pa.RecordBatch.from_pydict({"y": b["y"], "x": pa.array([model.evidence(t) for t in b["text"].to_pylist()], pa.list_(pa.float64()))})
 
-    rows = spread.mapInArrow(evidence, "y int, x array<double>").collect()
+    rows = spread.mapInArrow(lambda it: trimmed(evidence(it)), "y int, x array<double>").collect()
     discard(sample)
     truth = {y: c for y, c in labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("toxic").count().collect()}
     y = np.array([r.y for r in rows], float)
@@ -327,7 +327,7 @@ def score_toxicity(docs: DataFrame, model: Grammar, keep: tuple[str, ...] = ("do
 
     kept = docs.select(*keep)
     rows = docs.select(*keep, F.col("text").alias(free_name([*keep, name], "scored_text")))
-    return rows.mapInArrow(score, StructType([*kept.schema, StructField(name, DoubleType())]))
+    return rows.mapInArrow(lambda it: trimmed(score(it)), StructType([*kept.schema, StructField(name, DoubleType())]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
