@@ -124,6 +124,21 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 16
         yield batch.slice(start)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Put small Arrow batches together, up to max_bytes of text, but for a larger single batch."""
+    some: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if some and total + n > max_bytes:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some, total = [], 0
+        some.append(batch)
+        total += n
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+
 def space_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Lower-cased white-space words of each text: the distinct words, each occurrence's index in them, and each text's number of words."""
     if texts.offset:  # splitting goes wrong on arrays that begin within their buffers

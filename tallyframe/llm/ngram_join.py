@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, space_words, stored, table, text_slices, trimmed
+from .common import discard, gathered, space_words, stored, table, text_slices, trimmed
 from .components import connected_components
 
 WORDS = 5
@@ -140,7 +140,7 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def parts_of(batches: Iterable[pa.RecordBatch], tasks: int, words: int) -> Iterator[pa.RecordBatch]:
     """Cut the incidence matrix of some documents into a range of columns for each task: each column with the one document that has it, or SEVERAL."""
     starts = edges_of(tasks)
-    for batch in batches:
+    for batch in gathered(batches, max_bytes=PIECE_BYTES):
         for piece in text_slices(batch, max_bytes=PIECE_BYTES):
             sets = shingle_sets(piece["text"], words)
             rows: dict[int, np.ndarray] = {}
