@@ -112,6 +112,23 @@ def dedup(rows, length):
     return sorted(out, key=str)
 
 
+def passages(rows, length):
+    """(id, words that a string of `length` words covers which another row has, runs of them)."""
+    lists = [SPACE.findall(lower(t)) for _, t, *_ in rows]
+    owners = defaultdict(set)
+    for k, w in enumerate(lists):
+        for i in range(len(w) - length + 1):
+            owners[tuple(w[i : i + length])].add(k)
+    out = []
+    for (key, *_), w in zip(rows, lists, strict=True):
+        shared = bytearray(len(w))
+        for i in range(len(w) - length + 1):
+            if len(owners[tuple(w[i : i + length])]) > 1:
+                shared[i : i + length] = b"\1" * length
+        out.append((key, sum(shared), len(re.findall(b"\1+", bytes(shared)))))
+    return sorted(out, key=str)
+
+
 def bigrams(rows, held):
     tokens = [[*SPACE.findall(lower(t)), "\n"] for _, t, *_ in rows]
     c, pairs, contexts, kinds = Counter(), Counter(), Counter(), Counter()

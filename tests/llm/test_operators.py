@@ -380,6 +380,37 @@ def test_suffix_dedup_of_hot_anchors(docs, monkeypatch):
     assert got(suffix_dedup.remove_repeats(docs, length=24, gram=5), *columns) == brute.dedup(ROWS, 24)
 
 
+@pytest.mark.parametrize("kinds", [1, 40_000])
+def test_shared_passages(spark, docs, monkeypatch, kinds):
+    monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
+    columns = "doc_id", "n_shared_words", "n_passages"
+    assert got(suffix_dedup.remove_repeats(docs), *columns) == brute.passages(ROWS, 50)
+    assert got(suffix_dedup.remove_repeats(docs, passage=7, word_gram=2), *columns) == brute.passages(ROWS, 7)
+    r = random.Random(9)
+    own, other, new = (" ".join(f"{x}{r.randrange(900)}" for _ in range(n)) for x, n in (("a", 55), ("b", 51), ("c", 300)))
+    # Passages of fewer than 400 bytes, in another spelling and spacing, twice in one text, and one that a single text repeats.
+    rows = [(1, f"{own} {new}", ""), (2, f"{own.upper()}\n\n{own}", ""), (3, f"{other} x {other}", ""), (4, f"y {own} z {own} y", ""), (5, other, ""), (6, f"{new[:40]} {new[200:]}", "")]
+    want = brute.passages(rows, 50)
+    assert got(suffix_dedup.remove_repeats(brute.frame(spark, rows)), *columns) == want
+    assert [n for _, n, _ in want[1:5]] == [110, 102, 110, 51] and want[0][1] > 55
+    alone = [(1, f"{own} x {own}", ""), (2, other, ""), (3, None, "")]
+    assert got(suffix_dedup.remove_repeats(brute.frame(spark, alone)), *columns) == [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
+
+
+def test_shared_passages_of_few_words(spark):
+    """Many equal strings of a small vocabulary: within rows, across rows, and in equal pieces of one row."""
+    r = random.Random(5)
+    for _ in range(3):
+        base = [r.choice("ab") for _ in range(120)]
+        rows = []
+        for k in range(14):
+            at = r.randrange(80)
+            part = base[at : at + r.randrange(5, 40)]
+            rows.append((k, " ".join([r.choice("abc") for _ in range(r.randrange(9))] + part + (part if k % 3 == 0 else []) + [r.choice("abcd") for _ in range(r.randrange(9))]), ""))
+        columns = "doc_id", "n_shared_words", "n_passages"
+        assert got(suffix_dedup.remove_repeats(brute.frame(spark, rows), passage=12, word_gram=4), *columns) == brute.passages(rows, 12)
+
+
 @pytest.mark.parametrize("at_once", [64, 1 << 21])
 def test_positional_transform(monkeypatch, at_once):
     monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
@@ -458,7 +489,7 @@ def test_queries_against_sql(spark, name):
     assert spark_rows(QUERIES[name](spark, SF)) == duck(SF, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize(("name", "columns"), [("op1_lm_scoring", 7), ("op2_quality", 4), ("op6_licenses", 8), ("op8_suffix_dedup", 5), ("op9_toxicity", 4), ("op10_sharding", 7)])
+@pytest.mark.parametrize(("name", "columns"), [("op1_lm_scoring", 7), ("op2_quality", 4), ("op6_licenses", 8), ("op8_suffix_dedup", 7), ("op9_toxicity", 4), ("op10_sharding", 7)])
 def test_queries_have_all_rows(spark, name, columns):
     from tallyframe.llm.queries import QUERIES
 
