@@ -157,14 +157,16 @@ class Grammar:
                 hits.setdefault(first, ("H", 0.0))
             elif first not in hits or hits[first][1] < weight:
                 hits[first] = ("I", weight)
-        done = -1
-        for at in sorted(hits):
-            if at < done:
-                continue
-            begin = max((low.rfind(x, 0, at) for x in ".!?;:\n")) + 1
-            end = CLAUSE_END.search(low, at)
+        # Hits are gone through once, and signs are looked for from where the last clause ended, so time is in proportion to the text.
+        places, done, n = sorted(hits), 0, 0
+        while n < len(places):
+            begin = max(max(low.rfind(x, done, places[n]) for x in ".!?;:\n") + 1, done)
+            end = CLAUSE_END.search(low, places[n])
             done = end.start() if end else len(low)
-            yield begin, done, {k: v for k, v in hits.items() if begin <= k < done}
+            first = n
+            while n < len(places) and places[n] < done:
+                n += 1
+            yield begin, done, {k: hits[k] for k in places[first:n]}
 
     def matches(self, text: str) -> Iterator[tuple[int, int, dict[str, float], float]]:
         """Each matched clause's span, its best path's marks with their arcs' weights, and the weight of the word that the path stands on."""
