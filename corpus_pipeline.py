@@ -3,12 +3,13 @@
 A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All stages but
 the last return the columns that docs has; the last returns each row's place in the shards. Empty
 tables go through all stages; null and empty texts stay (they are neither toxic, copies nor
-contaminated, and take no words of a source's target); rows without an id stay, too.
+contaminated, and take no words of a source's target); rows without an id stay, too. Texts of any
+length are read whole. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,26 +32,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near copies one row: that with the smallest doc_id (null last), among those with one id any one text of the group.
 
     Rows are known by their id and text, so rows of one id and different texts are judged apart, and
-    rows without an id like others. Texts without words belong to no group and stay.
+    rows without an id like others. Of rows that are equal in both, the first by a hash of their other
+    columns stays. Texts without words belong to no group and stay.
     """
     row_key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
     groups = row_classes(docs, row_key).where("class is not null")
     kept = groups.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))["row_key"].alias("kept_key")).select("kept_key").distinct()
-    key, place = free_name(docs.columns, "row_key"), free_name(docs.columns, "place")
-    worded = F.col("text").rlike(SPACE_WORD)
-    once = Window.partitionBy(key, "doc_id", "text").orderBy(F.lit(0))
-    named = docs.where(worded).withColumn(key, row_key).join(kept, F.col(key) == F.col("kept_key"), "left_semi")
-    named = named.withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).select(*docs.columns)
-    return named.unionByName(docs.where(~F.coalesce(worded, F.lit(False))))
+    worded = F.coalesce(F.col("text").rlike(SPACE_WORD), F.lit(False))
+    # Rows are carried whole, so that no column of theirs can have the name of one of these.
+    rows = docs.select(whole(docs), row_key.alias("row_key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), other_columns(docs).alias("others"), worded.alias("worded"))
+    named = rows.where("worded").join(kept, F.col("row_key") == F.col("kept_key"), "left_semi")
+    # One of equal rows, which tasks choose from their own rows first: very many of them meet nowhere.
+    once = named.groupBy("row_key", "sha").agg(F.min_by("row", "others").alias("row"))
+    return once.select("row").unionByName(rows.where("not worded").select("row")).select("row.*")
+
+
+def whole(docs: DataFrame) -> Column:
+    return F.struct(*[docs[c] for c in docs.columns]).alias("row")
+
+
+def other_columns(docs: DataFrame) -> Column:
+    """A hash of all columns but the text."""
+    return F.xxhash64(F.to_json(F.struct(F.lit(0).alias("0"), *[docs[c] for c in docs.columns if c != "text"])))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no window of a benchmark item; they are known by their id and their text's hash."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    key = free_name(docs.columns, "text_key")
-    keyed = docs.withColumn(key, F.xxhash64("text"))
-    return keyed.join(bad, (F.col(key) == F.col("bad_key")) & keyed["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    keyed = docs.select(whole(docs), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_key"))
+    return keyed.join(bad, (F.col("row_key") == F.col("bad_key")) & F.col("row_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +69,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row_key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text")
     taken = mix_rows(docs, row_key)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.try_divide("taken", "size"))).cast("int")
-    key, nth, copy = (free_name(docs.columns, x) for x in ("row_key", "nth", "copy"))
-    # Rows that stand several times are told apart by a number; it doesn't matter which of them gets which.
-    counted = taken.select(F.col("row_key").alias("taken_key"), copies.alias("taken_times"), F.row_number().over(Window.partitionBy("row_key").orderBy("taken")).alias("taken_nth"))
-    numbered = docs.withColumn(key, row_key).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
-    joined = numbered.join(counted, (F.col(key) == F.col("taken_key")) & (F.col(nth) == F.col("taken_nth")))
-    return joined.where("taken_times > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("taken_times")))).select(*docs.columns)
+    # Rows that stand several times are told apart by a number, in the order of their other columns' hash.
+    counted = taken.select(F.col("row_key").alias("taken_key"), copies.alias("times"), F.row_number().over(Window.partitionBy("row_key").orderBy(F.desc("taken"))).alias("taken_nth"))
+    keyed = docs.select(whole(docs), row_key.alias("row_key"), other_columns(docs).alias("others"))
+    numbered = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("others")))
+    joined = numbered.join(counted, (F.col("row_key") == F.col("taken_key")) & (F.col("nth") == F.col("taken_nth")))
+    return joined.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

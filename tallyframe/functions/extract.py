@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 FENCE = re.compile(r"^```(?:json)?[ \t]*|```[ \t]*$", re.M)
 #: Everything that can change the scan's state.
 SIGNS = re.compile(r'["\\{}]')
+#: White space as Python strips it, of which Java's \s has the ASCII part.
+BLANK = r"[\s\x1c-\x1f\x85   -     　]+"
 
 
 def first_object(text: str | None) -> dict | None:
-    """The first balanced {...} that parses; later ones are tried when an earlier one doesn't.
+    """The first balanced {...} that parses; later ones are tried when an earlier one doesn't. For Python tasks; see extract_json().
 
     Quotes open and close strings wherever they stand, also in prose, and braces within strings
     don't count; so an odd quote or an unclosed brace hides what comes after it.
@@ -47,9 +47,44 @@ def first_object(text: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf(StringType())
-def extract_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The object as JSON text; null if there is none."""
-    for batch in texts:
-        found = [first_object(t) for t in batch]
-        yield pd.Series([None if f is None else json.dumps(f, ensure_ascii=False) for f in found], dtype=object)
+def unfenced(text: Column) -> Column:
+    """Text without white space around it, and without the fences that lines then begin or end with."""
+    bare = F.regexp_replace(text, f"^{BLANK}|{BLANK}$", "")
+    return F.regexp_replace(bare, r"(?md)^```(?:json)?[ \t]*|```[ \t]*$", "")
+
+
+def extract_json(text: Column | str) -> Column:
+    """The same object as its JSON text, as it stands; null if there is none, or no text.
+
+    A fold over the signs that matter, of which there are few: it carries depth, quoting and the place
+    where the outermost brace opened, and tries what lies between that and the brace that closes it.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    # An array of one binds the bare text, so that no step of the fold makes it again.
+    return F.when(text.contains("{"), F.get(F.transform(F.array(unfenced(text)), _first_object), F.lit(0)))
+
+
+def _first_object(text: Column) -> Column:
+    signs = F.regexp_extract_all(text, F.lit(SIGNS.pattern), F.lit(0))
+    gaps = F.transform(F.split(text, SIGNS.pattern, -1), F.length)
+    begin = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(False).alias("quoted"), F.lit(0).alias("after"), F.lit(None).cast("string").alias("found")
+    )
+
+    def step(s: Column, m: Column) -> Column:
+        at, sign = s["at"] + m["gap"], m["sign"]
+        taken = at < s["after"]  # by an escape before it
+        opens, closes = (sign == "{") & ~s["quoted"], (sign == "}") & ~s["quoted"] & (s["depth"] > 0)
+        whole = F.substring(text, s["begin"] + 1, at + 1 - s["begin"])
+        read = F.from_json(whole, "MAP<STRING, STRING>", {"allowSingleQuotes": "false"})
+        return F.struct(
+            (at + 1).alias("at"),
+            (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(opens & (s["depth"] == 0), at).otherwise(s["begin"]).alias("begin"),
+            (s["quoted"] != ((sign == '"') & ~taken)).alias("quoted"),
+            F.when((sign == "\\") & s["quoted"] & ~taken, at + 2).otherwise(s["after"]).alias("after"),
+            F.when(s["found"].isNull() & closes & (s["depth"] == 1), F.when(read.isNotNull(), whole)).otherwise(s["found"]).alias("found"),
+        )
+
+    moves = F.zip_with(signs, F.slice(gaps, F.lit(1), F.size(signs)), lambda sign, gap: F.struct(gap.alias("gap"), sign.alias("sign")))
+    return F.aggregate(moves, begin, step, lambda s: s["found"])

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MANIFEST, last_wins
+from .json_array import DocumentError, elements, write_array
 
 
 class ManifestError(ValueError):
     """The manifest is missing, corrupt or empty."""
 
 
-def _items(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.from_json("value", f"ARRAY<STRUCT<{_struct(MANIFEST)}>>", {"mode": "PERMISSIVE"}).alias("items"), "value")
-
-
 def _struct(ddl: str) -> str:
     """Top-level 'name TYPE' pairs as the fields of a STRUCT."""
     out, depth, start = [], 0, 0
@@ -31,24 +25,27 @@ def _struct(ddl: str) -> str:
     return ", ".join(out)
 
 
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return elements(spark, path)[1]
+    except DocumentError as wrong:
+        raise ManifestError(f"{path} is not a manifest; it was left as it is") from wrong
+
+
 def read_manifest(spark: SparkSession, path: str, must_have_rows: bool = False) -> DataFrame:
-    """All items with their position (pos). Text that isn't a JSON array raises; so does an empty one, if rows are asked for."""
-    frame = _items(spark, path)
-    if frame.where("items is null or coalesce(is_variant_null(try_parse_json(value)), true)").limit(1).count():
+    """All items with their position (pos), read by byte ranges. Text that isn't a JSON array of objects raises; so does an empty one, if rows are asked for."""
+    rows = _elements(spark, path).select("pos", "raw", F.from_json("raw", f"STRUCT<{_struct(MANIFEST)}>").alias("item"))
+    if rows.where(~F.coalesce(F.col("raw").startswith("{"), F.lit(False))).limit(1).count():
         raise ManifestError(f"{path} is not a manifest; it was left as it is")
-    rows = frame.select(F.posexplode("items").alias("pos", "item")).select("pos", "item.*")
     if must_have_rows and rows.isEmpty():
         raise ManifestError(f"{path} has no items")
-    return rows
+    return rows.select("pos", "item.*")
 
 
 def read_loosely(spark: SparkSession, path: str) -> DataFrame:
     """Items for validation, with pos and raw, each item's own JSON: a field of a wrong type is null, and an item that is no object has nulls alone, so that rules can report them."""
-    whole = spark.read.text(path, wholetext=True)
-    if whole.where("coalesce(schema_of_variant(try_parse_json(value)), '') not like 'ARRAY%'").limit(1).count():
-        raise ManifestError(f"{path} is not a manifest; it was left as it is")
-    items = whole.select(F.posexplode(F.from_json("value", "ARRAY<STRING>")).alias("pos", "raw"))
-    return items.select("pos", F.from_json("raw", f"STRUCT<{_struct(MANIFEST)}>").alias("item"), "raw").select("pos", "item.*", "raw")
+    rows = _elements(spark, path).select("pos", "raw", F.from_json("raw", f"STRUCT<{_struct(MANIFEST)}>").alias("item"))
+    return rows.select("pos", "item.*", "raw")
 
 
 def only(items: DataFrame, id_: str | None) -> DataFrame:
@@ -67,25 +64,6 @@ def manifest_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """Replace the manifest in one step: written beside it, then renamed over it, so that it may have been read from the same path.
-
-    The file system replaces the old file with the new one or raises; there is no time without either. A manifest is one JSON array by format, a list of photos that people label; it is one row here.
-    """
-    spark = df.sparkSession
-    columns = [c for c in df.columns if c != "pos"]
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*columns).alias("item"))))
-    array = df.agg(F.to_json(F.transform(ordered, lambda r: r["item"]), {"ignoreNullFields": "false"}).alias("value"))
-    beside = f"{path}.{uuid.uuid4().hex}"
-    array.coalesce(1).write.text(beside)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    target = hadoop.Path(path).getFileSystem(conf).makeQualified(hadoop.Path(path))
-    files = hadoop.FileContext.getFileContext(target.toUri(), conf)
-    folder = files.makeQualified(hadoop.Path(beside))
-    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
-    over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
-    try:
-        written = files.util().listStatus(folder)
-        files.rename(next(s.getPath() for s in written if s.getPath().getName().startswith("part-")), target, over)
-    finally:
-        files.delete(folder, True)
+    """Replace the manifest in one step, written by all tasks and joined (see write_array), so that it may have been read from the same path."""
+    item = F.to_json(F.struct(*[c for c in df.columns if c != "pos"]), {"ignoreNullFields": "false"})
+    write_array(df.select("pos", item.alias("value")), path)

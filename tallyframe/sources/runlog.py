@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import json
 import os
-import subprocess
 import urllib.request
 from collections.abc import Callable
 from pathlib import Path
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CATALOGUE, HEADER, RESULT, VERDICT
+from .json_array import elements, write_array
 from .manifest import _struct
 
 
@@ -23,11 +22,23 @@ def run_name(path: str) -> str:
 
 
 def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(header, results) of a run log file: one row, and one row for each result with its position. `parsed` stays raw JSON."""
-    whole = f"STRUCT<{_struct(HEADER)}, results: ARRAY<STRUCT<{_struct(RESULT)}>>>"
-    run = spark.read.text(path, wholetext=True).select(F.from_json("value", whole).alias("run"))
-    header = run.select("run.model", "run.grounding", "run.timestamp", "run.n", "run.provenance")
-    return header, run.select(F.posexplode("run.results").alias("pos", "r")).select("pos", "r.*")
+    """(header, results) of a run log in one document, read by byte ranges: one row, and one row for each result with its position. `parsed` stays raw JSON. A cut-off document raises."""
+    outer, rows = elements(spark, path, "results")
+    header = outer.select(F.from_json("value", f"STRUCT<{_struct(HEADER)}>").alias("run")).select("run.*")
+    return header, rows.select("pos", F.from_json("raw", f"STRUCT<{_struct(RESULT)}>").alias("r")).select("pos", "r.*")
+
+
+def write_run(header: DataFrame, results: DataFrame, path: str) -> None:
+    """A run log in one document, written by all tasks and joined: a one-row header, the number of results, and the results (with pos) in their order.
+
+    `parsed` is raw JSON and is written as it is; a field that is null is left out, as the log has it for failures, but for `parsed` of a call that succeeded.
+    """
+    fields = [c for c in results.columns if c not in ("pos", "parsed")]
+    row = F.to_json(F.struct(*fields))
+    parsed = F.when(F.col("parsed").isNotNull(), F.col("parsed")).when(F.col("ok"), "null")
+    value = F.when(parsed.isNotNull(), F.concat(F.regexp_replace(row, r"\}$", ""), F.when(row != "{}", ",").otherwise(""), F.lit('"parsed":'), parsed, F.lit("}"))).otherwise(row)
+    (head,) = header.drop("n").select(F.to_json(F.struct("*"))).first()
+    write_array(results.select("pos", value.alias("value")), path, f'{head[:-1]},"n":{results.count()},"results":[', "]}")
 
 
 def append_results(results: DataFrame, path: str) -> None:
@@ -112,14 +123,6 @@ def find_key(name: str, files: list[str], environ: dict[str, str] | None = None)
     return None
 
 
-def checkout_tag(folder: str, command: str = "git") -> str:
-    """The tag or commit that a run is bound to, for the provenance; 'unknown' where there is no checkout."""
-    said = ""
-    with contextlib.suppress(OSError, subprocess.SubprocessError):
-        said = subprocess.check_output([command, "-C", folder, "describe", "--tags", "--always", "--dirty"], text=True, stderr=subprocess.DEVNULL, timeout=10)
-    return said.strip() or "unknown"
-
-
 def provenance(prompt: str, manifest: str, subset: str | None, tag: str, smoke: bool) -> Column:
     """The provenance struct of a run's header; prompt and manifest by the first 16 digits of their hash."""
     sha = lambda text: F.substring(F.sha2(F.lit(text), 256), 1, 16)

@@ -298,7 +298,6 @@ def test_catalogue_and_settings(spark, tmp_path):
     assert runlog.find_key("A", [str(tmp_path / "none"), str(tmp_path / "env")], {}) == "1=2"
     assert runlog.find_key("A", [str(tmp_path / "env")], {"A": "e"}) == "e"
     assert runlog.find_key("B", [], {}) is None
-    assert runlog.checkout_tag(str(tmp_path / "none")) == runlog.checkout_tag(str(tmp_path), "no such command") == "unknown"
 
 
 GOOD = {"candidates": [{"content": {"parts": [{"text": '{"brand":'}, {}, {"text": '"x"}'}]}, "groundingMetadata": {"webSearchQueries": ["q"]}}], "usageMetadata": {"totalTokenCount": 7}}
