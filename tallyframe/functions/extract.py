@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 FENCE = re.compile(r"^```(?:json)?[ \t]*|```[ \t]*$", re.M)
 #: Everything that can change the scan's state.
 SIGNS = re.compile(r'["\\{}]')
-#: White space as Python strips it, of which Java's \s has the ASCII part.
-BLANK = r"[\s\x1c-\x1f\x85   -     　]+"
+#: A string, to its end or the text's, or a brace outside strings. Escapes count within strings only.
+TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[{}]'
+#: White space as Python strips it.
+BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def first_object(text: str | None) -> dict | None:
@@ -49,15 +51,15 @@ def first_object(text: str | None) -> dict | None:
 
 def unfenced(text: Column) -> Column:
     """Text without white space around it, and without the fences that lines then begin or end with."""
-    bare = F.regexp_replace(text, f"^{BLANK}|{BLANK}$", "")
-    return F.regexp_replace(bare, r"(?md)^```(?:json)?[ \t]*|```[ \t]*$", "")
+    bare = F.trim(text, F.lit(BLANK))
+    return F.when(bare.contains("```"), F.regexp_replace(bare, r"(?md)^```(?:json)?[ \t]*|```[ \t]*$", "")).otherwise(bare)
 
 
 def extract_json(text: Column | str) -> Column:
     """The same object as its JSON text, as it stands; null if there is none, or no text.
 
-    A fold over the signs that matter, of which there are few: it carries depth, quoting and the place
-    where the outermost brace opened, and tries what lies between that and the brace that closes it.
+    A fold over strings and the braces between them: it carries the depth and the place where the
+    outermost brace opened, and tries what lies between that and the brace that closes it.
     """
     text = F.col(text) if isinstance(text, str) else text
     # An array of one binds the bare text, so that no step of the fold makes it again.
@@ -65,26 +67,22 @@ def extract_json(text: Column | str) -> Column:
 
 
 def _first_object(text: Column) -> Column:
-    signs = F.regexp_extract_all(text, F.lit(SIGNS.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, SIGNS.pattern, -1), F.length)
-    begin = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(False).alias("quoted"), F.lit(0).alias("after"), F.lit(None).cast("string").alias("found")
-    )
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    gaps = F.transform(F.split(text, TOKEN, -1), F.length)
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(None).cast("string").alias("found"))
 
     def step(s: Column, m: Column) -> Column:
-        at, sign = s["at"] + m["gap"], m["sign"]
-        taken = at < s["after"]  # by an escape before it
-        opens, closes = (sign == "{") & ~s["quoted"], (sign == "}") & ~s["quoted"] & (s["depth"] > 0)
+        at, depth, opens = s["at"] + m["gap"], s["depth"], m["token"] == "{"
+        closes = (m["token"] == "}") & (depth > 0)
         whole = F.substring(text, s["begin"] + 1, at + 1 - s["begin"])
-        read = F.from_json(whole, "MAP<STRING, STRING>", {"allowSingleQuotes": "false"})
+        # What doesn't begin as an object needs no parser to say so.
+        read = F.when(whole.rlike(r'^\{\s*["}]'), F.from_json(whole, "MAP<STRING, STRING>", {"allowSingleQuotes": "false"}))
         return F.struct(
-            (at + 1).alias("at"),
-            (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
-            F.when(opens & (s["depth"] == 0), at).otherwise(s["begin"]).alias("begin"),
-            (s["quoted"] != ((sign == '"') & ~taken)).alias("quoted"),
-            F.when((sign == "\\") & s["quoted"] & ~taken, at + 2).otherwise(s["after"]).alias("after"),
-            F.when(s["found"].isNull() & closes & (s["depth"] == 1), F.when(read.isNotNull(), whole)).otherwise(s["found"]).alias("found"),
+            (at + F.length(m["token"])).alias("at"),
+            F.when(opens, depth + 1).when(closes, depth - 1).otherwise(depth).alias("depth"),
+            F.when(opens & (depth == 0), at).otherwise(s["begin"]).alias("begin"),
+            F.when(closes & (depth == 1) & s["found"].isNull(), F.when(read.isNotNull(), whole)).otherwise(s["found"]).alias("found"),
         )
 
-    moves = F.zip_with(signs, F.slice(gaps, F.lit(1), F.size(signs)), lambda sign, gap: F.struct(gap.alias("gap"), sign.alias("sign")))
+    moves = F.zip_with(tokens, F.slice(gaps, F.lit(1), F.size(tokens)), lambda token, gap: F.struct(gap.alias("gap"), token.alias("token")))
     return F.aggregate(moves, begin, step, lambda s: s["found"])

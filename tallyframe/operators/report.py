@@ -48,33 +48,97 @@ def strata(results: DataFrame, verdicts: DataFrame, by: str = "difficulty", valu
     return counted.withColumns({"hit_rate": percent(F.col("hit"), F.col("judged")), "hit_rate_stratum_full": percent(F.col("hit"), F.col("n"))})
 
 
-def exact_median(rows: DataFrame, value: str) -> DataFrame:
-    """One row with median: of all rows' values, nulls left out, the mean of the middle two; null without values.
+#: Distinct values that are looked through at once, at most, and how exactly ranks of values are known before (as a share of the rows, the other way up).
+AT_ONCE, ACCURACY = 50_000, 10_000
+
+
+def exact_ranks(rows: DataFrame, value: str, ranks: dict[int, int] | None = None) -> dict[int, float]:
+    """The values at some ranks (from 1) of all rows' values, nulls left out; without ranks, those of the middle two (one, if they are one).
 
-    Values are counted, counts added up by whole numbers, and only the ranges that hold the middle are looked into.
+    Bounds around each rank are taken from a sketch of quantiles and narrowed, pass by pass, by exact
+    counts, until so few rows lie between them that their values are counted. A value that a bound
+    hits is settled by its own count, so values that repeat very often don't hold it up. Each pass is
+    one aggregation; no more than AT_ONCE values come to the driver.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("unit", F.floor("v"))
-    units = counted.groupBy("unit").agg(F.sum("c").alias("in_unit"))
-    below = Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    placed = units.select("unit", F.coalesce(F.sum("in_unit").over(below), F.lit(0)).alias("below"), "in_unit", F.sum("in_unit").over(Window.partitionBy()).alias("n"))
-    lower, upper = F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2")
-    middle = placed.where((F.col("below") < upper) & (F.col("below") + F.col("in_unit") >= lower))
-    up_to = F.col("below") + F.sum("c").over(Window.partitionBy("unit").orderBy("v"))
-    found = counted.join(F.broadcast(middle), "unit").withColumn("up_to", up_to)
-    held = lambda rank: F.when((F.col("up_to") - F.col("c") < rank) & (rank <= F.col("up_to")), F.col("v"))
-    return found.agg(((F.max(held(lower)) + F.max(held(upper))) / 2).alias("median"))
+    v = F.col("v")
+    values = rows.select(F.col(value).cast("double").alias("v")).where(v.isNotNull())
+    few = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).limit(AT_ONCE + 1).collect()
+    if len(few) <= AT_ONCE:
+        return _picked(few, 0, ranks)
+    n = values.count()
+    wanted, found = set(ranks or {(n + 1) // 2, (n + 2) // 2}), {}
+    for rank in sorted(wanted):
+        between, below, inside = values, 0, n
+        while rank not in found:
+            if inside <= AT_ONCE:
+                found |= _picked(between.groupBy("v").agg(F.count(F.lit(1)).alias("c")).collect(), below, {rank})
+                break
+            share = (rank - below) / inside
+            low, high = between.agg(F.percentile_approx("v", [max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)], ACCURACY)).first()[0]
+            counts = between.agg(*[F.count_if(c) for x in (low, high) for c in (v < F.lit(x), v <= F.lit(x))]).first()
+            less_low, to_low, less_high, to_high = (below + c for c in counts)
+            if less_low < rank <= to_low or less_high < rank <= to_high:
+                found[rank] = low if rank <= to_low else high
+            elif rank <= less_low:
+                between, inside = between.where(v < F.lit(low)), less_low - below
+            elif rank > to_high:
+                between, inside, below = between.where(v > F.lit(high)), inside - (to_high - below), to_high
+            else:
+                between, inside, below = between.where((v > F.lit(low)) & (v < F.lit(high))), less_high - to_low, to_low
+    return found
+
+
+def _picked(counted: list, below: int, ranks: set[int] | None) -> dict[int, float]:
+    """The values at ranks, of all values with their counts; `below` rows are less than all of them."""
+    n = sum(r.c for r in counted)
+    wanted = ranks or ({(n + 1) // 2, (n + 2) // 2} if n else set())
+    found, so_far = {}, below
+    for r in sorted(counted, key=lambda r: (r.v != r.v, r.v)):  # NaN last, as Spark orders it
+        found |= {k: r.v for k in wanted if so_far < k <= so_far + r.c}
+        so_far += r.c
+    return found
+
+
+def exact_median(rows: DataFrame, value: str) -> DataFrame:
+    """One row with median: of all rows' values, nulls left out, the mean of the middle two; null without values."""
+    middle = exact_ranks(rows, value).values()
+    return rows.sparkSession.createDataFrame([((min(middle) + max(middle)) / 2 if middle else None,)], "median double")
 
 
 def latency_and_tokens(results: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Of judged rows that succeeded: exact median and largest latency, mean tokens (missing ones are 0), rows that were grounded."""
     rows = judged(results, verdicts).where(F.coalesce("ok", F.lit(False)))
-    counted = rows.agg(
+    median = exact_median(rows, "latency_s").first().median
+    return rows.agg(
         F.count(F.lit(1)).alias("n_ok"),
         F.max("latency_s").alias("latency_max"),
         F.avg(F.coalesce("tokens.total", F.lit(0))).alias("tokens_mean"),
         F.count_if(F.coalesce("grounding_used", F.lit(False))).alias("grounded"),
+        F.lit(median).cast("double").alias("latency_median"),
+    )
+
+
+def one_pass(results: DataFrame, verdicts: DataFrame, by: str = "difficulty") -> DataFrame:
+    """A1-A6 of one scan: rows of the run (level run), of each stratum and of each verdict, with both denominators kept apart.
+
+    n and judged count the level's rows and those with a verdict; rate_of_all is hits of all rows,
+    rate_of_judged of the judged ones, share the level's part of the run, whether or not judged. Strata
+    that are null are one stratum; rows without a verdict are the verdict null. Verdicts that never
+    came have no row here (see verdict_counts). The run's row is there for an empty run, too.
+    """
+    joined = results.select("id", F.col(by).alias("stratum")).join(verdicts.select("id", "verdict"), "id", "left")
+    verdict, stratum = F.col("verdict"), F.col("stratum")
+    # The judged rows are counted from a column that isn't grouped by, which grouping sets would set to null.
+    joined = joined.select("stratum", "verdict", verdict.isNotNull().alias("is_judged"), F.coalesce(verdict == "hit", F.lit(False)).alias("is_hit"))
+    level = F.when(F.grouping("stratum") == 0, "stratum").when(F.grouping("verdict") == 0, "verdict").otherwise("run")
+    counted = joined.groupingSets([[stratum], [verdict], []], stratum, verdict).agg(
+        level.alias("level"), F.count(F.lit(1)).alias("n"), F.count_if("is_judged").alias("judged"), F.count_if("is_hit").alias("hit")
     )
-    return counted.crossJoin(F.broadcast(exact_median(rows, "latency_s").withColumnRenamed("median", "latency_median")))  # a row and a row
+    total = Window.partitionBy()  # over a row for each stratum and verdict
+    run = F.max(F.when(F.col("level") == "run", F.col("n"))).over(total)
+    named = counted.withColumn("key", F.when(F.col("level") == "stratum", stratum.cast("string")).when(F.col("level") == "verdict", verdict))
+    rates = {"rate_of_all": percent(F.col("hit"), F.col("n")), "rate_of_judged": percent(F.col("hit"), F.col("judged")), "share": percent(F.col("n"), run)}
+    return named.select("level", "key", "n", "judged", "hit").withColumns(rates)
 
 
 def baseline(results: DataFrame, verdicts: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import listed, shown
-from ..schemas import REPLY
+from ..schemas import REPLY, blank
 from ..sources.manifest import _struct
 
 
-def cards(results: DataFrame, manifest: DataFrame) -> DataFrame:
-    """One row for each result: the reply's fields for display, at most five links and four queries, the answer, or a failed call's error."""
+def cards(results: DataFrame, manifest: DataFrame, grounding: bool = True) -> DataFrame:
+    """One row for each result: its file and stratum, the reply's fields for display, at most five links and four queries, latency and tokens, the answer, or a failed call's status and error."""
     reply = F.from_json("parsed", f"STRUCT<{_struct(REPLY)}>")
     rows = results.withColumn("reply", reply).join(manifest.select("id", "truth"), "id", "left")
     missing = {"brand": "null", "model": "null"}
@@ -19,6 +19,9 @@ def cards(results: DataFrame, manifest: DataFrame) -> DataFrame:
     links = F.coalesce("reply.links", F.array().cast("array<string>"))
     return rows.select(
         "id",
+        "file",
+        shown(F.col("difficulty"), "?").alias("difficulty"),
+        "http",
         F.left(F.col("error"), F.lit(400)).alias("error"),
         *fields,
         shown(listed(F.col("reply.attributes"))).alias("attributes"),
@@ -26,6 +29,9 @@ def cards(results: DataFrame, manifest: DataFrame) -> DataFrame:
         F.slice(links, 1, 5).alias("links"),
         listed(F.slice(F.coalesce("grounding_queries", F.array().cast("array<string>")), 1, 4)).alias("queries"),
         F.left(F.col("raw_text"), F.lit(400)).alias("raw_text"),
+        "latency_s",
+        F.col("tokens.total").alias("tokens"),
+        (F.lit(grounding) & ~(blank(F.col("reply.brand")) & blank(F.col("reply.model"))) & (F.size(links) == 0)).alias("unsupported"),
         shown(F.col("truth.brand"), "?").alias("true_brand"),
         shown(F.col("truth.model"), "?").alias("true_model"),
         F.nullif("truth.url", F.lit("")).alias("true_url"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .functions.extract import extract_json
+from .functions.rounding import python_fixed, python_round
 from .operators import judge, manifest, report, validate
 from .plans import cards as card_plans
 from .plans import decision, infer
@@ -93,6 +94,17 @@ def strata_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return report.strata(results_of(spark, d), verdicts_of(spark, d), "lang", None)
 
 
+@query(f"""
+WITH j AS (SELECT * FROM {R} LEFT JOIN {V} USING (id)), g AS (
+  SELECT 'run' AS level, NULL AS key, count(*) AS n, count(verdict) AS judged, count(*) FILTER (verdict = 'hit') AS hit FROM j UNION ALL
+  SELECT 'stratum', difficulty, count(*), count(verdict), count(*) FILTER (verdict = 'hit') FROM j GROUP BY difficulty UNION ALL
+  SELECT 'verdict', verdict, count(*), count(verdict), count(*) FILTER (verdict = 'hit') FROM j GROUP BY verdict)
+SELECT *, hit * 100.0::DOUBLE / n AS rate_of_all, CASE WHEN judged > 0 THEN hit * 100.0::DOUBLE / judged END AS rate_of_judged, n * 100.0::DOUBLE / (SELECT count(*) FROM j) AS share FROM g""")
+def one_pass_report(spark: SparkSession, d: str) -> DataFrame:
+    """A1-A6 of one scan by grouping sets."""
+    return report.one_pass(results_of(spark, d), verdicts_of(spark, d))
+
+
 @query(f"""
 SELECT difficulty, count(*) AS n, count(verdict) AS judged, count(*) FILTER (verdict = 'hit') AS hit,
   count(*) FILTER (verdict = 'hit') * 100.0::DOUBLE / count(verdict) AS hit_rate, count(*) FILTER (verdict = 'hit') * 100.0::DOUBLE / count(*) AS hit_rate_stratum_full
@@ -297,6 +309,27 @@ def json_shapes(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", F.get_json_object(extract_json(said), "$.k").cast("long").alias("k"))
 
 
+TIES = "(VALUES (0, 2.675::DOUBLE), (1, 0.25), (2, 0.125), (3, 0.375), (4, 2.5), (5, 0.5), (6, 1.005), (7, -0.125), (8, 1e-9), (9, -0.004))"
+
+
+@query(f"""
+SELECT event_id, printf('%.2f', v)::DOUBLE AS two, printf('%.1f', v)::DOUBLE AS one, printf('%.1f', v) AS shown, printf('%.0f', v) AS whole
+FROM (SELECT event_id, CASE WHEN event_id % 20 < 10 THEN t.v WHEN event_id % 3 = 0 THEN floor(value * 8) / 8 ELSE value END AS v FROM events LEFT JOIN {TIES} t(k, v) ON event_id % 20 = k)""")
+def python_rounding(spark: SparkSession, d: str) -> DataFrame:
+    """Of values as they are, of eighths, which are ties, and of those that differ from their shortest decimal."""
+    v, k = F.col("value"), F.col("event_id") % 20
+    v = F.when(k < 10, F.get(F.array(*[F.lit(x) for x in (2.675, 0.25, 0.125, 0.375, 2.5, 0.5, 1.005, -0.125, 1e-9, -0.004)]), k.cast("int"))).when(F.col("event_id") % 3 == 0, F.floor(v * 8) / 8.0).otherwise(v)
+    return t(spark, d, "events").select("event_id", python_round(v, 2).alias("two"), python_round(v, 1).alias("one"), python_fixed(v, 1).alias("shown"), python_fixed(v, 0).alias("whole"))
+
+
+@query(r"SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM documents")
+def stripped_fences(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in Markdown fences, with and without a language."""
+    text = F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
+    fenced = F.concat(F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "```json\n").otherwise("``` \n"), text, F.lit("\n```  \n"))
+    return t(spark, d, "documents").select("doc_id", S.strip_fences(fenced).alias("bare"))
+
+
 @query("SELECT item_id, substring(sha256(text), 1, 16) AS sha, base64(encode(text)) AS line, left(text, 15) AS head, text[1:40] AS cut FROM benchmark")
 def hashes_and_cuts(spark: SparkSession, d: str) -> DataFrame:
     """C2, C3, C11."""
@@ -345,15 +378,17 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id::VARCHAR || ':' || turn AS id, CASE WHEN turn % 2 = 1 THEN left(text, 400) END AS error, '-' AS category, '-' AS visible_text, CASE WHEN role = 'user' THEN role ELSE 'null' END AS brand, 'null' AS model, '-' AS confidence, '-' AS reasoning,
-  CASE WHEN turn % 2 = 0 THEN 'a, b' ELSE '-' END AS attributes, 7 AS n_links, 'l1|l2|l3|l4|l5' AS links, 'q1, q2, q3, q4' AS queries, left(text, 400) AS raw_text,
+SELECT conv_id::VARCHAR || ':' || turn AS id, 'f' || conv_id AS file, CASE WHEN turn % 3 = 0 THEN 'hard' ELSE '?' END AS difficulty, CASE WHEN turn % 2 = 1 THEN 503 END AS http, turn / 8.0::DOUBLE AS latency_s, turn::INTEGER AS tokens,
+  role = 'user' AND turn % 5 = 0 AS unsupported, CASE WHEN turn % 2 = 1 THEN left(text, 400) END AS error, '-' AS category, '-' AS visible_text, CASE WHEN role = 'user' THEN role ELSE 'null' END AS brand, 'null' AS model, '-' AS confidence, '-' AS reasoning,
+  CASE WHEN turn % 2 = 0 THEN 'a, b' ELSE '-' END AS attributes, CASE WHEN turn % 5 = 0 THEN 0 ELSE 7 END AS n_links, CASE WHEN turn % 5 = 0 THEN '' ELSE 'l1|l2|l3|l4|l5' END AS links, 'q1, q2, q3, q4' AS queries, left(text, 400) AS raw_text,
   CASE WHEN turn % 2 = 0 THEN role ELSE '?' END AS true_brand, '?' AS true_model, CASE WHEN turn % 2 = 0 THEN 'http://' || role END AS true_url FROM conversations""")
 def judge_cards(spark: SparkSession, d: str) -> DataFrame:
     """What a judge sees."""
     rows = t(spark, d, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     brand = F.when(F.col("role") == "user", F.col("role")).otherwise("")
-    reply = F.to_json(F.struct(brand.alias("brand"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("attributes"), F.array(*[F.lit(f"l{i}") for i in range(1, 8)]).alias("links")))
-    results = rows.select("id", F.when(F.col("turn") % 2 == 1, F.col("text")).alias("error"), reply.alias("parsed"), F.array(*[F.lit(f"q{i}") for i in range(1, 7)]).alias("grounding_queries"), F.col("text").alias("raw_text"))
+    reply = F.to_json(F.struct(brand.alias("brand"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("attributes"), F.when(F.col("turn") % 5 > 0, F.array(*[F.lit(f"l{i}") for i in range(1, 8)])).alias("links")))
+    call = [F.concat(F.lit("f"), "conv_id").alias("file"), F.when(F.col("turn") % 3 == 0, "hard").alias("difficulty"), F.when(F.col("turn") % 2 == 1, 503).alias("http"), (F.col("turn") / 8.0).alias("latency_s"), F.struct(F.col("turn").cast("int").alias("total")).alias("tokens")]
+    results = rows.select("id", *call, F.when(F.col("turn") % 2 == 1, F.col("text")).alias("error"), reply.alias("parsed"), F.array(*[F.lit(f"q{i}") for i in range(1, 7)]).alias("grounding_queries"), F.col("text").alias("raw_text"))
     truth = rows.where("turn % 2 = 0").select("id", F.struct(F.col("role").alias("brand"), F.lit("").alias("model"), F.concat(F.lit("http://"), "role").alias("url")).alias("truth"))
     return card_plans.cards(results, truth).withColumn("links", F.array_join("links", "|"))
 

@@ -86,10 +86,11 @@ def append_verdicts(new: DataFrame, path: str) -> None:
 
 
 def generating_models(catalogue: DataFrame) -> DataFrame:
-    """name (without its prefix) and displayName of the models that can generate content, by name."""
-    model = catalogue.select(F.inline("models"))
+    """name (without its prefix) and displayName of the models that can generate content, by name, of a catalogue in one row or as the data source gives it."""
+    model = catalogue.select(F.inline("models")) if "models" in catalogue.columns else catalogue
     able = F.array_contains(F.coalesce("supportedGenerationMethods", F.array().cast("array<string>")), "generateContent")
-    return model.where(able).orderBy("name").select(strip_prefix(F.col("name"), "models/").alias("name"), "displayName")
+    # A catalogue is a short list. Sorting it in one task asks for it once; a sort by ranges would look at it twice.
+    return model.where(able).repartition(1).sortWithinPartitions("name").select(strip_prefix(F.col("name"), "models/").alias("name"), "displayName")
 
 
 def strip_prefix(text: Column, prefix: str) -> Column:
