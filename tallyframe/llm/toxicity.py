@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +33,8 @@ MAX_ROWS_PER_LABEL = 6000
 #: and how many words or stems may be taken up by chance, which asks for more texts the more of them there are.
 MIN_SUPPORT, MIN_RATIO, BY_CHANCE = 3, 20.0, 0.1
 STEM_LENGTHS = (4, 5, 6)
+#: Weights that add up to a whole number may do so with this much less.
+ROUNDING = 1e-6
 THRESHOLD = 0.3
 
 # The grammar's own words.
@@ -230,7 +232,8 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER
     """Learn lexemes and arc weights. Without labelled rows of both kinds, the grammar keeps its own words and prior weights.
 
     Training rows that are nearly copies of each other (a minimum of one of four hashes over their
-    five-word shingles is the same) count once, so that a text that was copied often is no evidence of its own.
+    five-word shingles is the same) share the weight of one row, so that a text that was copied often is
+    no evidence of its own; none is left out.
     """
     sample = stored(training_rows(docs, labels, "toxic", max_rows), "toxic-rows")
     spread = sample.repartition(16)
@@ -241,30 +244,35 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "y": pa.array([r[1] for r in rows], pa.int32()), "sketch": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
     # At most two times max_rows short rows come to the driver, whatever the input's size.
-    seen: set[tuple[int, int]] = set()
-    kept: dict[int, int] = {}
+    group_of: dict[tuple[int, int], int] = {}
+    groups: dict[int, int] = {}
+    labelled: dict[int, int] = {}
     for row in sorted(spread.mapInArrow(lambda it: trimmed(sketches(it)), "doc_id long, y int, sketch array<long>").collect()):
-        marks = set(enumerate(row.sketch))
-        if not marks & seen:
-            kept[row.doc_id] = row.y
-        seen |= marks
-    n = Counter(kept.values())
+        marks = list(enumerate(row.sketch))
+        group = next((group_of[m] for m in marks if m in group_of), len(group_of))
+        group_of |= {m: group for m in marks if m not in group_of}
+        groups[row.doc_id], labelled[row.doc_id] = group, row.y
+    sizes = Counter((g, labelled[i]) for i, g in groups.items())
+    weight = {i: 1 / sizes[g, labelled[i]] for i, g in groups.items()}
+    n = [sum(w for i, w in weight.items() if labelled[i] == y) for y in (0, 1)]
     model = Grammar()
     if not n[0] or not n[1]:
         discard(sample)
         return model
 
-    def counts(of: int, among: frozenset[str] | None) -> dict[str, int]:
+    def counts(of: int, among: frozenset[str] | None) -> dict[str, float]:
+        """Rows of a label that show each lexeme, by their weight."""
+
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: Counter[str] = Counter()
+            found: defaultdict[str, float] = defaultdict(float)
             for b in batches:
                 for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                    if kept.get(i) == of:
-                        found.update(lexemes_of(t) if among is None else lexemes_of(t) & among)
-            yield pa.RecordBatch.from_pydict({"lexeme": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+                    for lexeme in lexemes_of(t) if among is None else lexemes_of(t) & among:
+                        found[lexeme] += weight[i]
+            yield pa.RecordBatch.from_pydict({"lexeme": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.float64())})
 
-        rows = spread.where(F.col("y") == of).mapInArrow(lambda it: trimmed(count(it)), "lexeme string, n long").groupBy("lexeme").agg(F.sum("n").alias("n"))
-        return {r.lexeme: r.n for r in rows.where(F.col("n") >= (MIN_SUPPORT if among is None else 1)).collect()}
+        rows = spread.where(F.col("y") == of).mapInArrow(lambda it: trimmed(count(it)), "lexeme string, n double").groupBy("lexeme").agg(F.sum("n").alias("n"))
+        return {r.lexeme: r.n for r in rows.where(F.col("n") >= (MIN_SUPPORT - ROUNDING if among is None else 0)).collect()}
 
     toxic = counts(1, None)
     clean = counts(0, frozenset(toxic))
@@ -272,7 +280,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER
     support = max(MIN_SUPPORT, math.log(len(toxic) / BY_CHANCE) / -math.log(n[1] / (n[0] + n[1]))) if toxic else 0
     chosen: dict[str, float] = {}
     # Shortest stems first; what a chosen stem begins adds nothing, and a stem that is one word's alone gives way to the word.
-    for lexeme in sorted((k for k, v in ratio.items() if v >= MIN_RATIO and toxic[k] >= support), key=lambda k: (len(k.rstrip("*")), k)):
+    for lexeme in sorted((k for k, v in ratio.items() if v >= MIN_RATIO and toxic[k] >= support - ROUNDING), key=lambda k: (len(k.rstrip("*")), k)):
         stem = lexeme.rstrip("*")
         if any(stem.startswith(x[:-1]) for x in chosen if x.endswith("*")):
             continue
@@ -283,16 +291,15 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS_PER
 
     def evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array([i in kept for i in b["doc_id"].to_pylist()], pa.bool_()))
-            yield pa.RecordBatch.from_pydict({"y": b["y"], "x": pa.array([model.evidence(t) for t in b["text"].to_pylist()], pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"y": b["y"], "w": pa.array([weight[i] for i in b["doc_id"].to_pylist()], pa.float64()), "x": pa.array([model.evidence(t) for t in b["text"].to_pylist()], pa.list_(pa.float64()))})
 
-    rows = spread.mapInArrow(lambda it: trimmed(evidence(it)), "y int, x array<double>").collect()
+    rows = spread.mapInArrow(lambda it: trimmed(evidence(it)), "y int, w double, x array<double>").collect()
     discard(sample)
     truth = {y: c for y, c in labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("toxic").count().collect()}
-    y = np.array([r.y for r in rows], float)
-    share = [truth.get(v, 1) / max(1, int((y == v).sum())) for v in (0, 1)]
+    y, w = np.array([r.y for r in rows], float), np.array([r.w for r in rows], float)
+    share = [truth.get(v, 1) / n[v] for v in (0, 1)]
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(PRIOR))
-    weights = ridge_logit(x, y, np.where(y == 1, share[1], share[0]) * len(y) / sum(truth.values()), np.array(list(PRIOR.values())))
+    weights = ridge_logit(x, y, w * np.where(y == 1, share[1], share[0]) * sum(n) / sum(truth.values()), np.array(list(PRIOR.values())))
     model.bias, model.weights = float(weights[0]), dict(zip(PRIOR, map(float, weights[1:]), strict=True))
     return model
 

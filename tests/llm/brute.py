@@ -11,7 +11,7 @@ SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Extra columns, with names that operators use themselves.
-EXTRA = "sig long, key long, h long, words string, term string, range int, slot int, place int, node long, component long, text_key string, toxicity double, copies int, size string"
+EXTRA = "sig long, key long, h long, words string, term string, range int, slot int, place int, node long, component long, text_key string, toxicity double, copies int, size string, kept_key long, bad_id long, bad_key long, taken_key long, taken_times int, taken_nth int, row_key long, nth int, copy int, row string, row_id long, others long, worded boolean, sha string, times int, class long, text_sha string, hits int, blob string"
 N_EXTRA = len(EXTRA.split(","))
 
 

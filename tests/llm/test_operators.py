@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -497,6 +498,42 @@ def test_queries_have_all_rows(spark, name, columns):
     assert len(df.columns) == columns and df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_toxicity_takes_time_in_proportion_to_the_text():
+    model = toxicity.Grammar()
+    text = "you are an idiot. " * 8000
+    seconds = []
+    for n in (1, 1, 4):
+        began = time.perf_counter()
+        assert model.score(text * n) > 0.99
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 10 * min(seconds[:2])  # by the square it would be 16 times as long
+    # Clauses are what they are in a plain search, wherever signs stand.
+    r = random.Random(8)
+    for _ in range(300):
+        text = "".join(r.choice([".", "!", "\n", " ", "idiot ", "you ", "moron", "kill ", " them", "x; ", "é"]) for _ in range(r.randrange(30)))
+        low = text.lower()
+        for begin, end, hits in model.clauses(text) if model.machine or not model.compile() else ():
+            assert not set(low[begin:end]) & set(".!?;:\n") and (begin == 0 or low[begin - 1] in ".!?;:\n") and (end == len(low) or low[end] in ".!?;:\n")
+            assert hits and all(begin <= at < end for at in hits)
+        found = [k for _, _, hits in model.clauses(text) for k in hits]
+        assert found == sorted(set(found)) and len(found) == sum(1 for _ in re.finditer(r"(?<![^\W\d_])(?:idiot|moron|kill)(?![^\W\d_])", low))
+
+
+def test_copies_share_a_rows_weight(spark):
+    """A text that stands many times in training is no more evidence than one; different words of near copies count all the same."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghklmnop") for _ in range(7))
+    clean = [(i, " ".join(word() for _ in range(40)) + ".") for i in range(600)]
+    body = " ".join(word() for _ in range(60))
+    copied = [(1000 + i, f"{body} zzyzx quux.") for i in range(150)]
+    told = [(2000 + i, f"{' '.join(word() for _ in range(30))}. you are a frobnitz {word()}.") for i in range(150)]
+    rows = [*clean, *copied, *told]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit_grammar(docs, labels)
+    assert any("frobnitz".startswith(x.rstrip("*")) for x in model.lexemes) and not any(x.startswith(("zzyz", "quux")) for x in model.lexemes)
+
+
 def test_texts_of_megabytes(spark):
     """One text of 1.5 MB, a copy of its first half and short ones, through the operators that cut texts up."""
     r = random.Random(4)
