@@ -6,12 +6,14 @@ local one of a session in one process.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import struct
 import time
 import uuid
 import zlib
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from .queries import BASELINE, R, V, file_list, known_items, manual_of, query, r
 from .schemas import RESULT
 from .sources import catalogue, json_array, photos, runlog
 from .sources import manifest as manifests
+from .streaming import inference as asking
 from .streaming import results as streams
 
 
@@ -199,22 +202,50 @@ def echo(url: str, body: str, timeout: float) -> tuple[int, str]:
 PLAIN = """length('{"contents":[{"parts":[{"text":"what is it"},{"inline_data":{"mime_type":"image/jpeg","data":"' || base64(encode(text)) || '"}}]}],"generationConfig":{"temperature":0.0}}')"""
 
 
-@query(f"""
+CALLS = f"""
 SELECT item_id::VARCHAR AS id, n % 5 <> 0 AS ok, CASE WHEN n % 5 = 0 THEN 503 END AS http, CASE WHEN n % 5 = 0 THEN 'busy' END AS error,
-  CASE WHEN n % 5 <> 0 THEN '{{"brand": "b"}}' END AS parsed, CASE WHEN n % 5 <> 0 THEN n::INTEGER END AS total FROM (SELECT item_id, {PLAIN} AS n FROM benchmark)""")
+  CASE WHEN n % 5 <> 0 THEN '{{"brand": "b"}}' END AS parsed, CASE WHEN n % 5 <> 0 THEN n::INTEGER END AS total FROM (SELECT item_id, {PLAIN} AS n FROM benchmark)"""
+
+
+def asked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as what a model is asked about; their texts stand for pictures."""
+    none = F.lit(None)
+    return t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("f").alias("file"), F.lit("easy").alias("difficulty"), F.lit("s").alias("photo_sha"), none.cast("array<int>").alias("bbox"), none.cast("array<int>").alias("crop_px"), F.lit(1).cast("long").alias("crop_bytes"), F.col("text").cast("binary").alias("jpeg"))
+
+
+def asked_fields(results: DataFrame) -> DataFrame:
+    return results.select("id", "ok", "http", "error", "parsed", F.col("tokens.total").alias("total"))
+
+
+@query(CALLS)
 def inference(spark: SparkSession, d: str) -> DataFrame:
     """One call for each item through an injected transport; a failure is a result."""
-    none = F.lit(None)
-    rows = t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("f").alias("file"), F.lit("easy").alias("difficulty"), F.lit("s").alias("photo_sha"), none.cast("array<int>").alias("bbox"), none.cast("array<int>").alias("crop_px"), F.lit(1).cast("long").alias("crop_bytes"), F.col("text").cast("binary").alias("jpeg"))
-    return infer.infer(rows, "what is it", "http://host/model", "", False, echo).select("id", "ok", "http", "error", "parsed", F.col("tokens.total").alias("total"))
+    return asked_fields(infer.infer(asked_items(spark, d), "what is it", "http://host/model", "", False, echo))
+
+
+def breaking(url: str, body: str, timeout: float) -> tuple[int, str]:
+    """A transport that takes its task down with it for some."""
+    if len(body) % 7 == 3:
+        raise RuntimeError("broken off")
+    return echo(url, body, timeout)
+
+
+@query(CALLS)
+def resumed_inference(spark: SparkSession, d: str) -> DataFrame:
+    """A run that is broken off in one of its batches goes on there when it is started again, and its parts are read as one run."""
+    path = folder(spark)
+    asking.stage_items(asked_items(spark, d).repartition(4), f"{path}/staged", rows_at_once=10)
+    start = lambda transport: asking.infer_durably(spark, f"{path}/staged", f"{path}/run", "what is it", "http://host/model", "", False, transport, files_at_once=4).awaitTermination()
+    with contextlib.suppress(StreamingQueryException):
+        start(breaking)
+    start(echo)
+    return asked_fields(runlog.read_results(spark, f"{path}/run/results"))
 
 
 @query("SELECT item_id::VARCHAR AS id, true AS timed, true AS in_hundredths FROM benchmark")
 def inference_times(spark: SparkSession, d: str) -> DataFrame:
     """Elapsed seconds of each call, by a clock that doesn't go back, in hundredths."""
-    none = F.lit(None)
-    rows = t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("f").alias("file"), F.lit("easy").alias("difficulty"), F.lit("s").alias("photo_sha"), none.cast("array<int>").alias("bbox"), none.cast("array<int>").alias("crop_px"), F.lit(1).cast("long").alias("crop_bytes"), F.col("text").cast("binary").alias("jpeg"))
-    found = infer.infer(rows, "what is it", "http://host/model", "", False, late)
+    found = infer.infer(asked_items(spark, d), "what is it", "http://host/model", "", False, late)
     return found.select("id", (F.col("latency_s") >= 0.02).alias("timed"), (python_round(F.col("latency_s"), 2) == F.col("latency_s")).alias("in_hundredths"))
 
 

@@ -329,6 +329,8 @@ def write_array(rows: DataFrame, path: str, before: str = "[", after: str = "]")
         over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
         over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
         files.rename(joined, target, over)
+        # Local files have check sums beside them, which would be wrong as soon as somebody edits the document.
+        target.getFileSystem(conf).delete(hadoop.Path(target.getParent(), f".{target.getName()}.crc"), False)
     finally:
         files.delete(folder, True)
 

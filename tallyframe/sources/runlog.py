@@ -48,7 +48,7 @@ def append_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """The results that a run has so far; n of its header is their count."""
-    return spark.read.schema(RESULT).json(path)
+    return spark.read.schema(RESULT).option("recursiveFileLookup", "true").json(path)
 
 
 def start_run(header: DataFrame, path: str) -> None:
