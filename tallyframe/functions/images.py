@@ -52,5 +52,10 @@ def crop_jpeg(content: bytes, bbox: list[int] | None) -> dict:
 @F.pandas_udf(CROP)
 def crop_photo(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for contents, boxes in batches:
-        rows = [crop_jpeg(bytes(c), None if b is None else list(b)) for c, b in zip(contents, boxes, strict=True)]
-        yield pd.DataFrame(rows, columns=["content", "width", "height", "error"])
+        yield crop_frame([crop_jpeg(bytes(c), None if b is None else list(b)) for c, b in zip(contents, boxes, strict=True)])
+
+
+def crop_frame(rows: list[dict]) -> pd.DataFrame:
+    """Crops as the frame that CROP describes; what a row lacks is null."""
+    kinds = {"content": object, "width": "Int32", "height": "Int32", "error": object}
+    return pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype=kind) for name, kind in kinds.items()})

@@ -7,10 +7,13 @@ document, and each one's verdicts beside it. Jobs return an exit code and say wh
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.images import crop_photo
+from .functions.pixels import crop_picture
 from .functions.scalars import kilobytes, sha16
 from .operators import judge, manifest, report, validate
 from .plans import cards
@@ -88,6 +91,13 @@ def models(spark: SparkSession, key: str, endpoint: str = ENDPOINT, get: Callabl
     return 0
 
 
+def default_crop() -> Callable[[Column, Column], Column]:
+    """By an image library, where there is one; else PNG and BMP photos can be cropped, and others say that they need one."""
+    if find_spec("PIL"):
+        return crop_photo
+    return crop_picture
+
+
 def identify(
     spark: SparkSession, directory: str, results: str, model: str, key: str, stamp: str, grounding: bool = True, only: str | None = None, smoke: bool = False, tag: str = "unknown",
     prompt: str = PROMPT, endpoint: str = ENDPOINT, transport: Transport = http_post, crop: Callable[[Column, Column], Column] | None = None, out: Out = print,
@@ -98,8 +108,7 @@ def identify(
     ends the job with code 1 before the first call. Results are kept batch by batch in
     run-{stamp}.parts, so a job of the same stamp goes on where one was broken off. Code 2 if every call failed.
     """
-    if crop is None:
-        from .functions.images import crop_photo as crop
+    crop = crop or default_crop()
     path = f"{directory}/manifest.json"
     try:
         items = manifests.only(manifests.read_manifest(spark, path, must_have_rows=True), only)

@@ -13,10 +13,14 @@ import time
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from .functions import pixels
 from .functions.rounding import python_round
 from .operators import judge, manifest, metrics, report
 from .plans import cards, infer
@@ -180,6 +184,47 @@ def photo_directory(spark: SparkSession, d: str) -> DataFrame:
     return photos.scan_photos(spark, path)
 
 
+#: Pictures of w x h pixels, of which that at (x, y) is x + y, 2x and y + k, modulo 256; cut to the box (3, 2, w - 5, h - 4).
+PIXELS = """
+SELECT item_id, (w - 5)::INTEGER AS width, (h - 4)::INTEGER AS height, sum((x + y) % 256)::BIGINT AS red, sum(2 * x % 256)::BIGINT AS green, sum((y + item_id) % 256)::BIGINT AS blue,
+  max(CASE WHEN x = w - 3 AND y = h - 3 THEN (x + y) % 256 END)::INTEGER AS corner
+FROM (SELECT item_id, 20 + item_id % 40 AS w, 15 + item_id % 23 AS h FROM benchmark), range(3, 58) a(x), range(2, 36) b(y) WHERE x < w - 2 AND y < h - 2 GROUP BY item_id, w, h"""
+
+
+@F.pandas_udf(BinaryType())
+def drawn(keys: pd.Series) -> pd.Series:
+    """A PNG for each key, as PIXELS says."""
+
+    def draw(k: int) -> bytes:
+        y, x = np.mgrid[: 15 + k % 23, : 20 + k % 40]
+        return pixels.encode_png(np.dstack([x + y, 2 * x, y + k]) % 256)
+
+    return keys.map(draw)
+
+
+@query(PIXELS)
+def cropped_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures drawn from a formula, written, read, cropped and read again; their pixels are added up."""
+    path, size = f"{folder(spark)}/pictures", [F.col("item_id") % 40 + 20, F.col("item_id") % 23 + 15]
+    t(spark, d, "benchmark").select("item_id", drawn("item_id").alias("content")).write.parquet(path)
+    box = F.array(F.lit(3), F.lit(2), (size[0] - 5).cast("int"), (size[1] - 4).cast("int"))
+    crop = spark.read.parquet(path).select("item_id", pixels.crop_picture("content", box).alias("crop"))
+    return crop.select("item_id", pixels.pixel_sums("crop.content").alias("p")).select("item_id", "p.*")
+
+
+@query("SELECT item_id, 1024 AS width, trunc(h * (1024.0::DOUBLE / w))::INTEGER AS height, item_id % 256 AS grey FROM (SELECT item_id, 1030 + item_id % 300 AS w, 40 + item_id % 97 AS h FROM benchmark)")
+def shrunk_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of one grey stay that grey at 1024 pixels of the longest side, the other side cut to whole pixels."""
+    crop = t(spark, d, "benchmark").select("item_id", pixels.crop_picture(greyed("item_id"), F.lit(None).cast("array<int>")).alias("crop"))
+    found = crop.select("item_id", pixels.pixel_sums("crop.content").alias("p"))
+    return found.select("item_id", "p.width", "p.height", ((F.col("p.red") + F.col("p.green") + F.col("p.blue")) / (F.col("p.width") * F.col("p.height") * 3)).cast("long").alias("grey"))
+
+
+@F.pandas_udf(BinaryType())
+def greyed(keys: pd.Series) -> pd.Series:
+    return keys.map(lambda k: pixels.encode_png(np.full((40 + k % 97, 1030 + k % 300, 3), k % 256, np.uint8)))
+
+
 @query("SELECT doc_id::VARCHAR AS id, source <> 'src0' AS ok FROM documents")
 def durable_stream(spark: SparkSession, d: str) -> DataFrame:
     """Results as a stream of parts, kept batch by batch; a second start goes on where the first ended."""

@@ -37,12 +37,24 @@ def header_size(content: bytes | None) -> tuple[int, int] | None:
     It is also what makes a photo readable: PNG files must be whole, chunk by chunk with right check
     sums, WebP files as long as they say, and the others' headers must be there.
     """
-    b = bytes(content or b"")
+    if found := _header(bytes(content or b"")):
+        width, height, turn = found
+        return ((height, width) if turn in (5, 6, 7, 8) else (width, height)) if width > 0 and height > 0 else None
+    return None
+
+
+def picture_turn(content: bytes) -> int:
+    """The orientation that EXIF gives a picture; 1 if it gives none."""
+    found = _header(content)
+    return found[2] if found else 1
+
+
+def _header(b: bytes) -> tuple[int, int, int] | None:
+    """Width, height and orientation as the file has them."""
     try:
         for begins, reader in ((b"\x89PNG\r\n\x1a\n", _png), (b"\xff\xd8", _jpeg), (b"BM", _bmp), (b"RIFF", _webp), (b"II*\0", _tiff), (b"MM\0*", _tiff)):
             if b.startswith(begins) and (found := reader(b)):
-                width, height, turn = found
-                return ((height, width) if turn in (5, 6, 7, 8) else (width, height)) if width > 0 and height > 0 else None
+                return found
     except struct.error:  # cut off within a header
         pass
     return None

@@ -5,32 +5,32 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tallyframe.__main__ import main
+from tallyframe.functions import pixels
 from tallyframe.round_trips import stub_png
 from tallyframe.sources import runlog
 from tallyframe.streaming import inference
 
 
+def picture(width):
+    return pixels.encode_png(np.random.default_rng(width).integers(0, 256, (30, width, 3), np.uint8))
+
+
 @pytest.fixture
 def photos(tmp_path):
     folder = tmp_path / "photos"
     folder.mkdir()
     for n, name in enumerate(("b.png", "a.png", "c.PNG", "_d.png")):
-        (folder / name).write_bytes(stub_png(40 + n, 30))
+        (folder / name).write_bytes(picture(40 + n))
     (folder / "cut.png").write_bytes(stub_png(4, 4)[:-6])
     (folder / "x.heic").write_bytes(b"heic")
     (folder / "notes.txt").write_text("no photo")
     return folder
 
 
-def whole(content, bbox):
-    """Stands in for the crop: the file as it is."""
-    return F.struct(content.alias("content"), F.lit(40).alias("width"), F.lit(30).alias("height"), F.when(F.size(bbox) == 3, "bad box").alias("error"))
-
-
 def model_of(calls):
     """A model that knows photos by their width, fails for one, and writes down what it was asked."""
 
@@ -64,7 +64,7 @@ def test_from_photos_to_report(spark, photos, tmp_path):
     path.write_text(json.dumps(items, ensure_ascii=False, indent=2))
     assert run("check", "--photos", photos) == 0 and any("V9" in s for s in said)
     # What people wrote stays, a photo that comes gets the id that is free, and a broken manifest is left alone.
-    (photos / "0.png").write_bytes(stub_png(44, 30))
+    (photos / "0.png").write_bytes(picture(44))
     assert run("prepare", "--photos", photos) == 0
     assert {i["file"]: i["id"] for i in json.loads(path.read_text())} == {"0.png": "p01", "_d.png": "p05", "a.png": "p02", "b.png": "p03", "c.PNG": "p04"}
     assert json.loads(path.read_text())[2]["truth"]["brand"] == "b"
@@ -75,7 +75,7 @@ def test_from_photos_to_report(spark, photos, tmp_path):
     ask = ("identify", "--photos", photos, "--results", results, "--model", "m-1", "--endpoint", "http://host", "--key-name", "SOME_KEY", "--settings", tmp_path / "env", "--stamp", "20240101-000000")
     assert run(*ask) == 1 and "no key" in said[-1]
     (tmp_path / "env").write_text("SOME_KEY='k=1'\n")
-    fake = {"transport": model_of(calls), "crop": whole}
+    fake = {"transport": model_of(calls), "crop": pixels.crop_picture}
     assert run(*ask, "--only", "p99", **fake) == 1 and not calls.exists()
     assert run(*ask, "--tag", "v1", **fake) == 0
     assert sorted(calls.read_text().splitlines()) == [f"{w} True http://host/models/m-1:generateContent" for w in (40, 41, 42)]
@@ -83,7 +83,7 @@ def test_from_photos_to_report(spark, photos, tmp_path):
     assert (log["model"], log["grounding"], log["n"], log["timestamp"]) == ("m-1", True, 3, "20240101-000000")
     assert log["provenance"]["manifest_sha"] == hashlib.sha256(path.read_bytes()).hexdigest()[:16] and log["provenance"]["prereg_tag"] == "v1" and log["provenance"]["subset"] == "all"
     assert [r["id"] for r in log["results"]] == ["p02", "p03", "p04"] and "truth" not in json.dumps(log["results"])
-    assert log["results"][0]["http"] == 503 and log["results"][1]["parsed"]["links"] == ["http://a"] and log["results"][1]["tokens"] == {"total": 40}
+    assert log["results"][0]["crop_px"] == [41, 30] and log["results"][0]["http"] == 503 and log["results"][1]["parsed"]["links"] == ["http://a"] and log["results"][1]["tokens"] == {"total": 40}
     assert log["results"][1]["photo_sha"] == hashlib.sha256((photos / "b.png").read_bytes()).hexdigest()[:16]
     assert [p.name for p in results.iterdir() if p.suffix != ".crc"] == ["run-20240101-000000.json"]
 
