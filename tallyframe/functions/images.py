@@ -12,6 +12,8 @@ from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField,
 from .scalars import LONGEST, SHORTEST
 
 QUALITY = 90
+#: What there is of a photo without content: Python functions see such rows, too, whatever a condition around them says.
+MISSING = {"error": "no such photo"}
 CROP = StructType([StructField("content", BinaryType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("error", StringType())])
 
 
@@ -52,7 +54,7 @@ def crop_jpeg(content: bytes, bbox: list[int] | None) -> dict:
 @F.pandas_udf(CROP)
 def crop_photo(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for contents, boxes in batches:
-        yield crop_frame([crop_jpeg(bytes(c), None if b is None else list(b)) for c, b in zip(contents, boxes, strict=True)])
+        yield crop_frame([crop_jpeg(bytes(c), None if b is None else list(b)) if c is not None else MISSING for c, b in zip(contents, boxes, strict=True)])
 
 
 def crop_frame(rows: list[dict]) -> pd.DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..sources.photos import picture_turn
-from .images import CROP, crop_frame
+from .images import CROP, MISSING, crop_frame
 from .scalars import LONGEST, SHORTEST
 
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -165,7 +165,7 @@ def cropped(content: bytes, bbox: list[int] | None) -> dict:
 @F.pandas_udf(CROP)
 def crop_picture(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for contents, boxes in batches:
-        yield crop_frame([cropped(bytes(c), None if b is None else list(b)) for c, b in zip(contents, boxes, strict=True)])
+        yield crop_frame([cropped(bytes(c), None if b is None else list(b)) if c is not None else MISSING for c, b in zip(contents, boxes, strict=True)])
 
 
 @F.pandas_udf(SUMS)

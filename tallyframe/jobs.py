@@ -118,9 +118,8 @@ def identify(
     parts, run = f"{results}/run-{stamp}.parts", f"{results}/run-{stamp}.json"
     if not exists(spark, f"{parts}/staged/_SUCCESS"):
         files = spark.read.format("binaryFile").load(directory).select(photos.base_name(F.col("path")).alias("name"), "content")
-        pictures = items.join(files, F.col("file") == F.col("name"), "left").withColumn("crop", F.when(F.col("content").isNotNull(), crop(F.col("content"), F.col("bbox"))))
-        wrong = F.when(F.col("content").isNull(), "no such photo").otherwise(F.col("crop.error"))
-        staged = pictures.select("id", "file", "difficulty", sha16(F.col("content")).alias("photo_sha"), "bbox", F.array("crop.width", "crop.height").alias("crop_px"), F.octet_length("crop.content").cast("long").alias("crop_bytes"), F.col("crop.content").alias("jpeg"), wrong.alias("wrong"))
+        pictures = items.join(files, F.col("file") == F.col("name"), "left").withColumn("crop", crop(F.col("content"), F.col("bbox")))
+        staged = pictures.select("id", "file", "difficulty", sha16(F.col("content")).alias("photo_sha"), "bbox", F.array("crop.width", "crop.height").alias("crop_px"), F.octet_length("crop.content").cast("long").alias("crop_bytes"), F.col("crop.content").alias("jpeg"), F.col("crop.error").alias("wrong"))
         if bad := staged.where("wrong is not null").select("id", "file", "wrong").limit(10).collect():
             out("; ".join(f"{b.id} ({b.file}): {b.wrong}" for b in bad))
             return 1
