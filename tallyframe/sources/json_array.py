@@ -152,9 +152,11 @@ class Document:
     def chunks(self) -> DataFrame:
         """A row for each item with what scalars and arrays stand before it: first (the number of its first element), listed (the elements as an array), bad."""
         rows = self.rows()
+        placed = rows.where("kind = 0").select("chunk", "commas", "text")
         parts = F.array_sort(F.collect_list(F.struct("block", "nth", "text")))
         joined = rows.where("kind = 1").groupBy("chunk").agg(F.min("commas").alias("commas"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
-        placed = rows.where("kind = 0").select("chunk", "commas", "text").unionByName(joined)
+        if len(self.starts) > 1:  # else no border cuts anything
+            placed = placed.unionByName(joined)
         comma, stripped = F.col("text").rlike(r"^\s*,"), F.regexp_replace("text", r"^\s*,", "")
         placed = placed.select("chunk", "commas", comma.alias("comma"), stripped.alias("body")).withColumn("listed", F.concat(F.lit("["), "body", F.lit("]")))
         unread = F.from_json("listed", "ARRAY<STRING>", {"allowSingleQuotes": "false"}).isNull()
