@@ -111,3 +111,11 @@ def test_shrinking():
     edge[:, 100:] = 200
     line = pixels.shrunk(edge, 50, 4)[1, :, 0].astype(int)
     assert line[:20].max() <= 2 and abs(line[-20:] - 200).max() <= 2 and line[24] < 100 < line[25]
+
+
+@pytest.mark.parametrize(("width", "height", "want"), [(1122, 132, (1024, 120)), (132, 1122, (120, 1024)), (1122, 1122, (1024, 1024)), (1183, 96, (1024, 83)), (1030, 40, (1024, 39))])
+def test_longest_side_is_whole(width, height, want):
+    # In double precision 1122 * (1024 / 1122) and 1183 * (1024 / 1183) are below 1024.
+    out = pixels.cropped(pixels.encode_png(np.full((height, width, 3), 92, np.uint8)), None)
+    picture = pixels.decode(out["content"])
+    assert (out["width"], out["height"]) == (picture.shape[1], picture.shape[0]) == want and (picture == 92).all()
