@@ -2,28 +2,40 @@
 
 Unit vectors with cosine c are apart by 2 - 2c in squared distance. Rotated and split into blocks,
 two vectors that near have at least one block whose part of the distance is within its share of the
-whole budget, in proportion to its width. Each block is joined by range: slabs along its first axis,
-a slab's rows with each other and with those of the slab below that reach it, in chunks of bounded
-size. A pair counts only in the first block that has it, and is verified by its cosine in double
-precision. Only counts and spanning edges leave a task, never pairs.
+whole budget, in proportion to its width. Rows are dealt to chunks of bounded size by their slabs
+along the blocks' first axes. Two chunks meet unless all blocks' slabs are apart; there each block
+is joined by range along its first axis. A pair counts only in the first block that has it, and is
+verified by its cosine in double precision. Only counts and spanning edges leave a task, never pairs.
+Pairs of chunks are worked off in passes, each of which shuffles a bounded multiple of the vectors.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored, table
+from .common import discard, stored, table, trimmed
 from .components import connected_components
 
 COSINE = 0.9
 BLOCKS = 4
-#: Rows of a chunk; a task has two chunks at most.
-CHUNK, TILE, PAIRS_AT_ONCE = 16384, 1024, 1 << 16
+#: Rows of a chunk of 64 dimensions at most, fewer of more; a task has two chunks at a time. Small tables get CHUNKS chunks of LEAST rows or more, so that many tasks have work.
+CHUNK, TILE, PAIRS_AT_ONCE = 32768, 1024, 1 << 16
+CHUNKS, LEAST = 16, 256
+#: Cells of so many chunks are dealt together, by hash.
+DEALT = 4
+#: Slabs along an axis, and axes that cells are made of: a grid of 4,096 cells at most for each number of dimensions.
+SLABS, AXES = 8, 4
+#: What a pass shuffles: so many times all vectors, or so many bytes if that is more.
+TIMES, PASS_BYTES = 1.5, 256 << 20
+#: Bytes of a row beside its vector.
+ROW_BYTES = 64
 #: Room for rounding: relative in double precision, absolute for the single precision in which candidates are looked for.
 DOUBLE_SLACK, SINGLE_SLACK = 1e-9, 1e-4
 
@@ -48,35 +60,73 @@ def unpacked(packed: list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), kind).reshape(-1, dim).astype(np.float64)
 
 
-PLACES = "dim int, block int, slab int, home boolean, node long, weight long, vector binary"
+def reach_of(dim: int, axes: np.ndarray, cosine: float) -> float:
+    """How far apart two linked vectors can be along one axis of a block that has them."""
+    return np.sqrt((2 - 2 * cosine) * len(axes) / dim) * (1 + 1e-6)
 
 
-def places_of(batches: Iterable[pa.RecordBatch], cosine: float, blocks: int) -> Iterator[pa.RecordBatch]:
-    """A row for each block: the vector at home in its slab, and again as a visitor of the next slab if that is within reach."""
+PLACED = "dim int, cell int, node long, weight long, vector binary"
+
+
+def placed(batches: Iterable[pa.RecordBatch], cosine: float, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Each vector with its cell: its slabs along the first axes of the first blocks, as the digits of a number."""
     for batch in batches:
         lengths = np.array([len(v) for v in batch["embedding"]])
         for dim in np.unique(lengths).tolist():
             part = batch.filter(pa.array(lengths == dim))
             x = part["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             y = unit(x.astype(np.float64)) @ rotation(dim)
+            cell = np.zeros(len(x), np.int32)
+            for axes in blocks_of(dim, blocks)[:AXES]:
+                width = max(reach_of(dim, axes, cosine), 2 / SLABS)
+                cell = cell * SLABS + np.clip(np.floor(y[:, axes[0]] / width) + SLABS // 2, 0, SLABS - 1).astype(np.int32)
             packed = pa.array([r.tobytes() for r in x], pa.binary())
-            for b, axes in enumerate(blocks_of(dim, blocks)):
-                reach = np.sqrt((2 - 2 * cosine) * len(axes) / dim) * (1 + 1e-6)
-                slab = np.floor(y[:, axes[0]] / reach).astype(np.int32)
-                above = slab + 1
-                for home, where, chosen in ((True, slab, np.ones(len(x), bool)), (False, above, above * reach - y[:, axes[0]] <= reach)):
-                    n = int(chosen.sum())
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "dim": pa.array(np.full(n, dim, np.int32)),
-                            "block": pa.array(np.full(n, b, np.int32)),
-                            "slab": pa.array(where[chosen]),
-                            "home": pa.array(np.full(n, home)),
-                            "node": part["node"].filter(pa.array(chosen)),
-                            "weight": part["weight"].filter(pa.array(chosen)),
-                            "vector": packed.filter(pa.array(chosen)),
-                        }
-                    )
+            yield pa.RecordBatch.from_pydict({"dim": pa.array(np.full(len(x), dim, np.int32)), "cell": pa.array(cell), "node": part["node"], "weight": part["weight"], "vector": packed})
+
+
+def dealt(cells: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int]], list[dict]]:
+    """(dim, cell, rows) -> each cell's first chunk and number of chunks, over which a hash deals its rows; and of each chunk its dim, rows and slabs."""
+    total: dict[int, int] = defaultdict(int)
+    for dim, _, n in cells:
+        total[dim] += n
+    places, chunks, group, rows = [], [], [], 0
+    for (dim, cell, n), (later, _, _) in pairwise([*sorted(cells), (-1, 0, 0)]):
+        size = max(1, min(CHUNK, CHUNK * 64 // dim, max(LEAST, -(-total[dim] // CHUNKS))))
+        group, rows = [*group, cell], rows + n
+        if rows >= DEALT * size or later != dim:
+            k = -(-rows // size)
+            places += [(dim, c, len(chunks), k) for c in group]
+            digits = np.array([[c // SLABS**a % SLABS for a in range(AXES)] for c in group])
+            chunks += [{"dim": dim, "rows": -(-rows // k), "low": digits.min(0), "high": digits.max(0)}] * k
+            group, rows = [], 0
+    return places, chunks
+
+
+def meetings(chunks: list[dict], blocks: int) -> Iterator[tuple[int, int]]:
+    """Pairs of chunks that may have linked rows, each chunk as often as any other among those that come one after another."""
+    for far in range(len(chunks)):
+        for i in range(len(chunks) - far):
+            a, b = chunks[i], chunks[i + far]
+            axes = min(blocks, a["dim"])
+            apart = np.maximum(b["low"] - a["high"], a["low"] - b["high"])[: min(axes, AXES)] > 1
+            if a["dim"] == b["dim"] and not (axes <= AXES and apart.all()):
+                yield i, i + far
+
+
+def passes(chunks: list[dict], blocks: int, item: int) -> Iterator[list[tuple[int, int]]]:
+    """Pairs of chunks, as many at a time as a pass may shuffle."""
+    size = [c["rows"] * (c["dim"] * item + ROW_BYTES) for c in chunks]
+    room = max(PASS_BYTES, TIMES * sum(size))
+    some, used = [], 0
+    for i, j in meetings(chunks, blocks):
+        n = size[i] + (size[j] if i != j else 0)
+        if some and used + n > room:
+            yield some
+            some, used = [], 0
+        some.append((i, j))
+        used += n
+    if some:
+        yield some
 
 
 def roots(parent: np.ndarray) -> np.ndarray:
@@ -97,15 +147,20 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def tiles(rows: np.ndarray, cols: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of pieces of rows and columns; of the same rows each pair of pieces once."""
+def tiles(rows: np.ndarray, cols: np.ndarray, along: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of pieces of rows and columns, both in order along an axis, that are within reach; of the same rows each pair of pieces once."""
     for a in range(0, len(rows), TILE):
-        for b in range(a if same else 0, len(cols), TILE):
-            yield rows[a : a + TILE], cols[b : b + TILE]
+        r = rows[a : a + TILE]
+        for b in range(a if rows is cols else 0, len(cols), TILE):
+            c = cols[b : b + TILE]
+            if along[c[0]] - along[r[-1]] > reach:
+                break
+            if along[r[0]] - along[c[-1]] <= reach:
+                yield r, c
 
 
-def joined(x: np.ndarray, home: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, cosine: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row (weighted) and its set's root, among the pairs of left and right rows that count in this block."""
+def joined(x: np.ndarray, some: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, cosine: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row (weighted) and its set's root, among the pairs of left and right rows that count in this block. Only some rows take part."""
     dim = x.shape[1]
     axes = blocks_of(dim, blocks)
     budget = [(2 - 2 * cosine) * len(a) / dim * (1 + DOUBLE_SLACK) for a in axes]
@@ -116,11 +171,10 @@ def joined(x: np.ndarray, home: np.ndarray, weight: np.ndarray, left: np.ndarray
     square, one = (z * z).sum(1, keepdims=True), np.ones((len(x), 1))
     ours, theirs = np.hstack([-2 * z, square, one]).astype(np.float32), np.hstack([z, one, square]).astype(np.float32)
     links, parent = np.zeros(len(x), np.int64), np.arange(len(x))
-    # A row that is here as a visitor meets only those that are at home.
-    sides = [(left[home[left]], right[home[right]], left is right), (left[home[left]], right[~home[right]], False)]
-    if left is not right:
-        sides.append((left[~home[left]], right[home[right]], False))
-    for rows, cols in (tile for side in sides for tile in tiles(*side)):
+    ordered = lambda side: (kept := side[some[side]])[np.argsort(z[kept, 0], kind="stable")]
+    a = ordered(left)
+    b = a if left is right else ordered(right)
+    for rows, cols in tiles(a, b, z[:, 0], reach_of(dim, axes[block], cosine)):
         near = ours[rows] @ theirs[cols].T <= budget[block] + SINGLE_SLACK
         i, j = np.divmod(np.flatnonzero(near), len(cols))
         if rows[0] == cols[0]:
@@ -137,32 +191,42 @@ def joined(x: np.ndarray, home: np.ndarray, weight: np.ndarray, left: np.ndarray
     return links, roots(parent)
 
 
-FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+FOUND = "node long, links long, root long"
+#: Sides of a row in its pair of chunks: the pair is of one chunk, or the row is of the first or of the second.
+BOTH, LEFT, RIGHT = 0, 1, 2
 
 
 def links_of(batches: Iterable[pa.RecordBatch], cosine: float, blocks: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (dim, block, slab, i, j), each task's two chunks together -> node, links, root."""
-
-    def ended(key: tuple, rows: list[dict]) -> pa.RecordBatch:
-        x = unpacked([r["vector"] for r in rows], key[0])
-        chunk = np.array([r["chunk"] for r in rows])
-        left = np.flatnonzero(chunk == key[3])
-        right = left if key[3] == key[4] else np.flatnonzero(chunk == key[4])
-        node = np.array([r["node"] for r in rows], np.int64)
-        links, root = joined(x, np.array([r["home"] for r in rows]), np.array([r["weight"] for r in rows], np.int64), left, right, key[1], cosine, blocks)
+    """Rows sorted by pair of chunks -> node, links, root."""
+
+    def ended(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        dim = rows["dim"][0].as_py()
+        x = unpacked(rows["vector"].to_pylist(), dim)
+        side, node, weight = (rows[c].to_numpy() for c in ("side", "node", "weight"))
+        left = np.flatnonzero(side != RIGHT)
+        right = left if side[0] == BOTH else np.flatnonzero(side == RIGHT)
+        links, parent, everyone = np.zeros(len(x), np.int64), np.arange(len(x)), np.ones(len(x), bool)
+        for block in range(len(blocks_of(dim, blocks))):
+            more, root = joined(x, everyone, weight, left, right, block, cosine, blocks)
+            links += more
+            parent = unite(parent, np.arange(len(x)), root)
         some = links > 0
-        return pa.RecordBatch.from_pydict({"node": node[some], "links": links[some], "root": node[root[some]]})
+        return pa.RecordBatch.from_pydict({"node": node[some], "links": links[some], "root": node[roots(parent)[some]]})
 
-    key, rows = None, []
+    key, parts = None, []
     for batch in batches:
-        for r in batch.to_pylist():
-            if (now := (r["dim"], r["block"], r["slab"], r["i"], r["j"])) != key:
-                if rows:
-                    yield ended(key, rows)
-                key, rows = now, []
-            rows.append(r)
-    if rows:
-        yield ended(key, rows)
+        pair = batch["pair"].to_numpy()
+        for start, end in pairwise([0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]):
+            if start == end:
+                continue
+            if pair[start] != key:
+                if parts:
+                    yield ended(parts)
+                key, parts = pair[start], []
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield ended(parts)
 
 
 def embedding_components(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
@@ -180,17 +244,19 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, blocks: int
     good = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda e: e != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.xxhash64(v)).alias("node"), F.when(good, v).alias("embedding"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding"))
-    nodes = stored(nodes, "vectors")
-    places = stored(nodes.mapInArrow(lambda it: places_of(it, cosine, blocks), PLACES), "places")
-    slab = ["dim", "block", "slab"]
-    chunks = places.groupBy(*slab).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.max("home").alias("any_home")).where("any_home").drop("any_home")
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    tasks = places.join(chunks, slab).select(*slab, "home", "node", "weight", "vector", mine.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tasks = tasks.select(*slab, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "home", "node", "weight", "vector")
-    n = max(12, int(places.count() // CHUNK))
-    by = [*slab, "i", "j"]
-    found = tasks.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(lambda it: links_of(it, cosine, blocks), "node long, links long, root long")
-    found = stored(found, "vector-links")
+    nodes = stored(nodes.mapInArrow(lambda it: placed(it, cosine, blocks), PLACED), "vectors")
+    spark = vectors.sparkSession
+    places, chunks = dealt([tuple(r) for r in nodes.groupBy("dim", "cell").count().collect()])
+    of_cell = F.broadcast(spark.createDataFrame(places, "dim int, cell int, first int, chunks int"))
+    chunk = (F.col("first") + F.pmod(F.xxhash64("node"), F.col("chunks"))).cast("int")
+    in_chunks = nodes.join(of_cell, ["dim", "cell"]).select("dim", "node", "weight", "vector", chunk.alias("chunk"))
+    done = []
+    for pairs in passes(chunks, blocks, 4 if kind == "array<float>" else 8):
+        sides = [(c, k, side) for k, (i, j) in enumerate(pairs) for c, side in ([(i, BOTH)] if i == j else [(i, LEFT), (j, RIGHT)])]
+        tasks = in_chunks.join(F.broadcast(spark.createDataFrame(sides, "chunk int, pair int, side int")), "chunk").drop("chunk")
+        tasks = tasks.repartitionById(len(pairs), F.col("pair")).sortWithinPartitions("pair")
+        done.append(stored(tasks.mapInArrow(lambda it: trimmed(links_of(it, cosine, blocks)), FOUND), "vector-links"))
+    found = spark.read.schema(FOUND).parquet(*[df.stored_path for df in done]) if done else spark.createDataFrame([], FOUND)
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "weight").join(counts, "node", "left").join(classes, "node", "left").select("node", "weight", "links", F.coalesce("component", "node").alias("component"))
@@ -199,7 +265,7 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, blocks: int
     named = named.join(smallest, "component", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
     links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
     result = stored(named.select("vec_id", links.cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")), "vector-components")
-    discard(nodes, places, found)
+    discard(nodes, *done)
     return result
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -254,6 +255,36 @@ def test_subspace_pairs_count_once():
     assert links.tolist() == want.tolist()
 
 
+def test_embeddings_are_shuffled_in_bounds(spark, monkeypatch):
+    """However many chunks meet, no step shuffles more than twice the vectors at a time."""
+    for name, value in (("CHUNK", 7), ("PASS_BYTES", 0)):
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    rows = vectors()[:80]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    dealt = []
+    for name in ("repartition", "repartitionById"):
+        monkeypatch.setattr(type(df), name, lambda self, *a, to=getattr(type(df), name): dealt.append(self.count()) or to(self, *a))
+    assert got(embedding_dedup.embedding_components(df), "vec_id", "n_links", "component_id") == brute_vectors(rows)
+    assert dealt and max(dealt) <= 2 * len(rows)
+
+
+def test_chunks_that_never_meet_have_no_links(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 5)
+    r = np.random.default_rng(2)
+    # Two opposite sides, apart along the first axis of each block.
+    x = np.repeat([1.0, -1.0], 200)[:, None] * ([1, 0] * 4) @ embedding_dedup.rotation(8).T + r.standard_normal((400, 8)) * 0.2
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(400)), "weight": pa.array([1] * 400), "embedding": pa.array(x.tolist())})
+    cell = next(embedding_dedup.placed([batch], 0.9, 4))["cell"].to_numpy()
+    places, chunks = embedding_dedup.dealt([(8, int(c), int(n)) for c, n in zip(*np.unique(cell, return_counts=True), strict=True)])
+    of = {c: range(first, first + k) for _, c, first, k in places}
+    pairs = list(embedding_dedup.meetings(chunks, 4))
+    met = set(pairs)
+    assert len(met) == len(pairs) < len(chunks) * (len(chunks) + 1) // 2
+    u = embedding_dedup.unit(x)
+    for i, j in np.argwhere(np.triu(u @ u.T >= 0.9)):
+        assert all((min(a, b), max(a, b)) in met for a in of[cell[i]] for b in of[cell[j]])
+
+
 def test_license_automata(spark, docs, none):
     s = licenses.Scanner()
     assert s.scan("Foo is released under the MIT License!")["labels"] == "mit,mit-notice"
